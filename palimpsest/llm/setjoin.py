@@ -6,28 +6,30 @@ band, so that those differences cannot touch every segment: some segment has the
 elements in both sets. Segment subsets are the index.
 
 1. *Subsets.* Every distinct set indexes its segment subsets in the layout of its own size band and
-   in that of the band below. Subsets that few sets hold are enumerated; for a subset that many
-   hold only a star around one of them is proposed. A set that has more enumerated segments than it
-   can have differences is *covered*: all its partners are among the enumerated pairs.
-2. Sets that are not covered are indexed again with more segments; subsets shared only by sets that
-   are linked already cost nothing now.
-3. What is still not covered is given a cost-based allocation: each set buys thresholds -1, 0 or 1
-   per segment, cheapest first, until they sum to more than its differences; threshold 1 probes the
-   one-deletion neighbourhoods. This needs no limit on the size of a subset, so it is exact.
-
-Every proposed pair is verified on the full sets. Links are closed to components by union-find.
+   in that of the band below. A subset that few sets hold is cheap: all pairs of its holders are
+   proposed. For a subset that many hold only a star around one of them is proposed. A set that has
+   more cheap segments than it can have differences is *covered*: all its partners were proposed.
+2. *Neighbourhoods.* Sets that are not covered index their subsets again, now with the one-deletion
+   neighbourhoods of every segment; holders that are linked already count as one. Each segment is
+   allocated a threshold by cost: 1 if its subset and neighbours are cheap, 0 if only the subset is,
+   -1 otherwise. A set whose thresholds plus one sum to more than its differences is covered.
+3. *The rest.* Sets that are still not covered consist almost wholly of what very many others hold.
+   They are compared exactly within families that share a subset, block against block.
+
+A proposed pair must agree in as many segments as its differences leave untouched, and is then
+verified on the full sets. Links are closed to components by union-find.
 """
 
 from __future__ import annotations
 
-import heapq
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._util import components, materialize, partitions_for
@@ -48,7 +50,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _Hash(dict):
     """Word to 64-bit hash; emptied when it holds ``most`` words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -131,6 +133,8 @@ _MID = _OUT + ", bucket int, sigs binary, at binary, docs binary, sizes binary,
 _OUT_NAMES = [x.split()[0] for x in _OUT.split(", ")]
 _TYPES = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "own_ne": pa.int32(), "own_h": pa.int32(), "guest_ne": pa.int32(), "guest_h": pa.int32(), "key": pa.binary(), "bucket": pa.int32()}
 PROFILE, BLOCK, STAR, SKIPPED, PAIR = range(5)
+#: Flags of an index entry: more holders were combined in its task; it uses the layout of the band below; it is a deletion.
+THIN, GUEST, DELETION = 1, 2, 4
 
 
 def _batch(names: list[str], rows: int, **columns) -> pa.RecordBatch:
@@ -145,56 +149,69 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate((starts, [len(x)])))
 
 
-def _mapper(slack: float, buckets: int, local: int, forward: int, flush: int = 2_000_000):
-    """Profiles and blocks of segment subsets of the texts of one task.
+def _entries(layouts: _Layouts, u: np.ndarray, band: int, most: int, deep: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """Signatures of a set's segment subsets, what each is (segment and flags) and how many segments count.
+
+    ``deep`` adds one-deletion neighbours, and, for a set that has too few filled segments to be
+    covered, the empty segments too."""
+    _, count, sums, seeds = layouts.subsets(u, band)
+    seg = np.flatnonzero(count) if not deep or np.count_nonzero(count) > most else np.arange(len(count))
+    sig = _signature(sums[seg], seeds[seg])
+    if not deep:
+        return sig, np.zeros(len(sig), np.int64), len(seg)
+    of = np.repeat(np.arange(len(count)), count)
+    return np.concatenate((sig, _signature(sums[of] - _mix(u), seeds[of]))), np.concatenate((seg << 3, of << 3 | DELETION)), len(seg)
+
+
+def _mapper(slack: float, spread: np.ndarray, local: int, forward: int, deep: bool, flush: int = 1_000_000):
+    """Profiles and blocks of index entries of the texts of one task.
 
     Copies within the task index their set once. A subset that more than ``local`` sets of the task
     hold is combined here: a star around the smallest id, and ``forward`` of the rows as its witnesses.
     """
-    names = [x.split()[0] for x in _MID.split(", ")]
+    names, buckets = [x.split()[0] for x in _MID.split(", ")], len(spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, layouts, known, turn = _Hash(), _Layouts(slack), set(), 0
         sigs: list[np.ndarray] = []
+        whats: list[np.ndarray] = []
         docs: list[tuple] = []  # id, size, component
-        tags: list[tuple] = []  # position in docs, guest, count
+        tags: list[tuple] = []  # position in docs, count
         held = 0
 
         def blocks() -> Iterator[pa.RecordBatch]:
-            s = np.concatenate(sigs)
-            which, guest, count = (np.array(x, np.int64) for x in zip(*tags, strict=True))
-            d = np.repeat(which << 1 | guest, count)
+            s, what = np.concatenate(sigs), np.concatenate(whats)
+            which, count = (np.array(x, np.int64) for x in zip(*tags, strict=True))
+            d = np.repeat(which, count)
             order = np.argsort(s, kind="stable")
-            s, d = s[order], d[order]
+            s, what, d = s[order], what[order], d[order]
             ids, sizes, comps = (np.array(x, np.int64) for x in zip(*docs, strict=True))
             starts, lengths = _runs(s)
             keep = np.ones(len(s), bool)
-            thin = np.zeros(len(s), np.uint32)
             for k in np.flatnonzero(lengths > local):
                 lo, hi = starts[k], starts[k] + lengths[k]
-                of = d[lo:hi] >> 1
-                centre = ids[of].min()
-                first = np.concatenate(([int(ids[of].argmin())], np.arange(forward)))
+                of = ids[d[lo:hi]]
                 stay = np.zeros(hi - lo, bool)
-                stay[first] = True
-                keep[lo:hi], thin[lo:hi] = stay, 1
-                rest = ~stay
-                yield _batch(names, hi - lo, kind=np.full(hi - lo, STAR), a=np.full(hi - lo, centre), b=ids[of], bucket=np.arange(hi - lo) % buckets)
+                stay[:forward] = stay[of.argmin()] = True
+                keep[lo:hi] = stay
+                what[lo:hi] |= THIN
+                rest, n = ~stay, hi - lo
+                yield _batch(names, n, kind=np.full(n, STAR), a=np.full(n, of.min()), b=of, own_ne=sizes[d[lo:hi]] + sizes[d[lo + of.argmin()]], n=np.ones(n, np.int64), bucket=spread[np.arange(n) % buckets])
                 m = int(rest.sum())
-                yield _batch(names, m, kind=np.full(m, SKIPPED), a=ids[of][rest], b=d[lo:hi][rest] & 1, n=np.ones(m, np.int64), bucket=np.arange(m) % buckets)
-            s, d, thin = s[keep], d[keep], thin[keep]
+                yield _batch(names, m, kind=np.full(m, SKIPPED), a=of[rest], b=what[lo:hi][rest] >> 1 & 3, own_ne=what[lo:hi][rest] >> 3, n=np.ones(m, np.int64), bucket=spread[np.arange(m) % buckets])
+            s, what, d = s[keep], what[keep], d[keep]
             bucket = ((s >> _S) * np.uint64(buckets) >> _S).astype(np.int64)
             starts, lengths = _runs(bucket)
             rows: dict[str, list] = {c: [] for c in ("sigs", "at", "docs", "sizes", "comps")}
             for lo, n in zip(starts.tolist(), lengths.tolist(), strict=True):
-                one, back = np.unique(d[lo : lo + n] >> 1, return_inverse=True)
+                one, back = np.unique(d[lo : lo + n], return_inverse=True)
                 rows["sigs"].append(s[lo : lo + n].astype(np.uint32).tobytes())
-                rows["at"].append((back.astype(np.uint32) << np.uint32(2) | (d[lo : lo + n] & 1).astype(np.uint32) << np.uint32(1) | thin[lo : lo + n]).tobytes())
+                rows["at"].append((back << 32 | what[lo : lo + n]).tobytes() if deep else (back << 3 | what[lo : lo + n]).astype(np.uint32).tobytes())
                 rows["docs"].append(ids[one].tobytes())
                 rows["sizes"].append(sizes[one].tobytes())
-                rows["comps"].append(comps[one].tobytes())
+                rows["comps"].append(comps[one].tobytes() if deep else b"")
             if len(starts):
-                yield _batch(names, len(starts), kind=np.full(len(starts), BLOCK), bucket=bucket[starts], **rows)
+                yield _batch(names, len(starts), kind=np.full(len(starts), BLOCK), bucket=spread[bucket[starts]], **rows)
 
         for batch in batches:
             cols = batch.to_pydict()
@@ -211,19 +228,18 @@ def _mapper(slack: float, buckets: int, local: int, forward: int, flush: int = 2
                     for side in (0, 1):
                         where = layouts.of(u, bool(side)) if (own, guest)[side] else None
                         if where:
-                            _, count, sums, seeds = layouts.subsets(u, where[0])
-                            full = count > 0
-                            sig = _signature(sums[full], seeds[full])
+                            sig, what, filled = _entries(layouts, u, *where, deep)
                             sigs.append(sig)
-                            tags.append((len(docs) - 1, side, len(sig)))
+                            whats.append(what | side * GUEST)
+                            tags.append((len(docs) - 1, len(sig)))
                             held += len(sig)
-                            ne[2 * side : 2 * side + 2] = len(sig), where[1]
-                for c, v in zip(prof, (doc, len(u), *ne, key, turn % buckets), strict=True):
+                            ne[2 * side : 2 * side + 2] = filled, where[1]
+                for c, v in zip(prof, (doc, len(u), *ne, key, int(spread[turn % buckets])), strict=True):
                     prof[c].append(v)
                 turn += 7919
                 if held >= flush:
                     yield from blocks()
-                    sigs, docs, tags, held = [], [], [], 0
+                    sigs, whats, docs, tags, held = [], [], [], [], 0
             yield _batch(names, batch.num_rows, kind=np.full(batch.num_rows, PROFILE), **prof)
         if sigs:
             yield from blocks()
@@ -231,8 +247,17 @@ def _mapper(slack: float, buckets: int, local: int, forward: int, flush: int = 2
     return run
 
 
-def _reducer(few: int, ratio: int = 32):
-    """Groups the blocks of one task by subset: enumerate, or propose a star and count the subset as skipped."""
+def _cross(lo: int, hi: int, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of unlike components in one run, which is sorted by component."""
+    starts, lengths = _runs(c[lo:hi])
+    i = [np.repeat(np.arange(a, a + n), hi - lo - a - n) for a, n in zip(starts, lengths, strict=True)]
+    j = [np.tile(np.arange(a + n, hi - lo), n) for a, n in zip(starts, lengths, strict=True)]
+    return lo + np.concatenate(i), lo + np.concatenate(j)
+
+
+def _reducer(few: int, deep: bool, ratio: int = 32):
+    """Groups the entries of one task by signature: enumerate the cheap ones; of the others propose a star
+    and tell their holders that the entry was skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -242,66 +267,89 @@ def _reducer(few: int, ratio: int = 32):
             if plain.num_rows:
                 yield plain.select(_OUT_NAMES)
             x = batch.filter(pa.array(kind == BLOCK))
-            get = [x.column(x.schema.get_field_index(c)).to_pylist() for c in ("sigs", "at", "docs", "sizes", "comps")]
-            buckets = x.column(x.schema.get_field_index("bucket")).to_pylist()
-            for bucket, s, at, *doc in zip(buckets, *get, strict=True):
-                at = np.frombuffer(at, np.uint32)
-                of = at >> np.uint32(2)
-                parts.append((np.frombuffer(s, np.uint32).astype(np.uint64) | np.uint64(bucket << 32), (at & np.uint32(3)).astype(np.uint8), *(np.frombuffer(y, np.int64)[of] for y in doc)))
+            get = [x.column(x.schema.get_field_index(c)).to_pylist() for c in ("bucket", "sigs", "at", "docs", "sizes", "comps")]
+            for bucket, s, at, docs, sizes, comps in zip(*get, strict=True):
+                at = np.frombuffer(at, np.int64 if deep else np.uint32).astype(np.int64)
+                of, what = (at >> 32, at & 0xFFFFFFFF) if deep else (at >> 3, at & 7)
+                doc = np.frombuffer(docs, np.int64)
+                comp = np.frombuffer(comps, np.int64) if deep else doc
+                parts.append((np.frombuffer(s, np.uint32).astype(np.uint64) | np.uint64(bucket << 32), what.astype(np.uint32), doc[of], np.frombuffer(sizes, np.int64)[of].astype(np.int32), comp[of]))
         if not parts:
             return
-        s, flag, ids, sizes, comps = (np.concatenate(x) for x in zip(*parts, strict=True))
+        s, what, ids, sizes, comps = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
         order = np.argsort(s, kind="stable")
-        starts, lengths = _runs(s[order])
-        shared = np.repeat(lengths > 1, lengths)
-        order = order[shared]
-        s, flag, ids, sizes, comps = s[order], flag[order], ids[order], sizes[order], comps[order]
-        pair_a, pair_b, star_a, star_b, skip_a, skip_b = ([] for _ in range(6))
-        starts, lengths = _runs(s)
-        for lo, n in zip(starts.tolist(), lengths.tolist(), strict=True):
-            hi = lo + n
-            c, d, f = comps[lo:hi], ids[lo:hi], flag[lo:hi]
-            different = np.unique(c)
-            if len(different) == 1:
-                if (f & 1).any() and n > 1:
-                    skip_a.append(d), skip_b.append(f >> 1)
-                continue
-            cross = 1 if n == 2 else (n * n - int((np.unique(c, return_counts=True)[1] ** 2).sum())) // 2
-            if len(different) <= few and cross <= ratio * n and not (f & 1).any():
-                i, j = np.triu_indices(n, 1)
-                z = sizes[lo:hi]
-                ok = (c[i] != c[j]) & ((f[i] & f[j] & 2) == 0) & (4 * np.minimum(z[i], z[j]) >= 3 * np.maximum(z[i], z[j]))
-                i, j = i[ok], j[ok]
-                pair_a.append(np.minimum(d[i], d[j])), pair_b.append(np.maximum(d[i], d[j]))
+        _, lengths = _runs(s[order])
+        order = order[np.repeat(lengths > 1, lengths)]
+        order = order[np.lexsort((comps[order], s[order]))]
+        s, what, ids, sizes, comps = s[order], what[order], ids[order], sizes[order], comps[order]
+        starts, n = _runs(s)
+        if not len(s):
+            return
+        new = np.concatenate(([True], (s[1:] != s[:-1]) | (comps[1:] != comps[:-1])))
+        kinds = np.add.reduceat(new, starts, dtype=np.int64)
+        at = np.flatnonzero(new)
+        squares = np.zeros(len(s), np.int64)
+        squares[at] = np.diff(np.concatenate((at, [len(s)]))) ** 2
+        cross = (n * n - np.add.reduceat(squares, starts)) // 2
+        thin = np.bitwise_or.reduceat(what & THIN, starts) > 0
+        cheap = (kinds > 1) & ~thin & (kinds <= few) & (cross <= ratio * n)
+        costly = ~cheap & ((kinds > 1) | thin)
+        found: list[tuple] = []
+        for size in np.unique(n[cheap]):
+            first = starts[cheap & (n == size)]
+            if size <= 64:
+                i, j = np.triu_indices(size, 1)
+                i, j = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
             else:
-                star_a.append(np.full(n, d.min())), star_b.append(d)
-                skip_a.append(d), skip_b.append(f >> 1)
-
-        def counted(kind: int, a: list, b: list) -> Iterator[pa.RecordBatch]:
-            if a:
-                a, b = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
-                order = np.lexsort((b, a))
-                a, b = a[order], b[order]
-                new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.empty(0, bool)
-                at = np.flatnonzero(new)
-                n = np.diff(np.concatenate((at, [len(a)])))
-                for k in range(0, len(at), 100_000):
-                    z = at[k : k + 100_000]
-                    yield _batch(_OUT_NAMES, len(z), kind=np.full(len(z), kind), a=a[z], b=b[z], n=n[k : k + 100_000])
-
-        yield from counted(PAIR, pair_a, pair_b)
-        yield from counted(STAR, star_a, star_b)
-        yield from counted(SKIPPED, skip_a, skip_b)
+                i, j = (np.concatenate(x) for x in zip(*(_cross(a, a + size, comps) for a in first.tolist()), strict=True))
+            ok = (comps[i] != comps[j]) & (what[i] & what[j] & (GUEST | DELETION) == 0) & (4 * np.minimum(sizes[i], sizes[j]) >= 3 * np.maximum(sizes[i], sizes[j]))
+            i, j = i[ok], j[ok]
+            weight = np.where((what[i] | what[j]) & DELETION, 1, 2 if deep else 1)
+            found.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), sizes[i] + sizes[j], weight))
+        mask = np.repeat(costly, n)
+        # The holder of the least id stands in the middle of the star.
+        place = np.lexsort((ids, np.repeat(np.arange(len(n)), n)))[starts]
+        least, middle = np.repeat(ids[place], n), np.repeat(sizes[place], n)
+        near = 4 * np.minimum(sizes, middle) >= 3 * np.maximum(sizes, middle)
+        one = np.ones(int(mask.sum()), np.int64)
+        # Stars are hints in the first pass, so a quarter of the subsets is enough; later they name families.
+        hint = mask if deep else mask & near & (s & np.uint64(3) == 0)
+        star = (least[hint], ids[hint], sizes[hint] + middle[hint], np.ones(int(hint.sum()), np.int64))
+        skipped = (ids[mask], (what[mask] >> 1 & 3).astype(np.int64), (what[mask] >> 3).astype(np.int64), one)
+
+        def counted(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+            order = np.lexsort((c, b, a))
+            a, b, c, w = a[order], b[order], c[order], w[order]
+            new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]))) if len(a) else np.empty(0, bool)
+            at = np.flatnonzero(new)
+            total = np.add.reduceat(w, at) if len(at) else w
+            for k in range(0, len(at), 100_000):
+                z = at[k : k + 100_000]
+                yield _batch(_OUT_NAMES, len(z), kind=np.full(len(z), kind), a=a[z], b=b[z], own_ne=c[z], n=total[k : k + 100_000])
+
+        if found:
+            yield from counted(PAIR, *(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)))
+        yield from counted(STAR, *star)
+        yield from counted(SKIPPED, *skipped)
 
     return run
 
 
-def _index(docs: DataFrame, slack: float, few: int, local: int, bytes_each: int, like: DataFrame, tag: str) -> DataFrame:
-    """One pass of the subset index over docs(doc_id, text, comp, own, guest): rows of ``_OUT``."""
-    parts = partitions_for(like, bytes_each)
-    mapped = docs.select("doc_id", "text", "comp", "own", "guest").mapInArrow(_mapper(slack, 16 * parts, local, few + 1), _MID)
-    return materialize(mapped.repartition(parts, "bucket").mapInArrow(_reducer(few), _OUT), tag)
+def _spread(spark: SparkSession, parts: int) -> np.ndarray:
+    """One number for each of ``parts`` hash partitions that Spark puts there, so that buckets are dealt evenly."""
+    at = spark.range(16 * parts).select(F.col("id").cast("int").alias("v"))
+    rows = at.groupBy(F.pmod(F.hash("v"), F.lit(parts)).alias("p")).agg(F.min("v").alias("v")).collect()
+    out = np.arange(parts, dtype=np.int64)
+    for r in rows:
+        out[r["p"]] = r["v"]
+    return out
+
+
+def _index(docs: DataFrame, slack: float, few: int, local: int, parts: int, deep: bool) -> DataFrame:
+    """One pass of the index over docs(doc_id, text, comp, own, guest): rows of ``_OUT``."""
+    mapped = docs.select("doc_id", "text", "comp", "own", "guest").mapInArrow(_mapper(slack, _spread(docs.sparkSession, parts), local, few + 1, deep), _MID)
+    return materialize(mapped.repartition(parts, "bucket").mapInArrow(_reducer(few, deep), _OUT), "index")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, width: int, chunk: int = 64) -> DataFrame:
@@ -332,68 +380,54 @@ def _verify(docs: DataFrame, pairs: DataFrame, width: int, chunk: int = 64) -> D
     return texts.repartition(width, "a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(check, "a long, b long")
 
 
-def _allocate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buys thresholds for each (doc, layout), cheapest first, from rows that hold its segments' costs."""
-    for batch in batches:
-        out: list[tuple] = []
-        for doc, side, need, seg, cost0, cost1 in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            heap = [(c, 0, s, i) for i, (s, c) in enumerate(zip(seg, cost0, strict=True))]
-            heapq.heapify(heap)
-            bought: dict[int, int] = {}
-            while need > 0 and heap:
-                _, t, s, i = heapq.heappop(heap)
-                bought[s] = t
-                need -= 1
-                if t == 0:
-                    heapq.heappush(heap, (cost1[i], 1, s, i))
-            out += [(doc, side, s, t) for s, t in bought.items()]
-        doc, side, seg, t = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(side, pa.int32()), pa.array(seg, pa.int32()), pa.array(t, pa.int32())], names=["doc", "side", "seg", "t"])
-
-
-def _neighbourhoods(slack: float):
-    """Segment subsets (kind 0) and their one-deletion neighbourhoods (kind 1) of the given layouts, empty segments too."""
+def _blocks(docs: DataFrame, family: DataFrame, size: int = 512) -> DataFrame:
+    """Links between unlike components within each family, by comparing blocks of about ``size`` documents.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, layouts = _Hash(), _Layouts(slack)
-        names = ["doc", "comp", "n", "side", "need", "seg", "kind", "sig"]
-        for batch in batches:
-            cols = batch.to_pydict()
-            for doc, text, comp, own, guest in zip(*(cols[c] for c in ("doc_id", "text", "comp", "own", "guest")), strict=True):
-                u = shingles(text, memo)
-                for side in (0, 1):
-                    where = layouts.of(u, bool(side)) if (own, guest)[side] and len(u) else None
-                    if not where:
-                        continue
-                    _, count, sums, seeds = layouts.subsets(u, where[0])
-                    of = np.repeat(np.arange(len(count)), count)
-                    sig = np.concatenate((_signature(sums, seeds), _signature(sums[of] - _mix(u), seeds[of])))
-                    k = len(sig)
-                    data = [np.full(k, doc), np.full(k, comp), np.full(k, len(u)), np.full(k, side), np.full(k, where[1] + 1), np.concatenate((np.arange(len(count)), of)), np.repeat([0, 1], [len(count), len(of)]), sig.view(np.int64)]
-                    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(data, types, strict=True)], names=names)
-
-    return run
-
-
-def _allocated_pairs(docs: DataFrame, slack: float = 1.0) -> DataFrame:
-    """Pairs among docs(doc_id, text, comp, own, guest) of unlike comp that share a subset or a one-deletion
-    neighbour which the cost-based allocation of either chose. Costs are rows of other components."""
-    e = materialize(docs.mapInArrow(_neighbourhoods(slack), "doc long, comp long, n long, side int, need int, seg int, kind int, sig long"), "nbh")
-    per = e.groupBy("sig", "comp").agg(F.sum(1 - F.col("kind")).alias("s"), F.sum("kind").alias("d"))
-    sums = per.groupBy("sig").agg(F.sum("s").alias("all_s"), F.sum("d").alias("all_d"))
-    cost = per.join(sums, "sig").select("sig", "comp", (F.col("all_s") - F.col("s")).alias("other_s"), (F.col("all_d") - F.col("d")).alias("other_d"))
-    priced = e.join(cost, ["sig", "comp"])
-    by_segment = priced.groupBy("doc", "side", "need", "seg").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("other_s")).otherwise(0)).alias("cost0"),
-        F.sum(F.when(F.col("kind") == 0, F.col("other_d")).otherwise(F.col("other_s"))).alias("cost1"),
-    )
-    rows = by_segment.groupBy("doc", "side", "need").agg(F.collect_list(F.struct("seg", "cost0", "cost1")).alias("x"))
-    bought = rows.select("doc", "side", "need", "x.seg", "x.cost0", "x.cost1").mapInArrow(_allocate, "doc long, side int, seg int, t int")
-    probe = priced.where("other_s + other_d > 0").join(bought, ["doc", "side", "seg"]).where("kind <= t").select("sig", F.col("doc").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("side").alias("x_side"), F.col("kind").alias("x_kind"), "t")
-    other = e.select("sig", F.col("doc").alias("y"), F.col("comp").alias("y_comp"), F.col("n").alias("y_n"), F.col("side").alias("y_side"), F.col("kind").alias("y_kind"))
-    met = probe.join(other, "sig").where("x_comp <> y_comp and x_kind + y_kind <= t and x_kind + y_kind < 2 and x_side + y_side < 2 and 4 * least(x_n, y_n) >= 3 * greatest(x_n, y_n)")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    family(rep, comp, family) names the documents. A task holds two blocks; of the links that it finds it
+    returns a spanning set over components.
+    """
+    counts = family.groupBy("family").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    dealt = family.join(counts, "family").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "comp", "family", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+    texts = docs.join(dealt, docs["doc_id"] == dealt["rep"]).select("rep", "comp", "family", "i", "lo", "hi", "text")
+
+    def compare(x: pd.DataFrame) -> pd.DataFrame:
+        memo = _Hash()
+        sets = [shingles(t, memo) for t in x["text"]]
+        n = np.array([len(u) for u in sets], np.int64)
+        order = np.argsort(n, kind="stable")
+        sets, n, x = [sets[k] for k in order], n[order], x.iloc[order]
+        comp, rep, block = (x[c].to_numpy(np.int64) for c in ("comp", "rep", "i"))
+        every, back = np.unique(np.concatenate(sets), return_inverse=True)
+        df = np.bincount(back, minlength=len(every))
+        rank = np.cumsum(df > 1) - 1
+        row, col = np.repeat(np.arange(len(n)), n), np.where(df[back] > 1, rank[back], -1)
+        common = np.zeros((len(n), len(n)), np.float32)
+        for at in range(0, int(rank[-1]) + 1 if len(rank) else 0, 2048):
+            some = (col >= at) & (col < at + 2048)
+            m = np.zeros((len(n), 2048), np.float32)
+            m[row[some], col[some] - at] = 1
+            common += m @ m.T
+        i, j = np.nonzero(np.triu(100 * common >= 75 * (n[:, None] + n[None, :] - common), 1))
+        across = (comp[i] != comp[j]) & ((block[i] != block[j]) | (x["lo"].iloc[0] == x["hi"].iloc[0]))
+        i, j = i[across], j[across]
+        pairs, first = np.unique(np.stack((comp[i], comp[j])), axis=1, return_index=True) if len(i) else (np.empty((2, 0), int), np.empty(0, int))
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c] = root.get(root[c], root[c])
+            return c
+
+        out = []
+        for a, b, k in zip(*pairs.tolist(), first.tolist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(rep[i[k]]), int(rep[j[k]])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return texts.groupBy("family", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, few: int = 4, local: int = 64, bytes_each: int = 8 << 20) -> DataFrame:
@@ -407,55 +441,59 @@ def jaccard_components(docs: DataFrame, few: int = 4, local: int = 64, bytes_eac
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     none, width = F.lit(None).cast("long"), partitions_for(docs, bytes_each)
-    first = _index(base.select("*", none.alias("comp"), F.lit(True).alias("own"), F.lit(True).alias("guest")), 1.25, few, local, bytes_each, docs, "sub1")
+    first = _index(base.select("*", none.alias("comp"), F.lit(True).alias("own"), F.lit(True).alias("guest")), 1.25, few, local, width, False)
     profiles = first.where(F.col("kind") == PROFILE)
-    classes = materialize(profiles.where("n > 0").groupBy("key").agg(F.min("a").alias("rep"), F.count("*").alias("copies")).where("rep is not null"), "classes")
-    # Which class an indexed document stands for; copies that index nothing are left out.
-    stands = materialize(profiles.where("own_ne is not null").join(classes.select("key", "rep"), "key").select(F.col("a").alias("doc"), "rep", F.col("n").alias("size"), "own_ne", "own_h", "guest_ne", "guest_h"), "stands")
-
-    def proposals(index: DataFrame, covered: DataFrame) -> DataFrame:
-        """Distinct pairs of classes from stars, and from enumerated subsets if they agree often enough."""
-        two = index.where(F.col("kind").isin(STAR, PAIR) & (F.col("a") != F.col("b"))).select("kind", "a", "b", "n")
-        ra = stands.select(F.col("doc").alias("a"), F.col("rep").alias("ra"), F.col("size").alias("na"))
-        rb = stands.select(F.col("doc").alias("b"), F.col("rep").alias("rb"), F.col("size").alias("nb"))
-        two = two.join(ra, "a").join(rb, "b").where("ra <> rb and 4 * least(na, nb) >= 3 * greatest(na, nb)")
-        two = two.select("kind", F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), F.floor((F.col("na") + F.col("nb")) / 7).alias("h"), "n")
-        two = two.groupBy("a", "b", "h").agg(F.sum(F.when(F.col("kind") == PAIR, F.col("n")).otherwise(0)).alias("n"), F.max((F.col("kind") == STAR).cast("int")).alias("star"))
-        ca, cb = (covered.select(F.col("rep").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab")
-        return two.join(ca, "a", "left").join(cb, "b", "left").where("star = 1 or n >= coalesce(least_a, 1) - h or n >= coalesce(least_b, 1) - h").where("star = 1 or n >= 1").select("a", "b")
-
-    def coverage(index: DataFrame, own_guest: DataFrame) -> DataFrame:
-        """Per class and layout: segments that were enumerated and the differences a partner may have."""
-        skipped = index.where(F.col("kind") == SKIPPED).groupBy(F.col("a").alias("doc"), F.col("b").cast("int").alias("side")).agg(F.sum("n").alias("skipped"))
-        long = own_guest.select("doc", "rep", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("own_ne").alias("ne"), F.col("own_h").alias("h")), F.struct(F.lit(1).alias("side"), F.col("guest_ne").alias("ne"), F.col("guest_h").alias("h")))).alias("x")).select("doc", "rep", "x.*").where("ne is not null")
-        return long.join(skipped, ["doc", "side"], "left").groupBy("rep", "side").agg(F.max(F.col("ne") - F.coalesce("skipped", F.lit(0))).alias("cheap"), F.max("h").alias("h"))
-
-    cover = materialize(coverage(first, stands), "cover")
-    least = cover.groupBy("rep").agg(F.min("cheap").alias("least"))
-    edges = materialize(_verify(base, materialize(proposals(first, least), "pairs"), width), "links")
-    roots = components(edges, "cc1")
-
-    open_ = cover.where("cheap <= h").groupBy("rep").agg(F.max((F.col("side") == 0).cast("int")).alias("own"), F.max("side").alias("guest"))
-    for step in (2, 3):
-        todo = materialize(
-            open_.join(roots, open_["rep"] == roots["node"], "left").select("rep", F.coalesce("root", "rep").alias("comp"), (F.col("own") > 0).alias("own"), (F.col("guest") > 0).alias("guest")), f"open{step}")
-        if todo.isEmpty():
-            break
-        again = base.join(todo, base["doc_id"] == todo["rep"]).select("doc_id", "text", "comp", "own", "guest")
-        if step == 2:
-            index = _index(again, 2.0, 3 * few, 64 * local, bytes_each, docs, "sub2")
-            own_guest = index.where((F.col("kind") == PROFILE) & F.expr("own_ne is not null or guest_ne is not null")).select(F.col("a").alias("doc"), F.col("a").alias("rep"), "own_ne", "own_h", "guest_ne", "guest_h")
-            cover = materialize(coverage(index, own_guest), "cover")
-            more = proposals(index, cover.groupBy("rep").agg(F.min("cheap").alias("least")))
-            open_ = cover.where("cheap <= h").groupBy("rep").agg(F.max((F.col("side") == 0).cast("int")).alias("own"), F.max("side").alias("guest"))
+    classes = profiles.where("n > 0").groupBy("key").agg(F.min("a").alias("rep"))
+    placed = materialize(profiles.where("n > 0").join(classes, "key", "left").select(F.col("a").alias("doc"), "n", "rep", "own_ne", "own_h", "guest_ne", "guest_h"), "placed")
+    copies = placed.where("own_ne is not null and doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+
+    def coverage(index: DataFrame, held: DataFrame, gain: int) -> DataFrame:
+        """Per indexed document and layout: the sum over segments of threshold + 1, and the differences a partner
+        may have."""
+        skipped = index.where(F.col("kind") == SKIPPED).select(F.col("a").alias("doc"), F.col("b").bitwiseAND(F.lit(1)).cast("int").alias("side"), F.col("own_ne").alias("seg"), (F.col("b") < 2).alias("subset"), "n")
+        if gain == 1:
+            lost = skipped.groupBy("doc", "side").agg(F.sum("n").alias("lost"))
         else:
-            more = _allocated_pairs(again)
-        found = materialize(_verify(base, materialize(more, "pairs"), width), "links")
-        if not found.isEmpty():
-            edges = edges.union(found)
+            lost = skipped.groupBy("doc", "side", "seg").agg(F.max(F.col("subset").cast("int")).alias("s")).groupBy("doc", "side").agg(F.sum(F.col("s") + 1).alias("lost"))
+        lost = lost.groupBy("doc").agg(*(F.sum(F.when(F.col("side") == i, F.col("lost")).otherwise(0)).alias(f"{c}_lost") for i, c in enumerate(("own", "guest"))))
+        both = held.where("own_ne is not null or guest_ne is not null").join(lost, "doc", "left")
+        return both.select("doc", *(x for c in ("own", "guest") for x in ((gain * F.col(f"{c}_ne") - F.coalesce(f"{c}_lost", F.lit(0))).alias(f"{c}_bought"), f"{c}_h")))
+
+    def proposals(index: DataFrame, cover: DataFrame, hint: int) -> DataFrame:
+        """Distinct pairs: from cheap entries if they agree as often as their differences allow, and from stars if
+        they do so in more than a few segments."""
+        two = index.where(F.col("kind").isin(STAR, PAIR) & (F.col("a") != F.col("b"))).select("kind", "a", "b", F.col("own_ne").alias("total"), "n")
+        two = two.groupBy("a", "b").agg(F.max("total").alias("total"), F.sum(F.when(F.col("kind") == PAIR, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("kind") == STAR, F.col("n")).otherwise(0)).alias("star"))
+        two = two.where(f"n > 0 or star > total / {hint}")
+        least = cover.select("doc", F.least("own_bought", "guest_bought").alias("least"))
+        ca, cb = (least.select(F.col("doc").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab")
+        two = two.join(ca, "a", "left").join(cb, "b", "left").withColumn("untouched", F.greatest(F.lit(1), F.coalesce("least_a", F.lit(1)) - F.floor(F.col("total") / 7), F.coalesce("least_b", F.lit(1)) - F.floor(F.col("total") / 7)))
+        return two.where(f"n >= untouched or star > total / {hint}").select("a", "b")
+
+    def uncovered(cover: DataFrame, roots: DataFrame) -> DataFrame:
+        own, guest = F.coalesce(F.col("own_bought") <= F.col("own_h"), F.lit(False)), F.coalesce(F.col("guest_bought") <= F.col("guest_h"), F.lit(False))
+        rest = cover.where(own | guest).select("doc", own.alias("own"), guest.alias("guest"))
+        return materialize(rest.join(roots, rest["doc"] == roots["node"], "left").select("doc", F.coalesce("root", "doc").alias("comp"), "own", "guest"), "open")
+
+    cover = materialize(coverage(first, placed, 1), "cover")
+    edges = copies.union(materialize(_verify(base, materialize(proposals(first, cover, 256), "pairs"), width), "links"))
+    roots = components(edges, "cc")
+    rest = uncovered(cover, roots)
+    if not rest.isEmpty():
+        again = base.join(rest, base["doc_id"] == rest["doc"]).select("doc_id", "text", "comp", "own", "guest")
+        least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        second = _index(again, 1.5, 4 * few, 64 * local, max(least, -(-rest.count() // 500)), True)
+        held = second.where(F.col("kind") == PROFILE).select(F.col("a").alias("doc"), "own_ne", "own_h", "guest_ne", "guest_h")
+        cover = materialize(coverage(second, held, 2), "cover")
+        edges = edges.union(materialize(_verify(base, materialize(proposals(second, cover, 64), "pairs"), width), "links"))
+        roots = components(edges, "cc")
+        rest = uncovered(cover, roots)
+        if not rest.isEmpty():
+            # Two sets within reach of each other hold a subset in common, so they are in one family.
+            families = components(second.where(F.col("kind") == STAR).select("a", "b"), "family")
+            grouped = rest.join(families, rest["doc"] == families["node"]).select(F.col("doc").alias("rep"), "comp", F.col("root").alias("family"))
+            edges = edges.union(materialize(_blocks(base, materialize(grouped, "family")), "links"))
             roots = components(edges, "cc")
 
-    held = profiles.where("n > 0").select("key", F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"))
-    placed = classes.join(roots, classes["rep"] == roots["node"], "left").select("key", F.coalesce("root", "rep").alias("component_id"))
-    some = held.join(placed, "key", "left").select("doc_id", "n_shingles", "component_id")
+    some = placed.join(roots, placed["rep"] == roots["node"], "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
     return some.union(profiles.where("n = 0").select(F.col("a"), F.col("n"), F.col("a")))
