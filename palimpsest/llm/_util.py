@@ -48,9 +48,12 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, bytes_each: int, most: int = 200_000) -> int:
-    """Shuffle width that grows with the input and is never under the session's setting."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(most, -(-input_bytes(df) // bytes_each)))
+    """Shuffle width that grows with the input and is never under the session's setting, which also stands
+    where Catalyst knows no size (as for rows that were handed over by the driver)."""
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
+    if size >= 1 << 60:
+        return least
+    return max(least, min(most, -(-size // bytes_each)))
 
 
 def crc32_of(column: Column) -> Column:
