@@ -13,8 +13,11 @@ pieces in parallel from ranks that are prefix sums of per-partition counts.
 from __future__ import annotations
 
 import math
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,26 +29,35 @@ from ._util import materialize
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 
 
-class _Ids(dict):
+class _Ids:
     """ids of a white-space-free run as little-endian bytes; exact, as the tokenizer drops white space
-    and no token or special token spans it. Emptied when it holds ``most`` runs."""
+    and no token or special token spans it. Emptied when it would hold more than ``most`` runs."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor already use its cores
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = self.tokenizer.encode(run, add_special_tokens=False).ids
-        self[run] = out = np.asarray(ids, "<u4").tobytes()
-        return out
+        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, dict[str, bytes]()
 
     def of(self, text: str | None) -> bytes:
         if not text:
             return b""
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        runs = text.replace("\n", " ").split(" ")
+        new = {run for run in runs if run not in self.known}
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = set(runs)
+        if new:
+            order = list(new)
+            for run, found in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
+                self.known[run] = array("I", found.ids).tobytes()
+        return b"".join(map(self.known.__getitem__, runs))
+
+
+@lru_cache(maxsize=1)
+def _ids_of(path: str) -> _Ids:
+    """One per Python worker, so that the tasks it runs one after another share it."""
+    return _Ids(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -58,7 +70,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        ids, part = _Ids(tokenizer), TaskContext.get().partitionId()
+        ids, part = _ids_of(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         last, width = np.uint32(end_id).astype("<u4").tobytes(), 4 * capacity
         for batch in batches:
