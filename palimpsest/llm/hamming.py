@@ -44,7 +44,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, c
     in any answer, so a code that very many rows share is cut down before the shuffle. A query without
     a code has no rows; one with fewer than k other rows has them all. Repeated ids count once. Where
     the next radius would need more than ``probe_limit`` probes a chunk, the queries still open are
-    compared with all codes in blocks instead. Radii and answers are written round by round.
+    compared with all codes in blocks instead. Radii and answers are written round by round. No join is
+    broadcast: either side may grow with the input, and the broadcasts of all rounds pile up in the driver.
     """
     width = -(-bits // chunks)
     cs = [f"c{j}" for j in range(chunks)]
@@ -64,22 +65,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, c
             break
         values = [F.struct(F.lit(j).alias("j"), _flipped(c, _masks(width, radius)).alias("vs")) for j, c in enumerate(cs)]
         probes = open_.select(*cs, F.explode(F.array(*values)).alias("p")).select(*cs, F.col("p.j").alias("j"), F.explode("p.vs").alias("v"))
-        met = probes.join(index, ["j", "v"]).select(*cs, *es, "n", distance.alias("d")).distinct()
-        found = met if seen is None else seen.join(open_, cs, "left_semi").union(met).distinct()
+        met = probes.join(index.hint("merge"), ["j", "v"]).select(*cs, *es, "n", distance.alias("d")).distinct()
+        found = met if seen is None else seen.join(open_.hint("merge"), cs, "left_semi").union(met).distinct()
         # Only what can be among the k nearest is kept: sums of entries by distance tell how far that is.
         hist = found.groupBy(*cs, "d").agg(F.sum("n").alias("n"))
         run = hist.withColumn("upto", F.sum("n").over(Window.partitionBy(*cs).orderBy("d")))
         kth = run.where(F.col("upto") >= k + 1).groupBy(*cs).agg(F.min("d").alias("kth"))
-        kept = materialize(found.join(kth, cs, "left").where("kth is null or d <= kth"), "found")
+        kept = materialize(found.join(kth.hint("merge"), cs, "left").where("kth is null or d <= kth"), "found")
         done = kept.where(F.col("kth") < chunks * (radius + 1)).select(*cs).distinct()
-        finished = materialize(kept.join(done, cs, "left_semi").select(*cs, *es, "n", "d"), "done")
+        finished = materialize(kept.join(done.hint("merge"), cs, "left_semi").select(*cs, *es, "n", "d"), "done")
         answers = finished if answers is None else answers.union(finished)
-        open_ = materialize(open_.join(done, cs, "left_anti"), "open")
+        open_ = materialize(open_.join(done.hint("merge"), cs, "left_anti"), "open")
         seen = kept.drop("kth")
     if answers is None or not open_.isEmpty():
         rest = _scan(open_, entries, cs, k)
         answers = rest if answers is None else answers.union(rest)
-    pairs = asked.join(answers, cs).select("vec_id", *es, "d").join(entries.select(*(F.col(c).alias(e) for c, e in zip(cs, es, strict=True)), F.explode("ids").alias("other")), es).where("other <> vec_id")
+    pairs = asked.join(answers.hint("merge"), cs).select("vec_id", *es, "d").join(entries.select(*(F.col(c).alias(e) for c, e in zip(cs, es, strict=True)), F.explode("ids").alias("other")).hint("merge"), es).where("other <> vec_id")
     nearest = Window.partitionBy("vec_id").orderBy("d", "other")
     return pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select(F.col("vec_id").alias("query_id"), F.col("other").alias("neighbour_id"), F.col("d").cast("int").alias("distance"), "rank")
 
