@@ -12,6 +12,7 @@ pieces in parallel from ranks that are prefix sums of per-partition counts.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import zlib
@@ -29,29 +30,79 @@ from ._util import materialize
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 
 
+_MARKS = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127))))
+_LATIN = frozenset(c for c in map(chr, range(256)) if c.isascii() and c.isalnum() or c >= "\xc0" and c.isalpha())
+_VISIBLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+#: The characters that stand for bytes in a byte-level vocabulary: visible ones for themselves, then from 256 on.
+_BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+
+
+class _Bounded(dict):
+    """A dict that makes what is missing; emptied when it would hold more than ``most``, keeps no long keys."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.make(key)
+        if len(key) > 200:
+            return out
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = out
+        return out
+
+
 class _Ids:
-    """ids of a white-space-free run as little-endian bytes; exact, as the tokenizer drops white space
-    and no token or special token spans it. Emptied when it would hold more than ``most`` runs."""
+    """ids of a text as little-endian bytes, equal to those of the tokenizer.
+
+    A tokenizer that ignores white space and case and cuts words into runs of letters, single digits and runs
+    of marks gets its texts by white-space-free runs, which are kept. A run is put together from its stem
+    (made small) and the marks that end it, which are kept too; a stem of Latin letters alone goes straight
+    to the vocabulary. Any other tokenizer gets whole texts."""
 
     def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor already use its cores
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, dict[str, bytes]()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.by_run = self._cuts_words(json.loads(self.tokenizer.to_str()))
+        self.stems = _Bounded(self._of_stem, most)
+        self.runs = _Bounded(self._of_run, most)
+
+    @staticmethod
+    def _cuts_words(spec: dict) -> bool:
+        """If the tokenizer is of the kind for which the ways by runs and stems are exact."""
+        normal = [(x["type"], x.get("pattern"), x.get("content")) for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cut = [(x["type"], x.get("pattern"), x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        words = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        special = all(x["content"].startswith("<|") and x["special"] and not (x["lstrip"] or x["rstrip"] or set(x["content"]) & set(" \n")) for x in spec["added_tokens"])
+        return special and normal == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)] and cut == [("Split", {"Regex": words}, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]
 
     def of(self, text: str | None) -> bytes:
         if not text:
             return b""
-        runs = text.replace("\n", " ").split(" ")
-        new = {run for run in runs if run not in self.known}
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = set(runs)
-        if new:
-            order = list(new)
-            for run, found in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
-                self.known[run] = array("I", found.ids).tobytes()
-        return b"".join(map(self.known.__getitem__, runs))
+        if not self.by_run:
+            return self._encode(text)
+        return b"".join(map(self.runs.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _of_run(self, run: str) -> bytes:
+        stem = run.rstrip(_MARKS)
+        # What may hold a special token, or has marks that may join what is before them, stays whole.
+        if stem[-1:] not in _LATIN or "<|" in run:
+            return self._encode(run)
+        small = stem.lower() if stem.isascii() or _LATIN.issuperset(stem) else stem
+        return self.stems[small] if len(stem) == len(run) else self.stems[small] + self.stems[run[len(stem) :]]
+
+    def _of_stem(self, stem: str) -> bytes:
+        if not stem.isalpha() or not (stem.isascii() or _LATIN.issuperset(stem)):
+            return self._encode(stem)
+        chars = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
 
 
 @lru_cache(maxsize=1)

@@ -89,6 +89,15 @@ def test_packing(spark, odd, none):
     assert packing.pack(none, queries.TOKENIZER).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_equal_those_of_the_tokenizer(name):
+    path = queries.public_tokenizers.path(name)
+    plain, ids = Tokenizer.from_file(path), packing._Ids(path, most=5)
+    texts = ["Don't 'S it's' x'LL a'b' ''s", "A<|endoftext|>b <|STARTOFTEXT|> <|startoftext|>", "É. É, é*** ÑÖ ñö, ÿ µ ª º ß", "ΣΑΣ. İx ǅa. K ²³, x²! a\u0338! !\u0338 x\u0301, 中文, 1,2.3% A_b_", "a\u00a0b,\u3000c \t\r\n\n", "", " ", "\n", ",", "z" * 3000 + "," * 300]
+    for text in [*texts, " ".join(texts)] * 2:
+        assert np.frombuffer(ids.of(text), np.uint32).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_is_tight():
     rnd = random.Random(1)
     for _ in range(5):
