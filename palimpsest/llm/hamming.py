@@ -9,7 +9,7 @@ kth verified distance is below that. Radii grow only for the queries that are no
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, takewhile
 from math import comb
 
 import numpy as np
@@ -44,7 +44,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, c
     in any answer, so a code that very many rows share is cut down before the shuffle. A query without
     a code has no rows; one with fewer than k other rows has them all. Repeated ids count once. Where
     the next radius would need more than ``probe_limit`` probes a chunk, the queries still open are
-    compared with all codes in blocks instead. Radii and answers are written round by round. No join is
+    compared with all codes in blocks instead. So no round can need what is farther than the last radius
+    covers, and the join of probes and index leaves that out. Radii and answers are written round by round. No join is
     broadcast: either side may grow with the input, and the broadcasts of all rounds pile up in the driver.
     """
     width = -(-bits // chunks)
@@ -60,12 +61,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, c
     seen: DataFrame | None = None
     answers: DataFrame | None = None
     es = [f"e{j}" for j in range(chunks)]
-    for radius in range(width + 1):
-        if comb(width, radius) > probe_limit or open_.isEmpty():
+    radii = list(takewhile(lambda r: comb(width, r) <= probe_limit, range(width + 1)))
+    for radius in radii:
+        if open_.isEmpty():
             break
         values = [F.struct(F.lit(j).alias("j"), _flipped(c, _masks(width, radius)).alias("vs")) for j, c in enumerate(cs)]
         probes = open_.select(*cs, F.explode(F.array(*values)).alias("p")).select(*cs, F.col("p.j").alias("j"), F.explode("p.vs").alias("v"))
-        met = probes.join(index.hint("merge"), ["j", "v"]).select(*cs, *es, "n", distance.alias("d")).distinct()
+        met = probes.join(index.hint("merge"), ["j", "v"]).where(distance < chunks * len(radii)).select(*cs, *es, "n", distance.alias("d")).distinct()
         found = met if seen is None else seen.join(open_.hint("merge"), cs, "left_semi").union(met).distinct()
         # Only what can be among the k nearest is kept: sums of entries by distance tell how far that is.
         hist = found.groupBy(*cs, "d").agg(F.sum("n").alias("n"))
@@ -103,10 +105,8 @@ def _scan(queries: DataFrame, entries: DataFrame, cs: list[str], k: int, block:
                 e, n = x[cs].to_numpy(np.int64), x["n"].to_numpy(np.int64)
                 for code in q:
                     d = np.bitwise_count(e ^ code).sum(1).astype(np.int64)
-                    order = np.argsort(d, kind="stable")
-                    upto = np.cumsum(n[order])
-                    last = d[order[min(int(np.searchsorted(upto, k + 1)), len(d) - 1)]]
-                    keep = np.flatnonzero(d <= last)
+                    upto = np.cumsum(np.bincount(d, n))
+                    keep = np.flatnonzero(d <= np.searchsorted(upto, k + 1))
                     yield pd.DataFrame(np.column_stack((np.tile(code, (len(keep), 1)), e[keep], n[keep], d[keep])), columns=[*cs, *(f"e{c[1:]}" for c in cs), "n", "d"])
 
         part = entries.select(*cs, F.size("ids").alias("n")).mapInPandas(near, schema)
