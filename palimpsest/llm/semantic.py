@@ -180,10 +180,33 @@ def find(docs: DataFrame, benchmark: DataFrame, rank: int = 48, cosine: float =
     if not len(items.ids):
         return docs.sparkSession.createDataFrame([], schema)
     fold, _ = latent_space(docs, items, rank)
-    fold32 = fold.astype(np.float32)
     latent = _unit(np.array([fold[t].sum(0) for t in items.tokens])).astype(np.float32)
-    by_kind = {k: np.flatnonzero(items.kind == k) for k in range(len(SIZES)) if (items.kind == k).any()}
     columns, tokens, answers, ids = items.columns, items.tokens, items.answers, items.ids
+    by_kind = []
+    for kind, size in enumerate(SIZES):
+        which = np.flatnonzero(items.kind == kind)
+        if len(which):
+            lengths = np.array([len(tokens[i]) for i in which])
+            padded = np.full((len(which), lengths.max()), len(columns))
+            for row, i in enumerate(which):
+                padded[row, : len(tokens[i])] = tokens[i]
+            by_kind.append((size, which, partly * min(size, lengths.min()), np.ascontiguousarray(latent[which].T), padded, partly * lengths))
+
+    def plausible(t: np.ndarray, low: np.ndarray, high: np.ndarray, near: np.ndarray, padded: np.ndarray, least: np.ndarray, block: int = 256) -> Iterator[tuple[int, int]]:
+        """Pairs (window, item) of ``near`` of which enough of the item's words are between ``low`` and ``high``."""
+        for k in range(0, len(low), block):
+            w, i = np.nonzero(near[k : k + block])
+            if not len(w):
+                continue
+            some, at = np.unique(w, return_inverse=True)
+            a, b = low[k + some], high[k + some]
+            place = a[:, None] + np.arange((b - a).max())
+            cols = np.where(place < b[:, None], t[np.minimum(place, len(t) - 1)], -1)
+            inside = np.zeros((len(some), len(columns) + 1), bool)
+            inside[np.arange(len(some))[:, None], cols] = True
+            inside[:, -1] = False
+            ok = inside[at[:, None], padded[i]].sum(1) >= least[i]
+            yield from zip((w[ok] + k).tolist(), i[ok].tolist(), strict=True)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Tokens(columns)
@@ -191,32 +214,28 @@ def find(docs: DataFrame, benchmark: DataFrame, rank: int = 48, cosine: float =
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = memo.of(text)
-                known = np.concatenate(([0], np.cumsum(t >= 0)))
+                is_known = t >= 0
+                known = np.concatenate(([0], np.cumsum(is_known)))
                 sums = None
                 best: dict[int, tuple] = {}
-                for kind, which in by_kind.items():
-                    size = SIZES[kind]
+                for size, which, least, targets, padded, needed in by_kind:
                     step = size // 3
                     starts = np.arange(0, max(1, len(t) - size + step), step)
                     ends = np.minimum(starts + size, len(t))
                     starts = np.maximum(0, ends - size)
-                    starts, ends = (x[known[ends] - known[starts] >= partly * min(size, min(len(tokens[i]) for i in which))] for x in (starts, ends))
+                    enough = known[ends] - known[starts] >= least
+                    starts, ends = starts[enough], ends[enough]
                     if not len(starts):
                         continue
                     if sums is None:
-                        sums = np.concatenate((np.zeros((1, fold32.shape[1]), np.float32), np.cumsum(np.where((t >= 0)[:, None], fold32[t], 0), axis=0, dtype=np.float64)))
-                    near = _unit(sums[ends] - sums[starts]) @ latent[which].T
-                    last = -1
-                    for w, i in zip(*(x.tolist() for x in np.nonzero(near >= cosine)), strict=True):
+                        # Prefix sums over the known words only; ``known`` counts those before each place.
+                        sums = np.zeros((known[-1] + 1, fold.shape[1]))
+                        np.cumsum(fold[t[is_known]], axis=0, out=sums[1:])
+                    near = _unit((sums[known[ends]] - sums[known[starts]]).astype(np.float32)) @ targets
+                    low, high = np.maximum(0, starts - size // 2), np.minimum(len(t), ends + size // 2)
+                    for w, i in plausible(t, low, high, near >= cosine, padded, needed):
                         item = int(which[i])
-                        n = len(tokens[item])
-                        if w != last:
-                            part, last = t[max(0, int(starts[w]) - size // 2) : int(ends[w]) + size // 2], w
-                            inside = np.zeros(len(columns) + 1, bool)
-                            inside[part] = True
-                            inside[-1] = False
-                        if np.count_nonzero(inside[tokens[item]]) < partly * n:
-                            continue
+                        n, part = len(tokens[item]), t[low[w] : high[w]]
                         common = lcs(tokens[item], part)
                         if common < partly * n or (item in best and best[item][0] >= common):
                             continue
