@@ -195,6 +195,21 @@ def test_line_dedup_recall(spark):
     assert dropped <= want and len(dropped) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("small", [64, 2])
+def test_line_dedup_compares_whole_buckets(spark, small):
+    """Clusters of lines in one bucket, of which most are under the threshold to the bucket's ends."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    core, lines = " ".join(word() for _ in range(14)), []
+    for _ in range(12):
+        own = " ".join(word() for _ in range(4))
+        lines += [f"{core} {own}", f"{core} {own} {word()}"]
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in lines]
+    assert all((100 * len(a & b) >= 75 * len(a | b)) == (i // 2 == j // 2) for i, a in enumerate(sets) for j, b in enumerate(sets))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id for r in linededup.duplicate_lines(docs, small=small).collect()} == set(range(1, 24, 2))
+
+
 def test_urls(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     extra = [(1001, None, None), (1002, "no scheme", ""), (1003, "HTTP://WWW.Example.COM/en/7?x", None), (1004, "http://notexample.com/en/7", None), (1005, "x://example.com?/en/", None), (1006, "http://example.net/de/8#a/b", None)]
