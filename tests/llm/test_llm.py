@@ -210,6 +210,15 @@ def test_line_dedup_compares_whole_buckets(spark, small):
     assert {r.doc_id for r in linededup.duplicate_lines(docs, small=small).collect()} == set(range(1, 24, 2))
 
 
+def test_line_dedup_without_blanks(spark):
+    """Near copies of lines without a blank that differ in their first characters."""
+    rng = random.Random(8)
+    bodies = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(200)) for _ in range(6)] + ["".join(rng.choices("abcdef0123456789", k=400)) for _ in range(6)]
+    lines = [x for i, b in enumerate(bodies) for x in (b, f"{i % 10}#{b[2:]}")]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id for r in linededup.duplicate_lines(docs).collect()} == set(range(1, 24, 2))
+
+
 def test_urls(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     extra = [(1001, None, None), (1002, "no scheme", ""), (1003, "HTTP://WWW.Example.COM/en/7?x", None), (1004, "http://notexample.com/en/7", None), (1005, "x://example.com?/en/", None), (1006, "http://example.net/de/8#a/b", None)]
