@@ -51,7 +51,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, c
     width = -(-bits // chunks)
     cs = [f"c{j}" for j in range(chunks)]
     by_code = Window.partitionBy(*cs).orderBy("vec_id")
-    rows = codes(vectors, bits, chunks).withColumn("r", F.row_number().over(by_code)).where(F.col("r") <= 2 * (k + 1)).dropDuplicates(["vec_id", *cs])
+    rows = codes(vectors, bits, chunks).dropDuplicates(["vec_id", *cs])
     # A row number per code is limited within each task before the shuffle.
     entries = materialize(rows.withColumn("r", F.row_number().over(by_code)).where(F.col("r") <= k + 1).groupBy(*cs).agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "codes")
     asked = materialize(codes(queries, bits, chunks).dropDuplicates(["vec_id"]), "asked")

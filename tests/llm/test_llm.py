@@ -314,6 +314,13 @@ def test_topk(spark, limit):
     assert set(got) == set(range(0, 150, 20))
 
 
+def test_topk_counts_repeated_rows_once(spark):
+    code = [1.0] * 64
+    df = spark.createDataFrame([(0, code)] * 40 + [(i, code) for i in range(1, 9)], "vec_id long, embedding array<float>")
+    got = sorted((r["rank"], r.neighbour_id, r.distance) for r in hamming.top_k(df, df.where("vec_id = 0"), 5).collect())
+    assert got == [(i, i, 0) for i in range(1, 6)]
+
+
 def test_pipeline(spark, odd):
     import corpus_pipeline as p
 
