@@ -23,6 +23,14 @@ _EDGE = b".,;:!?\"'()[]{}<>*-_#%$&|"
 SIZES = (16, 24, 36, 54, 80)
 
 
+def _sizes(longest: int) -> list[int]:
+    """Widths of windows: SIZES, and on by half until the longest item's length is near one."""
+    out = list(SIZES)
+    while out[-1] < longest:
+        out.append(out[-1] * 3 // 2)
+    return out
+
+
 class _Tokens(dict):
     """Word to the column of its normal form (A-Z lower-cased, marks at its ends dropped), -1 if that is not a
     word of the benchmark, -2 if nothing is left of it; bounded."""
@@ -82,7 +90,8 @@ class Items:
             stops = [k for k, w in enumerate(raw[:-1]) if w.endswith((b".", b"?", b":"))]
             most = max(1, len(tokens) // 3)
             self.answers.append(tokens[-min(most, len(raw) - 1 - stops[-1] if stops else most) :])
-        self.kind = np.array([int(np.argmin([abs(np.log(len(t) / s)) for s in SIZES])) for t in self.tokens], np.int64)
+        self.sizes = _sizes(max(map(len, self.tokens), default=0))
+        self.kind = np.array([int(np.argmin([abs(np.log(len(t) / s)) for s in self.sizes])) for t in self.tokens], np.int64)
 
 
 def _passage_sums(items: Items, rank: int, passage: int, seed: int):
@@ -166,7 +175,7 @@ def find(docs: DataFrame, benchmark: DataFrame, rank: int = 48, cosine: float =
 
     An item is found if a window's cosine reaches ``cosine`` and, around it, the longest common subsequence
     holds ``whole`` of the item's words, or ``partly`` of them and ``answer`` of its answer's. All windows of
-    whole texts are compared, of a width near the item's length and a third of it apart. A window in
+    whole texts are compared, of a width near the item's length, however long it is, and a third of it apart. A window in
     which fewer than ``partly`` of the words are benchmark words is passed over, as no check could
     confirm it. The benchmark is collected, so it is counted first and may have ``max_items`` rows.
 
@@ -183,7 +192,7 @@ def find(docs: DataFrame, benchmark: DataFrame, rank: int = 48, cosine: float =
     latent = _unit(np.array([fold[t].sum(0) for t in items.tokens])).astype(np.float32)
     columns, tokens, answers, ids = items.columns, items.tokens, items.answers, items.ids
     by_kind = []
-    for kind, size in enumerate(SIZES):
+    for kind, size in enumerate(items.sizes):
         which = np.flatnonzero(items.kind == kind)
         if len(which):
             lengths = np.array([len(tokens[i]) for i in which])

@@ -272,6 +272,17 @@ def test_decontamination(spark, odd, none):
     assert semantic.find(odd, bench).count() == 0 == semantic.find(none, bench).count() == semantic.find(docs, bench.where("false")).count()
 
 
+def test_decontamination_of_long_items(spark):
+    rng = random.Random(3)
+    text = lambda n, start: " ".join(f"{start}{rng.randrange(4000)}" for _ in range(n))
+    lengths = [30, 200, 300, 1000, 5000]
+    items = [text(n, "w") for n in lengths]
+    docs = spark.createDataFrame([(i, f"{text(400, 'f')} {t} {text(400, 'f')}") for i, t in enumerate(items)] + [(9, text(3000, "f"))], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.common, r.item_words) for r in semantic.find(docs, bench).collect()}
+    assert got == {(i, i): (n, n) for i, n in enumerate(lengths)}
+
+
 def test_lcs():
     rnd = random.Random(4)
     for _ in range(100):
