@@ -22,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their duplicate lines; those of which no line is left go."""
-    out = linededup.dedup(docs)
+    out = linededup.dedup(docs, least=1)
     return out.where("n_dropped = 0 or text rlike '[^ \\\\t\\\\n-\\\\r]'").select(*docs.columns)
 
 

@@ -48,7 +48,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 

@@ -220,6 +220,20 @@ def test_line_dedup_without_blanks(spark):
     assert {r.doc_id for r in linededup.duplicate_lines(docs).collect()} == set(range(1, 24, 2))
 
 
+def test_line_dedup_of_short_lines(spark):
+    docs = spark.createDataFrame([(1, "les.\n\n \nand ornd."), (2, "les.\n\n\t\r\nsome\nLES. "), (3, "and ornd.\n\t\r\n\u4e2d")], "doc_id long, text string")
+    assert {r.doc_id: r["drop"] for r in linededup.duplicate_lines(docs, least=1).collect()} == {2: [0, 4], 3: [0]}
+
+
+def test_registered_line_dedup_takes_short_lines(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "les.\nand ornd."), (2, "les.\nsome")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_dropped for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, str(tmp_path)).collect()} == {1: "les.\nand ornd.", 2: "some"}
+
+
 def test_urls(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     extra = [(1001, None, None), (1002, "no scheme", ""), (1003, "HTTP://WWW.Example.COM/en/7?x", None), (1004, "http://notexample.com/en/7", None), (1005, "x://example.com?/en/", None), (1006, "http://example.net/de/8#a/b", None)]
