@@ -135,6 +135,8 @@ _TYPES = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "n": pa.int64(),
 PROFILE, BLOCK, STAR, SKIPPED, PAIR = range(5)
 #: Flags of an index entry: more holders were combined in its task; it uses the layout of the band below; it is a deletion.
 THIN, GUEST, DELETION = 1, 2, 4
+#: Added to the segment of an empty subset of a set that has enough filled ones: it names no family.
+EMPTY = 1 << 28
 
 
 def _batch(names: list[str], rows: int, **columns) -> pa.RecordBatch:
@@ -152,15 +154,16 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _entries(layouts: _Layouts, u: np.ndarray, band: int, most: int, deep: bool) -> tuple[np.ndarray, np.ndarray, int]:
     """Signatures of a set's segment subsets, what each is (segment and flags) and how many segments count.
 
-    ``deep`` adds one-deletion neighbours, and, for a set that has too few filled segments to be
-    covered, the empty segments too."""
+    ``deep`` adds the empty segments, which the deletion of a partner's only element meets, and one-deletion
+    neighbours. Empty segments are marked unless the set has too few filled ones to be covered."""
     _, count, sums, seeds = layouts.subsets(u, band)
-    seg = np.flatnonzero(count) if not deep or np.count_nonzero(count) > most else np.arange(len(count))
+    seg = np.arange(len(count)) if deep else np.flatnonzero(count)
     sig = _signature(sums[seg], seeds[seg])
     if not deep:
         return sig, np.zeros(len(sig), np.int64), len(seg)
-    of = np.repeat(np.arange(len(count)), count)
-    return np.concatenate((sig, _signature(sums[of] - _mix(u), seeds[of]))), np.concatenate((seg << 3, of << 3 | DELETION)), len(seg)
+    of = np.repeat(seg, count)
+    named = seg + EMPTY * (count == 0) if np.count_nonzero(count) > most else seg
+    return np.concatenate((sig, _signature(sums[of] - _mix(u), seeds[of]))), np.concatenate((named << 3, of << 3 | DELETION)), len(seg)
 
 
 def _mapper(slack: float, spread: np.ndarray, local: int, forward: int, deep: bool, flush: int = 1_000_000):
@@ -196,7 +199,9 @@ def _mapper(slack: float, spread: np.ndarray, local: int, forward: int, deep: bo
                 keep[lo:hi] = stay
                 what[lo:hi] |= THIN
                 rest, n = ~stay, hi - lo
-                yield _batch(names, n, kind=np.full(n, STAR), a=np.full(n, of.min()), b=of, own_ne=sizes[d[lo:hi]] + sizes[d[lo + of.argmin()]], n=np.ones(n, np.int64), bucket=spread[np.arange(n) % buckets])
+                hint = what[lo:hi] >> 3 < EMPTY
+                h = int(hint.sum())
+                yield _batch(names, h, kind=np.full(h, STAR), a=np.full(h, of.min()), b=of[hint], own_ne=(sizes[d[lo:hi]] + sizes[d[lo + of.argmin()]])[hint], n=np.ones(h, np.int64), bucket=spread[np.arange(h) % buckets])
                 m = int(rest.sum())
                 yield _batch(names, m, kind=np.full(m, SKIPPED), a=of[rest], b=what[lo:hi][rest] >> 1 & 3, own_ne=what[lo:hi][rest] >> 3, n=np.ones(m, np.int64), bucket=spread[np.arange(m) % buckets])
             s, what, d = s[keep], what[keep], d[keep]
@@ -314,7 +319,7 @@ def _reducer(few: int, deep: bool, ratio: int = 32):
         near = 4 * np.minimum(sizes, middle) >= 3 * np.maximum(sizes, middle)
         one = np.ones(int(mask.sum()), np.int64)
         # Stars are hints in the first pass, so a quarter of the subsets is enough; later they name families.
-        hint = mask if deep else mask & near & (s & np.uint64(3) == 0)
+        hint = mask & (what >> 3 < EMPTY) if deep else mask & near & (s & np.uint64(3) == 0)
         star = (least[hint], ids[hint], sizes[hint] + middle[hint], np.ones(int(hint.sum()), np.int64))
         skipped = (ids[mask], (what[mask] >> 1 & 3).astype(np.int64), (what[mask] >> 3).astype(np.int64), one)
 

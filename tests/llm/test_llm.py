@@ -157,6 +157,29 @@ def test_jaccard_join(spark, odd, none, few, local):
         assert setjoin.jaccard_components(none).count() == 0
 
 
+def test_linked_pairs_agree_as_often_as_both_sets_count_on():
+    """The second pass: of two sets close to 0.75 with private elements, either expects no more of the other than it has."""
+    rng, layouts, memo = random.Random(4), setjoin._Layouts(1.5), setjoin._Hash()
+    for t in range(200):
+        core, private = rng.randrange(15, 250), rng.randrange(3)
+        tails = [(core - 4) // 3 - private, private]
+        sets = [setjoin.shingles(" ".join([f"c{t}x{k}" for k in range(core)] + [f"t{t}x{i}x{k}" for k in range(n)]), memo) for i, n in enumerate(tails)]
+        held, bought = [], []
+        for u in sets:
+            of, least = {}, []
+            for guest in (0, 1):
+                where = layouts.of(u, bool(guest))
+                if where:
+                    sig, what, segments = setjoin._entries(layouts, u, *where, True)
+                    for s, x in zip(sig.tolist(), what.tolist(), strict=True):
+                        of.setdefault(s, []).append(x | guest * setjoin.GUEST)
+                    least.append(2 * segments)
+            held.append(of)
+            bought.append(min(least))
+        met = [x | y for s in held[0].keys() & held[1].keys() for x in held[0][s] for y in held[1][s] if not x & y & (setjoin.GUEST | setjoin.DELETION)]
+        assert sum(1 if x & setjoin.DELETION else 2 for x in met) >= max(bought) - sum(map(len, sets)) // 7
+
+
 def test_warc(spark, duck, tmp_path):
     same_rows(queries.op5_warc(spark, SF), duck, queries.OP5_SQL)
     long = "é\r\n\r\nWARC/1.1\r\n" * 200
