@@ -29,13 +29,13 @@ def neighbors(edges: DataFrame, nodes: DataFrame, direction: str = "both", **rel
     return {"out": out, "in": into}.get(direction, out.union(into)).distinct()
 
 
-def closure(edges: DataFrame, seeds: DataFrame, upward: bool = True, keep=lambda df: df, most: int = 200) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, upward: bool = True, keep=lambda df: df) -> DataFrame:
     """node, reached: everything upstream (or downstream) of each seed(node), by frontier joins with
-    deduplication. ``keep`` cuts lineage of each round, e.g. materialises it in a shared folder."""
+    deduplication until nothing new is reached. ``keep`` cuts lineage of each round, e.g. materialises it in a shared folder."""
     step = edges.select(F.col("dependent" if upward else "source").alias("at"), F.col("source" if upward else "dependent").alias("to")).distinct()
     frontier = keep(seeds.select("node", F.col("node").alias("at")).distinct())
     known: DataFrame | None = None
-    for _ in range(most):
+    while True:
         found = frontier.join(step, "at").select("node", F.col("to").alias("reached")).distinct()
         if known is not None:
             found = found.join(known, ["node", "reached"], "left_anti")
