@@ -4,10 +4,10 @@ Documents become token ids and one end id; only what is longer than a sequence i
 histogram of piece lengths has at most ``capacity`` rows however large the corpus is, so the
 driver solves the program over it: minimise the number of sequences so that the chosen
 configurations (multisets of lengths that fit one sequence) cover every length. Multiplicative
-weights hold a price per length; a knapsack dynamic program finds the best-paid configuration;
-the average of the answers is an approximate fractional solution, which is rounded down, and
-what is left is packed by best fit over the same histogram. Places are then handed out to the
-pieces in parallel from ranks that are prefix sums of per-partition counts.
+weights hold a price per length; a knapsack dynamic program finds the best-paid configurations;
+the average of the answers is an approximate fractional solution, which is rounded, and what that
+leaves is a smaller program of the same kind. Places are then handed out to the pieces in parallel
+from ranks that are prefix sums of per-partition counts.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -38,17 +39,27 @@ _BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - se
 
 
 class _Bounded(dict):
-    """A dict that makes what is missing; emptied when it would hold more than ``most``, keeps no long keys."""
+    """A dict that makes what is missing and takes about ``most`` bytes: when it holds half of that, its entries
+    become the older half, out of which only what is asked for again comes back. Keeps no long keys."""
+
+    #: Bytes of an entry besides those of its key and value: their headers and the dict's own slot.
+    EACH = 49 + 33 + 100
 
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.held, self.older = make, most, 0, {}
 
     def __missing__(self, key: str) -> bytes:
-        out = self.make(key)
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
         if len(key) > 200:
             return out
-        if len(self) >= self.most:
+        size = self.EACH + 2 * len(key) + len(out)
+        if 2 * (self.held + size) > self.most:
+            self.older = dict(self)
             self.clear()
+            self.held = 0
+        self.held += size
         self[key] = out
         return out
 
@@ -59,9 +70,9 @@ class _Ids:
     A tokenizer that ignores white space and case and cuts words into runs of letters, single digits and runs
     of marks gets its texts by white-space-free runs, which are kept. A run is put together from its stem
     (made small) and the marks that end it, which are kept too; a stem of Latin letters alone goes straight
-    to the vocabulary. Any other tokenizer gets whole texts."""
+    to the vocabulary. Any other tokenizer gets whole texts. Stems and runs are kept in ``most`` bytes each."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 64 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor already use its cores
         from tokenizers import Tokenizer
 
@@ -140,69 +151,111 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECE_SCHEMA)
 
 
-def _best_configuration(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
-    """Unbounded knapsack: the multiset of lengths of the highest total price within capacity."""
-    best = np.zeros(capacity + 1)
-    pick = np.zeros(capacity + 1, np.int64)
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        fits = lengths[: np.searchsorted(lengths, room, "right")]
-        if len(fits):
-            values = best[room - fits] + prices[: len(fits)]
-            at = int(values.argmax())
-            if values[at] > best[room] + 1e-15:
-                best[room], pick[room] = values[at], fits[at]
-    config: dict[int, int] = {}
-    room = capacity
-    while room > 0:
-        if pick[room]:
-            config[int(pick[room])] = config.get(int(pick[room]), 0) + 1
-            room -= int(pick[room])
-        else:
-            room -= 1
-    return config, float(best[capacity])
-
-
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 150, step: float = 0.3) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how often each is used; together they hold every piece exactly once.
-
-    Work and memory depend on ``capacity`` and ``rounds`` alone, never on the number of pieces.
+class _Knapsack:
+    """Bounded knapsack over lengths: no configuration holds more of a length than there are pieces of it."""
+
+    def __init__(self, lengths: np.ndarray, need: np.ndarray, capacity: int):
+        self.lengths, self.capacity = lengths, capacity
+        self.copies = np.minimum(need, capacity // lengths)
+        goods = []  # a length's copies as bundles of 1, 2, 4, ...
+        for i, left in enumerate(self.copies.tolist()):
+            bundle = 1
+            while left > 0:
+                goods.append((i, min(bundle, left)))
+                left, bundle = left - bundle, 2 * bundle
+        self.of, self.times = (np.array(x, np.int64) for x in zip(*goods, strict=True))
+        self.size = self.times * lengths[self.of]
+
+    def answers(self, prices: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """For every length the best-paid configuration that holds it (and the best of all), what each is paid, and the
+        highest pay."""
+        best = np.zeros(self.capacity + 1)
+        take = np.zeros((len(self.of), self.capacity + 1), bool)
+        for k, (size, worth) in enumerate(zip(self.size.tolist(), (self.times * prices[self.of]).tolist(), strict=True)):
+            with_it = best[: self.capacity + 1 - size] + worth
+            take[k, size:] = with_it > best[size:] + 1e-12
+            np.maximum(best[size:], with_it, out=best[size:])
+        room = self.capacity - np.append(self.lengths, 0)
+        rows = np.eye(len(room), len(self.lengths), dtype=np.int64)
+        for k in range(len(self.of) - 1, -1, -1):
+            at = np.flatnonzero(take[k, room])
+            room[at] -= self.size[k]
+            rows[at, self.of[k]] += self.times[k]
+        rows = np.minimum(rows, self.copies)  # the one that was held from the start may be one too many
+        return rows, rows @ prices, float(best[-1])
+
+
+def _fractional(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int, step: float, slack: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Configurations, how often the fractional solution uses each, and a lower bound on the number of sequences.
+
+    The oracle's answer to a round's prices is a mix of configurations that are paid the highest price but for
+    ``slack``, each as often as its scarcest length allows: a mix covers many lengths at once, which keeps the
+    program's width, and so the rounds, small. Weights fall with what a round covers. By duality the sum of all
+    prices over the highest pay bounds every solution from below."""
+    pack = _Knapsack(lengths, need, capacity)
+    weight = need * lengths * (1 + 0.05 * lengths / capacity)  # near the best prices if waste can be avoided
+    bound, made, used = 0.0, [], []
+    for _ in range(rounds):
+        rows, paid, top = pack.answers(weight / need)
+        bound = max(bound, float(weight.sum() / top))
+        rows = rows[paid >= (1 - slack) * top - 1e-12]
+        times = (need / np.maximum(rows, 1)).min(1)
+        cover = times @ rows / need
+        made.append(rows), used.append(times / cover.max())
+        weight = weight * np.exp(-step * cover / cover.max())
+        weight = np.maximum(weight / weight.max(), 1e-9)
+    rows, back = np.unique(np.concatenate(made), axis=0, return_inverse=True)
+    times = np.bincount(back.ravel(), np.concatenate(used), len(rows))
+    return rows, times * bound / times.sum(), bound
+
+
+@dataclass(frozen=True)
+class Solution:
+    """plan: configurations and how often each is used; bound: no packing has fewer sequences; by_program: the
+    pieces that the rounded program placed, of ``pieces`` shorter than a sequence."""
+
+    plan: list[tuple[dict[int, int], int]]
+    bound: int
+    pieces: int
+    by_program: int
+
+
+def solve(histogram: dict[int, int], capacity: int, rounds: int = 6) -> list[tuple[dict[int, int], int]]:
+    """The plan of ``solution``."""
+    return solution(histogram, capacity, rounds).plan
+
+
+def solution(histogram: dict[int, int], capacity: int, rounds: int = 6, step: float = 1.0, slack: float = 0.005) -> Solution:
+    """Configurations that together hold every piece of ``histogram`` (length to number) exactly once.
+
+    The program's fractional solution is rounded: configurations in falling order of use, at least once each,
+    as far as pieces last. What that leaves is a smaller program, which is solved and rounded in turn until
+    less than 1 / 200 of the pieces are left or a program places less than 1 / 1000 of its own. Those go by best fit. Work and
+    memory depend on the number of different lengths, which ``capacity`` bounds, and hardly on that of pieces.
     """
     left = {n: c for n, c in histogram.items() if c > 0 and n > 0}
-    plan: list[tuple[dict[int, int], int]] = []
-    for n in [n for n in left if 2 * n > capacity and n == capacity]:
-        plan.append(({n: 1}, left.pop(n)))
-    if left:
-        lengths = np.array(sorted(left))
-        need = np.array([left[n] for n in lengths], float)
-        weight = np.ones(len(lengths))
-        tried: dict[tuple, list] = {}
-        for _ in range(rounds):
-            prices = weight / need
-            config, _ = _best_configuration(prices / prices.sum(), lengths, capacity)
-            key = tuple(sorted(config.items()))
-            tried.setdefault(key, [config, 0.0])
-            have = np.array([config.get(int(n), 0) for n in lengths], float)
-            ratio = have / need
-            # A round uses the configuration as often as its scarcest-covered length allows.
-            times = 1.0 / max(ratio.max(), 1e-30)
-            tried[key][1] += times
-            weight *= np.exp(-step * ratio * times)
-            weight /= weight.max()
-            weight = np.maximum(weight, 1e-12)
-        covered = np.zeros(len(lengths))
-        for config, times in tried.values():
-            covered += times * np.array([config.get(int(n), 0) for n in lengths])
-        scale = 1.0 / max((covered / need).max(), 1e-30)
-        for config, times in tried.values():
-            use = min([math.floor(times * scale + 1e-9), *(left[n] // a for n, a in config.items())])
-            if use > 0 and sum(n * a for n, a in config.items()) >= capacity - 1:
-                plan.append((config, use))
-                for n, a in config.items():
-                    left[n] -= use * a
-    # What rounding leaves: fill a sequence with the longest piece left and then, again and again, the
-    # best-fitting one; repeat that configuration while its pieces last.
-    left = {n: c for n, c in left.items() if c}
+    full = left.pop(capacity, 0)
+    plan: list[tuple[dict[int, int], int]] = [({capacity: 1}, full)] if full else []
+    pieces, by_program, bound = sum(left.values()), 0, 0
+    while left:
+        lengths = np.array(sorted(left), np.int64)
+        need = np.array([left[n] for n in lengths.tolist()], np.int64)
+        rows, use, least = _fractional(lengths, need, capacity, rounds, step, slack)
+        bound = bound or max(math.ceil(least - 1e-6), -(-int(need @ lengths) // capacity))
+        rest = need.copy()
+        for k in np.lexsort((-(rows @ lengths), -use)).tolist():
+            on = np.flatnonzero(rows[k])
+            times = min(max(1, math.floor(use[k])), int((rest[on] // rows[k, on]).min()))
+            if times > 0:
+                rest[on] -= times * rows[k, on]
+                plan.append((dict(zip(lengths[on].tolist(), rows[k, on].tolist(), strict=True)), times))
+        placed = int((need - rest).sum())
+        by_program += placed
+        left = {n: c for n, c in zip(lengths.tolist(), rest.tolist(), strict=True) if c}
+        if 1000 * placed < need.sum() or 200 * rest.sum() <= pieces:
+            break
+    # Fill a sequence with the longest piece left and then, again and again, the best-fitting one; repeat that
+    # configuration while its pieces last.
     while left:
         order = np.array(sorted(left))
         config, room = {}, capacity
@@ -222,7 +275,7 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 150, step: flo
             left[n] -= times * a
             if not left[n]:
                 del left[n]
-    return plan
+    return Solution(plan, full + bound, pieces, by_program)
 
 
 def _places(plan: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
@@ -239,7 +292,7 @@ def _places(plan: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "each", "base", "at"]).sort_values(["length", "first"], ignore_index=True)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, rounds: int = 150) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, rounds: int = 6) -> DataFrame:
     """Pieces of all rows of ``docs(doc_id, text)`` with their sequence and offset.
 
     Null or empty text: one piece, the end id. An empty table gives an empty result. Repeated rows

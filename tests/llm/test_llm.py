@@ -115,6 +115,21 @@ def test_packing_is_tight():
         assert sum(t for _, t in plan) <= -(-sum(n * c for n, c in hist.items()) // 2048) * 1.01 + 1
 
 
+def test_the_program_places_the_pieces():
+    """The share that the rounded program itself places, and its bound, on histograms of few and of many pieces."""
+    rnd = random.Random(6)
+    hist: dict = {}
+    for _ in range(6000):
+        n = min(2048, int(rnd.lognormvariate(5.8, 1.2)) + 1)
+        hist[n] = hist.get(n, 0) + 1
+    for times in (1, 300):
+        found = packing.solution({n: c * times for n, c in hist.items()}, 2048)
+        used = sum(k for _, k in found.plan)
+        assert found.by_program >= 0.9 * found.pieces > 0 and found.bound <= used <= 1.01 * found.bound + 1
+    for small, most in (({5: 1}, 1), ({1: 10_000}, 5), ({1025: 7, 1024: 3}, 9), ({2047: 5, 1: 2, 2048: 2}, 7), ({}, 0)):
+        assert sum(k for _, k in packing.solution(small, 2048).plan) == most
+
+
 def test_licenses(spark, duck, odd, none):
     same_rows(queries.op2_license_scan(spark, SF), duck, queries.OP2_SQL)
     text = licenses.KNOWN["MIT"]
@@ -157,6 +172,19 @@ def test_jaccard_join(spark, odd, none, few, local):
         assert setjoin.jaccard_components(none).count() == 0
 
 
+def test_jaccard_join_of_texts_that_share_a_doc_id(spark):
+    """Each text of an id links on its own; an empty one links nothing; rows come back as often as they went in."""
+    rnd = random.Random(7)
+    a, b, c = ([f"{x}{rnd.randrange(900)}" for _ in range(60)] for x in "abc")
+    near = lambda w: " ".join([*w[:-2], "other", "end"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(c)), (4, ""), (4, None), (4, ""), (5, near(c)), (5, near(c)), (6, ""), (None, near(b)), (None, None), (0, "q r")]
+    got = setjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    size = lambda t: max(len(words(t)) - 4, min(1, len(words(t))))
+    root = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 0: 0}
+    want = [(d, size(t), root[d] if d is not None else 1 if t else None) for d, t in rows]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_linked_pairs_agree_as_often_as_both_sets_count_on():
     """The second pass: of two sets close to 0.75 with private elements, either expects no more of the other than it has."""
     rng, layouts, memo = random.Random(4), setjoin._Layouts(1.5), setjoin._Hash()
@@ -369,6 +397,29 @@ def test_topk_counts_repeated_rows_once(spark):
     assert got == [(i, i, 0) for i in range(1, 6)]
 
 
+def test_topk_of_odd_tables(spark):
+    code = [1.0] * 64
+    df = spark.createDataFrame([(1, code, "x"), (2, code, "y"), (2, [-1.0] * 64, "z"), (3, [-1.0] * 64, None)], "vec_id long, embedding array<float>, distance string")
+    got = sorted((r.query_id, r["rank"], r.neighbour_id, r.distance) for r in hamming.top_k(df, df, 5).collect())
+    # Of id 2 the first code in order counts.
+    assert got == [(1, 1, 2, 64), (1, 2, 3, 64), (2, 1, 3, 0), (2, 2, 1, 64), (3, 1, 2, 0), (3, 2, 1, 64)]
+    assert hamming.top_k(df.where("false"), df, 5).count() == 0 == hamming.top_k(df, df.where("false"), 5).count()
+
+
+def test_topk_index_answers_by_proof():
+    """Rows that tables lead to give the answers; hardly any is verified outright, and fewer than all are verified."""
+    rng = np.random.default_rng(2)
+    for n, bits in ((2000, 64), (20_000, 64), (20_000, 96), (3000, 40)):
+        words = np.stack([rng.integers(0, 1 << min(32, bits - lo), n) for lo in range(0, bits, 32)], 1)
+        index = hamming.Index(words, bits)
+        of, ids, far = hamming.nearest(index, np.arange(n), words[:40], 11)
+        d = np.bitwise_count(words[:40, None] ^ words[None]).sum(2)
+        for i in range(40):
+            want = np.lexsort((np.arange(n), d[i]))[:11]
+            assert ids[of == i].tolist() == want.tolist() and far[of == i].tolist() == d[i][want].tolist()
+        assert index.direct <= 0.02 * index.probed and index.probed < 0.9 * 40 * n
+
+
 def test_pipeline(spark, odd):
     import corpus_pipeline as p
 
