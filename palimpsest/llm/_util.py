@@ -39,7 +39,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: cuts lineage, survives executors."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that materialize() made, once nothing that is still to run reads them; others stay."""
+    for df in tables:
+        at = df.__dict__.get("_scratch_path")
+        if at:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -75,21 +86,27 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     while not live.isEmpty():
         both = live.union(live.select(F.col("b"), F.col("a")))
         least = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("to"))
-        step = materialize(least, f"{tag}-m")
+        step = first = materialize(least, f"{tag}-m")
         for _ in range(2):
             onward = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
             step = step.join(onward, "to").select("node", F.col("next").alias("to"))
         step = materialize(step, f"{tag}-p")
+        discard(first)
         levels.append(step)
         left, right = (step.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab")
-        live = materialize(
+        onto = materialize(
             live.join(left, "a").join(right, "b")
             .select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b"))
             .where("a <> b").distinct(), f"{tag}-e")
+        discard(live)
+        live = onto
+    discard(live)
     if not levels:
         return spark.createDataFrame([], f"node {edges.schema['a'].dataType.simpleString()}, root {edges.schema['a'].dataType.simpleString()}")
     roots = levels[-1].select("node", F.col("to").alias("root"))
     for step in reversed(levels[:-1]):
         up = roots.select(F.col("node").alias("to"), F.col("root"))
         roots = step.join(up, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-    return materialize(roots, f"{tag}-r")
+    out = materialize(roots, f"{tag}-r")
+    discard(*levels)
+    return out

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import components, materialize, partitions_for
+from ._util import components, discard, materialize, partitions_for
 
 WORDS = 5
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -211,9 +211,10 @@ def _mapper(slack: float, spread: np.ndarray, local: int, forward: int, deep: bo
             for lo, n in zip(starts.tolist(), lengths.tolist(), strict=True):
                 one, back = np.unique(d[lo : lo + n], return_inverse=True)
                 rows["sigs"].append(s[lo : lo + n].astype(np.uint32).tobytes())
-                rows["at"].append((back << 32 | what[lo : lo + n]).tobytes() if deep else (back << 3 | what[lo : lo + n]).astype(np.uint32).tobytes())
+                at = back << 32 | what[lo : lo + n] if deep else back << 2 | what[lo : lo + n]
+                rows["at"].append((at if deep else at.astype(np.uint16 if len(one) <= 1 << 14 else np.uint32)).tobytes())
                 rows["docs"].append(ids[one].tobytes())
-                rows["sizes"].append(sizes[one].tobytes())
+                rows["sizes"].append(sizes[one].astype(np.int32).tobytes())
                 rows["comps"].append(comps[one].tobytes() if deep else b"")
             if len(starts):
                 yield _batch(names, len(starts), kind=np.full(len(starts), BLOCK), bucket=spread[bucket[starts]], **rows)
@@ -274,11 +275,11 @@ def _reducer(few: int, deep: bool, ratio: int = 32):
             x = batch.filter(pa.array(kind == BLOCK))
             get = [x.column(x.schema.get_field_index(c)).to_pylist() for c in ("bucket", "sigs", "at", "docs", "sizes", "comps")]
             for bucket, s, at, docs, sizes, comps in zip(*get, strict=True):
-                at = np.frombuffer(at, np.int64 if deep else np.uint32).astype(np.int64)
-                of, what = (at >> 32, at & 0xFFFFFFFF) if deep else (at >> 3, at & 7)
+                at = np.frombuffer(at, {2: np.uint16, 4: np.uint32, 8: np.int64}[4 * len(at) // len(s)]).astype(np.int64)
+                of, what = (at >> 32, at & 0xFFFFFFFF) if deep else (at >> 2, at & 3)
                 doc = np.frombuffer(docs, np.int64)
                 comp = np.frombuffer(comps, np.int64) if deep else doc
-                parts.append((np.frombuffer(s, np.uint32).astype(np.uint64) | np.uint64(bucket << 32), what.astype(np.uint32), doc[of], np.frombuffer(sizes, np.int64)[of].astype(np.int32), comp[of]))
+                parts.append((np.frombuffer(s, np.uint32).astype(np.uint64) | np.uint64(bucket << 32), what.astype(np.uint32), doc[of], np.frombuffer(sizes, np.int32)[of], comp[of]))
         if not parts:
             return
         s, what, ids, sizes, comps = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -435,22 +436,44 @@ def _blocks(docs: DataFrame, family: DataFrame, size: int = 512) -> DataFrame:
     return texts.groupBy("family", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, few: int = 4, local: int = 64, bytes_each: int = 8 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, few: int = 4, local: int = 16, bytes_each: int = 8 << 20) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs(doc_id, text); see the module's text.
 
     Null, empty and blank texts have an empty set, link to nothing and are their own component. Copies
     are one class from the start. Repeated rows come back as often as they went in; rows that share
-    a doc_id are one node of the link graph. A row without doc_id gets the component of the ids that
-    have its very set (null if none has). An empty table gives an empty result. Only doc_id and text are
-    read. ``few``, ``local`` and ``bytes_each`` change the work, never the result.
+    a doc_id are one node of the link graph, which links with all that any of its texts does. A row without
+    doc_id gets the component of the ids that have its very set (null if none has). An empty table gives an
+    empty result. Only doc_id and text are read. ``few``, ``local`` and ``bytes_each`` change the work, never the result.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    none, width = F.lit(None).cast("long"), partitions_for(docs, bytes_each)
+    width = partitions_for(docs, bytes_each)
+    counts = base.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    often = materialize(counts.where("rows > 1").select("doc_id"), "repeated")
+    if often.isEmpty():
+        return _of_nodes(base, None, few, local, width)
+    # Every different text of a repeated doc_id is a node of its own, numbered below all ids, and linked to the others.
+    least = base.agg(F.min("doc_id").alias("x")).first()["x"]
+    texts = base.join(often, "doc_id").groupBy("doc_id", "text").agg(F.count("*").cast("int").alias("copies"))
+    texts = materialize(texts.withColumn("node", F.lit(least - 1) - F.monotonically_increasing_id()), "texts")
+    same = texts.join(texts.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b").where("a <> b")
+    nodes = base.join(often, "doc_id", "left_anti").union(texts.select("node", "text"))
+    got = _of_nodes(nodes, same, few, local, width)
+    real = texts.select("node", F.col("doc_id").alias("real"), "copies")
+    rows = materialize(got.join(real, got["doc_id"] == real["node"], "left").select(F.coalesce("real", "doc_id").alias("doc_id"), "n_shingles", F.col("component_id").alias("root"), F.coalesce("copies", F.lit(1)).alias("copies")), "rows")
+    smallest = rows.where((F.col("root") < least) & (F.col("n_shingles") > 0)).groupBy("root").agg(F.min("doc_id").alias("smallest"))
+    out = rows.join(smallest, "root", "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("smallest", "root")))
+    return out.select("doc_id", "n_shingles", "component_id", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
+
+
+def _of_nodes(base: DataFrame, linked: DataFrame | None, few: int, local: int, width: int) -> DataFrame:
+    """jaccard_components() of rows of which each doc_id has one text; ``linked`` (a, b) are further links."""
+    spark, none = base.sparkSession, F.lit(None).cast("long")
     first = _index(base.select("*", none.alias("comp"), F.lit(True).alias("own"), F.lit(True).alias("guest")), 1.25, few, local, width, False)
     profiles = first.where(F.col("kind") == PROFILE)
     classes = profiles.where("n > 0").groupBy("key").agg(F.min("a").alias("rep"))
     placed = materialize(profiles.where("n > 0").join(classes, "key", "left").select(F.col("a").alias("doc"), "n", "rep", "own_ne", "own_h", "guest_ne", "guest_h"), "placed")
     copies = placed.where("own_ne is not null and doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    copies = copies if linked is None else copies.union(linked)
 
     def coverage(index: DataFrame, held: DataFrame, gain: int) -> DataFrame:
         """Per indexed document and layout: the sum over segments of threshold + 1, and the differences a partner
@@ -480,17 +503,26 @@ def jaccard_components(docs: DataFrame, few: int = 4, local: int = 64, bytes_eac
         rest = cover.where(own | guest).select("doc", own.alias("own"), guest.alias("guest"))
         return materialize(rest.join(roots, rest["doc"] == roots["node"], "left").select("doc", F.coalesce("root", "doc").alias("comp"), "own", "guest"), "open")
 
+    def links(cover: DataFrame, index: DataFrame, hint: int) -> DataFrame:
+        pairs = materialize(proposals(index, cover, hint), "pairs")
+        out = materialize(_verify(base, pairs, width), "links")
+        discard(pairs)
+        return out
+
     cover = materialize(coverage(first, placed, 1), "cover")
-    edges = copies.union(materialize(_verify(base, materialize(proposals(first, cover, 256), "pairs"), width), "links"))
+    found = [links(cover, first, 256)]
+    edges = copies.union(found[0])
     roots = components(edges, "cc")
     rest = uncovered(cover, roots)
     if not rest.isEmpty():
         again = base.join(rest, base["doc_id"] == rest["doc"]).select("doc_id", "text", "comp", "own", "guest")
-        least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        second = _index(again, 1.5, 4 * few, 64 * local, max(least, -(-rest.count() // 500)), True)
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        second = _index(again, 1.5, 4 * few, 256 * local, max(least, -(-rest.count() // 500)), True)
         held = second.where(F.col("kind") == PROFILE).select(F.col("a").alias("doc"), "own_ne", "own_h", "guest_ne", "guest_h")
+        discard(cover, rest, roots)
         cover = materialize(coverage(second, held, 2), "cover")
-        edges = edges.union(materialize(_verify(base, materialize(proposals(second, cover, 64), "pairs"), width), "links"))
+        found.append(links(cover, second, 64))
+        edges = edges.union(found[-1])
         roots = components(edges, "cc")
         rest = uncovered(cover, roots)
         if not rest.isEmpty():
@@ -499,6 +531,8 @@ def jaccard_components(docs: DataFrame, few: int = 4, local: int = 64, bytes_eac
             grouped = rest.join(families, rest["doc"] == families["node"]).select(F.col("doc").alias("rep"), "comp", F.col("root").alias("family"))
             edges = edges.union(materialize(_blocks(base, materialize(grouped, "family")), "links"))
             roots = components(edges, "cc")
+        discard(second)
+    discard(cover, rest, *found)
 
     some = placed.join(roots, placed["rep"] == roots["node"], "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
     return some.union(profiles.where("n = 0").select(F.col("a"), F.col("n"), F.col("a")))
