@@ -1,114 +1,167 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into chunks and each chunk indexes it. If two codes differ in at most r bits, some chunk
-differs in at most floor(r / chunks). So after all chunk values within radius p of a query's have been
-probed, every code nearer than chunks * (p + 1) has been seen, and a query is finished as soon as its
-kth verified distance is below that. Radii grow only for the queries that are not finished.
+The codes are dealt to shards, and a shard's index cuts each code into as many segments as make a segment
+about as wide as the logarithm of the shard's size, with a table of rows per segment value. If two codes
+differ in fewer than segments * r + j bits, one of the first j segments differs in at most r bits or one of
+the others in at most r - 1. So once the values within radius r of a query's have been looked up in the
+first j tables, and within r - 1 in the others, all that is nearer than segments * r + j has been verified.
+Radii grow, segment by segment, until the kth verified distance is below that. The shards' answers, each
+exact, are merged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations, takewhile
-from math import comb
+from dataclasses import dataclass, field
+from itertools import combinations
+from math import comb, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._util import materialize
 
-
-def codes(vectors: DataFrame, bits: int, chunks: int) -> DataFrame:
-    """vec_id and c0..: the signs of the first ``bits`` components, cut into ``chunks`` integers. A row whose
-    id or embedding is null, has another length or holds a null or NaN has no code and is left out."""
-    e, width = F.col("embedding"), -(-bits // chunks)
-    ok = vectors.where(F.col("vec_id").isNotNull() & (F.size(e) == bits) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x)))
-    cut = lambda j: F.aggregate(F.slice(e, j * width + 1, min(width, bits - j * width)), F.lit(0), lambda a, x: F.shiftleft(a, 1) + F.when(x >= 0, 1).otherwise(0))
-    return ok.select(F.col("vec_id").cast("long").alias("vec_id"), *(cut(j).alias(f"c{j}") for j in range(chunks)))
-
-
-def _flipped(column: str, masks: list[int]) -> Column:
-    return F.transform(F.array(*map(F.lit, masks)), lambda m: F.col(column).bitwiseXOR(m))
+WORD = 32
 
 
-def _masks(width: int, radius: int) -> list[int]:
-    return [sum(1 << b for b in on) for on in combinations(range(width), radius)]
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, chunks: int = 4, probe_limit: int = 1000) -> DataFrame:
+def codes(vectors: DataFrame, bits: int) -> DataFrame:
+    """vec_id and w0..: the signs of the first ``bits`` components, in words of 32 bits. A row whose id or
+    embedding is null, has another length or holds a null or NaN has no code and is left out."""
+    e = F.col("embedding")
+    ok = vectors.where(F.col("vec_id").isNotNull() & (F.size(e) == bits) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x)))
+    zero = F.lit(0).cast("long")
+    cut = lambda j: F.aggregate(F.slice(e, j * WORD + 1, min(WORD, bits - j * WORD)), zero, lambda a, x: F.shiftleft(a, 1) + F.when(x >= 0, 1).otherwise(0))
+    return ok.select(F.col("vec_id").cast("long").alias("vec_id"), *(cut(j).alias(f"w{j}") for j in range(-(-bits // WORD))))
+
+
+@dataclass
+class Index:
+    """Segment tables over the rows of ``words`` (one code a row, 32 bits a column)."""
+
+    words: np.ndarray
+    bits: int
+    segments: int | None = None
+    #: Of the rows that were verified, those that a table led to, and those that were cheaper to verify outright.
+    probed: int = 0
+    direct: int = 0
+    tables: list = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        n = len(self.words)
+        want = self.segments or round(self.bits / max(1.0, log2(max(n, 2))))
+        self.segments = min(self.bits, max(1, want, -(-self.bits // 20)))  # a table has 2 ** 20 entries at most
+        ends = np.linspace(0, self.bits, self.segments + 1).astype(int)
+        self.spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        self.masks: dict[tuple[int, int], np.ndarray] = {}
+        for values, (lo, hi) in zip(self.values(self.words), self.spans, strict=True):
+            order = np.argsort(values, kind="stable")
+            starts = np.searchsorted(values[order], np.arange((1 << hi - lo) + 1))
+            self.tables.append((order, starts))
+
+    def values(self, words: np.ndarray) -> list[np.ndarray]:
+        """The value of each segment of each code."""
+        on = (words[:, :, None] >> np.arange(WORD, dtype=np.int64)) & 1
+        on = on.reshape(len(words), WORD * words.shape[1])
+        return [on[:, lo:hi] @ (1 << np.arange(hi - lo, dtype=np.int64)) for lo, hi in self.spans]
+
+    def near(self, width: int, radius: int) -> np.ndarray:
+        if (width, radius) not in self.masks:
+            self.masks[width, radius] = np.array([sum(1 << b for b in on) for on in combinations(range(width), radius)], np.int64)
+        return self.masks[width, radius]
+
+    def search(self, word: np.ndarray, values: list[int], k: int, probe_limit: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and distances of all codes that are no farther than the kth nearest, and maybe some more."""
+        n = len(self.words)
+        unseen = np.ones(n, bool)
+        rows, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        upto = np.zeros(self.bits + 2, np.int64)  # verified rows by distance
+
+        def verify(at: np.ndarray) -> None:
+            unseen[at] = False
+            d = np.bitwise_count(self.words[at] ^ word).sum(1, dtype=np.int64)
+            rows.append(at), far.append(d)
+            upto[: self.bits + 1] += np.bincount(d, minlength=self.bits + 1)
+
+        left = n
+        for radius in range(max(hi - lo for lo, hi in self.spans) + 1):
+            for j, ((lo, hi), (order, starts)) in enumerate(zip(self.spans, self.tables, strict=True)):
+                # Everything nearer than this has been verified.
+                if left == 0 or upto[: self.segments * radius + j].sum() >= k:
+                    return np.concatenate(rows), np.concatenate(far)
+                probes = comb(hi - lo, radius)
+                if probes >= left or (probe_limit is not None and probes > probe_limit):
+                    self.direct += left
+                    verify(np.flatnonzero(unseen))
+                    return np.concatenate(rows), np.concatenate(far)
+                at = values[j] ^ self.near(hi - lo, radius)
+                first, size = starts[at], starts[at + 1] - starts[at]
+                some = size > 0
+                first, size = first[some], size[some]
+                if len(size):
+                    before = np.cumsum(size) - size
+                    met = order[np.arange(size.sum()) + np.repeat(first - before, size)]
+                    met = met[unseen[met]]
+                    verify(met)
+                    self.probed += len(met)
+                    left -= len(met)
+        return np.concatenate(rows), np.concatenate(far)
+
+
+def nearest(index: Index, ids: np.ndarray, asked: np.ndarray, k: int, probe_limit: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code of ``asked`` the ``k`` nearest rows of the index, ties by id: position in ``asked``, id, distance."""
+    of, found, far = [], [], []
+    values = np.stack(index.values(asked), 1).tolist() if len(asked) else []
+    for i, word in enumerate(asked):
+        rows, d = index.search(word, values[i], k, probe_limit)
+        if len(d) > k:
+            keep = d <= np.partition(d, k - 1)[k - 1]
+            rows, d = rows[keep], d[keep]
+        best = np.lexsort((ids[rows], d))[:k]
+        of.append(np.full(len(best), i)), found.append(ids[rows[best]]), far.append(d[best])
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate(x) if x else none for x in (of, found, far))  # type: ignore[return-value]
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, chunks: int | None = None, probe_limit: int | None = None, shard: int = 1 << 16, block: int = 1 << 16) -> DataFrame:
     """query_id, neighbour_id, distance, rank (1 to k): the k nearest other rows by Hamming distance, ties by id.
 
-    Exact. Rows of one code are one entry of the index with its k + 1 smallest ids, of which no more can be
-    in any answer, so a code that very many rows share is cut down before the shuffle. A query without
-    a code has no rows; one with fewer than k other rows has them all. Repeated ids count once. Where
-    the next radius would need more than ``probe_limit`` probes a chunk, the queries still open are
-    compared with all codes in blocks instead. So no round can need what is farther than the last radius
-    covers, and the join of probes and index leaves that out. Radii and answers are written round by round. No join is
-    broadcast: either side may grow with the input, and the broadcasts of all rounds pile up in the driver.
+    Exact. A row without a code (see ``codes``) is neither asked for nor found; a query with fewer than k other
+    rows has them all; an empty table on either side gives no rows. Repeated rows of an id and code count
+    once, and so do queries; an id with several codes is searched with each and ranked by its nearest. Of a code
+    that very many rows share, the k + 1 smallest ids are enough, and the others are left out within each task
+    before the shuffle. Further columns are ignored.
+
+    ``chunks`` sets the number of segments, else that of rows does. Rows that are left are verified outright where
+    a table would need more probes than they are many, or more than ``probe_limit``. A task holds ``shard`` codes of the
+    index and ``block`` queries; every block of queries meets every shard.
     """
-    width = -(-bits // chunks)
-    cs = [f"c{j}" for j in range(chunks)]
-    by_code = Window.partitionBy(*cs).orderBy("vec_id")
-    rows = codes(vectors, bits, chunks).dropDuplicates(["vec_id", *cs])
-    # A row number per code is limited within each task before the shuffle.
-    entries = materialize(rows.withColumn("r", F.row_number().over(by_code)).where(F.col("r") <= k + 1).groupBy(*cs).agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "codes")
-    asked = materialize(codes(queries, bits, chunks).dropDuplicates(["vec_id"]), "asked")
-    open_ = materialize(asked.select(*cs).distinct(), "open")
-    index = materialize(entries.withColumn("n", F.size("ids")).select(F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col(c).alias("v")) for j, c in enumerate(cs)))).alias("x"), *(F.col(c).alias(f"e{j}") for j, c in enumerate(cs)), "n").select("x.*", *(f"e{j}" for j in range(chunks)), "n"), "index")
-    distance = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"e{j}"))) for j, c in enumerate(cs)), F.lit(0))
-    seen: DataFrame | None = None
-    answers: DataFrame | None = None
-    es = [f"e{j}" for j in range(chunks)]
-    radii = list(takewhile(lambda r: comb(width, r) <= probe_limit, range(width + 1)))
-    for radius in radii:
-        if open_.isEmpty():
-            break
-        values = [F.struct(F.lit(j).alias("j"), _flipped(c, _masks(width, radius)).alias("vs")) for j, c in enumerate(cs)]
-        probes = open_.select(*cs, F.explode(F.array(*values)).alias("p")).select(*cs, F.col("p.j").alias("j"), F.explode("p.vs").alias("v"))
-        met = probes.join(index.hint("merge"), ["j", "v"]).where(distance < chunks * len(radii)).select(*cs, *es, "n", distance.alias("d")).distinct()
-        found = met if seen is None else seen.join(open_.hint("merge"), cs, "left_semi").union(met).distinct()
-        # Only what can be among the k nearest is kept: sums of entries by distance tell how far that is.
-        hist = found.groupBy(*cs, "d").agg(F.sum("n").alias("n"))
-        run = hist.withColumn("upto", F.sum("n").over(Window.partitionBy(*cs).orderBy("d")))
-        kth = run.where(F.col("upto") >= k + 1).groupBy(*cs).agg(F.min("d").alias("kth"))
-        kept = materialize(found.join(kth.hint("merge"), cs, "left").where("kth is null or d <= kth"), "found")
-        done = kept.where(F.col("kth") < chunks * (radius + 1)).select(*cs).distinct()
-        finished = materialize(kept.join(done.hint("merge"), cs, "left_semi").select(*cs, *es, "n", "d"), "done")
-        answers = finished if answers is None else answers.union(finished)
-        open_ = materialize(open_.join(done.hint("merge"), cs, "left_anti"), "open")
-        seen = kept.drop("kth")
-    if answers is None or not open_.isEmpty():
-        rest = _scan(open_, entries, cs, k)
-        answers = rest if answers is None else answers.union(rest)
-    pairs = asked.join(answers.hint("merge"), cs).select("vec_id", *es, "d").join(entries.select(*(F.col(c).alias(e) for c, e in zip(cs, es, strict=True)), F.explode("ids").alias("other")).hint("merge"), es).where("other <> vec_id")
-    nearest = Window.partitionBy("vec_id").orderBy("d", "other")
-    return pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select(F.col("vec_id").alias("query_id"), F.col("other").alias("neighbour_id"), F.col("d").cast("int").alias("distance"), "rank")
-
-
-def _scan(queries: DataFrame, entries: DataFrame, cs: list[str], k: int, block: int = 4096) -> DataFrame:
-    """Block-wise comparison of the given query codes with all entries: each task keeps, for every query,
-    what its own entries put among the nearest. Queries are taken ``block`` at a time."""
-    spark = entries.sparkSession
-    total = queries.count()
-    out: DataFrame | None = None
-    schema = ", ".join([*(f"{c} int" for c in cs), *(f"e{c[1:]} int" for c in cs), "n int", "d int"])
-    numbered = queries.withColumn("slot", F.pmod(F.xxhash64(*cs), F.lit(max(1, -(-total // block)))))
-    for slot in range(max(1, -(-total // block))):
-        q = numbered.where(F.col("slot") == slot).select(*cs).toPandas().to_numpy(np.int64)
-        if not len(q):
-            continue
-
-        def near(batches: Iterator[pd.DataFrame], q: np.ndarray = q) -> Iterator[pd.DataFrame]:
-            for x in batches:
-                e, n = x[cs].to_numpy(np.int64), x["n"].to_numpy(np.int64)
-                for code in q:
-                    d = np.bitwise_count(e ^ code).sum(1).astype(np.int64)
-                    upto = np.cumsum(np.bincount(d, n))
-                    keep = np.flatnonzero(d <= np.searchsorted(upto, k + 1))
-                    yield pd.DataFrame(np.column_stack((np.tile(code, (len(keep), 1)), e[keep], n[keep], d[keep])), columns=[*cs, *(f"e{c[1:]}" for c in cs), "n", "d"])
-
-        part = entries.select(*cs, F.size("ids").alias("n")).mapInPandas(near, schema)
-        out = part if out is None else out.union(part)
-    return materialize(out, "scan") if out is not None else spark.createDataFrame([], schema)
+    ws = [f"w{j}" for j in range(-(-bits // WORD))]
+    spark = vectors.sparkSession
+    once = lambda x: codes(x, bits).groupBy("vec_id").agg(F.min(F.struct(*ws)).alias("w")).select("vec_id", "w.*")
+    asked = materialize(once(queries), "asked")
+    by_code = Window.partitionBy(*ws).orderBy("vec_id")
+    rows = once(vectors).withColumn("r", F.row_number().over(by_code)).where(F.col("r") <= k + 1)
+    rows = materialize(rows.select(*ws, "vec_id"), "codes")
+    total = rows.count()
+    # As many shards as the session has partitions, unless they would hold less than 2,048 codes.
+    wide = max(1, -(-total // shard), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 11))
+    distinct = asked.select(*ws).distinct()
+    blocks = max(1, -(-asked.count() // block))
+
+    def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        index, ask = Index(left[ws].to_numpy(np.int64), bits, chunks), right[ws].to_numpy(np.int64)
+        of, ids, far = nearest(index, left["vec_id"].to_numpy(np.int64), ask, k + 1, probe_limit)
+        return pd.DataFrame({**{w: ask[of, j] for j, w in enumerate(ws)}, "other": ids, "d": far})
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    index = rows.withColumn("shard", F.pmod(F.xxhash64(*ws, "vec_id"), F.lit(wide)).cast("int")).select("*", every(blocks).alias("block"))
+    dealt = distinct.withColumn("block", F.pmod(F.xxhash64(*ws), F.lit(blocks)).cast("int")).select("*", every(wide).alias("shard"))
+    schema = ", ".join([*(f"{w} long" for w in ws), "other long", "d long"])
+    met = index.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(search, schema)
+    # A code's k + 1 nearest rows hold the k nearest others of every query with that code.
+    by_near = Window.partitionBy(*ws).orderBy("d", "other")
+    met = materialize(met.withColumn("r", F.row_number().over(by_near)).where(F.col("r") <= k + 1).drop("r"), "nearest")
+    pairs = asked.join(met.hint("merge"), ws).where("other <> vec_id")
+    order = Window.partitionBy("vec_id").orderBy("d", "other")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("vec_id").alias("query_id"), F.col("other").alias("neighbour_id"), F.col("d").cast("int").alias("distance"), "rank")
