@@ -6,10 +6,13 @@ task adds up C'(C W) over its passages' counts C, and the document frequencies;
 the leading right singular vectors (Nystroem). Windows of every document and the benchmark items are
 folded into that latent space; windows of high cosine are candidates, and a candidate counts if the
 longest common subsequence of words, or a shorter one that holds the item's answer, confirms it.
+Windows that no check could confirm are not folded: what holds 0.6 of an item's words holds a known number
+of its rarest ones, so places without so many of any item's are passed over.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,18 +172,62 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-30)
 
 
+class _Rare:
+    """Where enough of an item's rarest words stand close together.
+
+    Of an item's n words at least ``least`` must be in what the check compares. With r of them called rare (counted as
+    often as they occur), at least r - (n - least) rare ones are among those. r is chosen so that this is a third of ``least``."""
+
+    def __init__(self, items: Items, rarity: np.ndarray, partly: float):
+        rows, need = [], []
+        for i, t in enumerate(items.tokens):
+            least = math.ceil(partly * len(t) - 1e-9)
+            most = max(1, -(-least // 3))
+            rare = t[np.argsort(-rarity[t], kind="stable")][: len(t) - least + most]
+            need.append(most)
+            rows += [(c, i) for c in np.unique(rare).tolist()]
+        rows.sort()
+        self.items = np.array([i for _, i in rows], np.int64)
+        self.starts = np.searchsorted([c for c, _ in rows], np.arange(len(items.columns) + 1))
+        self.need = np.array(need, np.int64)
+        self.span = np.array([items.sizes[k] + 2 * (items.sizes[k] // 2) for k in items.kind], np.int64)
+        self.gap = int(self.span.max())
+
+    def places(self, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """text, item and place of the first of enough rare words of the item within its span, for all texts."""
+        size = np.array([len(t) for t in tokens], np.int64)
+        begin = np.cumsum(size) - size
+        t = np.concatenate(tokens)
+        text = np.repeat(np.arange(len(tokens)), size)
+        at = np.flatnonzero(t >= 0)
+        first = self.starts[t[at]]
+        many = self.starts[t[at] + 1] - first
+        place = np.repeat(at, many)
+        item = self.items[np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)]
+        far = place + text[place] * self.gap  # no span reaches from one text into the next
+        order = np.lexsort((far, item))
+        item, place, far = item[order], place[order], far[order]
+        last = np.arange(len(item)) + self.need[item] - 1
+        ok = last < len(item)
+        last = np.minimum(last, max(len(item) - 1, 0))
+        ok &= (item[last] == item) & (far[last] - far < self.span[item])
+        place, item = place[ok], item[ok]
+        return text[place], item, place - begin[text[place]]
+
+
 def find(docs: DataFrame, benchmark: DataFrame, rank: int = 48, cosine: float = 0.5, whole: float = 0.7, partly: float = 0.6, answer: float = 0.8, max_items: int = 100_000) -> DataFrame:
     """doc_id, item_id, common (words of the longest common subsequence), item_words, answer_share: one row
     per document and benchmark item found in it.
 
-    An item is found if a window's cosine reaches ``cosine`` and, around it, the longest common subsequence
-    holds ``whole`` of the item's words, or ``partly`` of them and ``answer`` of its answer's. All windows of
-    whole texts are compared, of a width near the item's length, however long it is, and a third of it apart. A window in
-    which fewer than ``partly`` of the words are benchmark words is passed over, as no check could
-    confirm it. The benchmark is collected, so it is counted first and may have ``max_items`` rows.
+    An item is found if a window's cosine reaches ``cosine`` and, in it and half its width on either side, the longest
+    common subsequence holds ``whole`` of the item's words, or ``partly`` of them and ``answer`` of its answer's.
+    Windows of whole texts are compared, of a width near the item's length, however long it is, and a third of it apart, but
+    for those that no check could confirm (see ``_Rare``). The benchmark is collected, so it is counted first and may
+    have ``max_items`` rows.
 
     Null and empty texts contain nothing, null or word-less items are in nothing; an empty benchmark or
     table gives no rows. Repeated rows of a doc_id and item give the best one. Null doc_ids are left out.
+    Other columns, of whatever name, are not read.
     """
     schema = "doc_id long, item_id long, common int, item_words int, answer_share double"
     if benchmark.limit(max_items + 1).count() > max_items:
@@ -188,70 +235,70 @@ def find(docs: DataFrame, benchmark: DataFrame, rank: int = 48, cosine: float =
     items = Items([(r[0], r[1]) for r in benchmark.where("item_id is not null").select("item_id", "text").collect()])
     if not len(items.ids):
         return docs.sparkSession.createDataFrame([], schema)
-    fold, _ = latent_space(docs, items, rank)
+    fold, rarity = latent_space(docs, items, rank)
+    fold = fold.astype(np.float32)
     latent = _unit(np.array([fold[t].sum(0) for t in items.tokens])).astype(np.float32)
-    columns, tokens, answers, ids = items.columns, items.tokens, items.answers, items.ids
-    by_kind = []
+    columns, tokens, answers, ids, rare = items.columns, items.tokens, items.answers, items.ids, _Rare(items, rarity, partly)
+    by_kind = {}
     for kind, size in enumerate(items.sizes):
         which = np.flatnonzero(items.kind == kind)
         if len(which):
-            lengths = np.array([len(tokens[i]) for i in which])
-            padded = np.full((len(which), lengths.max()), len(columns))
-            for row, i in enumerate(which):
-                padded[row, : len(tokens[i])] = tokens[i]
-            by_kind.append((size, which, partly * min(size, lengths.min()), np.ascontiguousarray(latent[which].T), padded, partly * lengths))
-
-    def plausible(t: np.ndarray, low: np.ndarray, high: np.ndarray, near: np.ndarray, padded: np.ndarray, least: np.ndarray, block: int = 256) -> Iterator[tuple[int, int]]:
-        """Pairs (window, item) of ``near`` of which enough of the item's words are between ``low`` and ``high``."""
-        for k in range(0, len(low), block):
-            w, i = np.nonzero(near[k : k + block])
-            if not len(w):
-                continue
-            some, at = np.unique(w, return_inverse=True)
-            a, b = low[k + some], high[k + some]
-            place = a[:, None] + np.arange((b - a).max())
-            cols = np.where(place < b[:, None], t[np.minimum(place, len(t) - 1)], -1)
-            inside = np.zeros((len(some), len(columns) + 1), bool)
-            inside[np.arange(len(some))[:, None], cols] = True
-            inside[:, -1] = False
-            ok = inside[at[:, None], padded[i]].sum(1) >= least[i]
-            yield from zip((w[ok] + k).tolist(), i[ok].tolist(), strict=True)
+            by_kind[kind] = (size, which, np.ascontiguousarray(latent[which].T))
+
+    def confirmed(t: np.ndarray, starts_of: dict[int, np.ndarray]) -> dict[int, tuple]:
+        """Item to (common, words, share of the answer) for one text, of whose windows those count that hold one of the
+        given places of their kind."""
+        is_known = t >= 0
+        known = np.concatenate(([0], np.cumsum(is_known)))
+        # Prefix sums over the known words only; ``known`` counts those before each place.
+        sums = np.zeros((known[-1] + 1, fold.shape[1]))
+        np.cumsum(fold[t[is_known]], axis=0, dtype=float, out=sums[1:])
+        best: dict[int, tuple] = {}
+        for kind, places in starts_of.items():
+            size, which, targets = by_kind[kind]
+            step = size // 3
+            starts = np.arange(0, max(1, len(t) - size + step), step)
+            ends = np.minimum(starts + size, len(t))
+            starts = np.maximum(0, ends - size)
+            low, high = np.maximum(0, starts - size // 2), np.minimum(len(t), ends + size // 2)
+            places = np.sort(places)
+            some = np.searchsorted(places, low) < np.searchsorted(places, high)
+            starts, ends, low, high = starts[some], ends[some], low[some], high[some]
+            for block in range(0, len(starts), 4096):
+                cut = slice(block, block + 4096)
+                near = _unit((sums[known[ends[cut]]] - sums[known[starts[cut]]]).astype(np.float32)) @ targets >= cosine
+                for w, i in np.argwhere(near).tolist():
+                    item, part = int(which[i]), t[low[block + w] : high[block + w]]
+                    n = len(tokens[item])
+                    if np.isin(tokens[item], part).sum() < partly * n:
+                        continue
+                    common = lcs(tokens[item], part)
+                    if common < partly * n or (item in best and best[item][0] >= common):
+                        continue
+                    share = lcs(answers[item], part) / len(answers[item])
+                    if common >= whole * n or share >= answer:
+                        best[item] = (common, n, share)
+        return best
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Tokens(columns)
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = memo.of(text)
-                is_known = t >= 0
-                known = np.concatenate(([0], np.cumsum(is_known)))
-                sums = None
-                best: dict[int, tuple] = {}
-                for size, which, least, targets, padded, needed in by_kind:
-                    step = size // 3
-                    starts = np.arange(0, max(1, len(t) - size + step), step)
-                    ends = np.minimum(starts + size, len(t))
-                    starts = np.maximum(0, ends - size)
-                    enough = known[ends] - known[starts] >= least
-                    starts, ends = starts[enough], ends[enough]
-                    if not len(starts):
-                        continue
-                    if sums is None:
-                        # Prefix sums over the known words only; ``known`` counts those before each place.
-                        sums = np.zeros((known[-1] + 1, fold.shape[1]))
-                        np.cumsum(fold[t[is_known]], axis=0, out=sums[1:])
-                    near = _unit((sums[known[ends]] - sums[known[starts]]).astype(np.float32)) @ targets
-                    low, high = np.maximum(0, starts - size // 2), np.minimum(len(t), ends + size // 2)
-                    for w, i in plausible(t, low, high, near >= cosine, padded, needed):
-                        item = int(which[i])
-                        n, part = len(tokens[item]), t[low[w] : high[w]]
-                        common = lcs(tokens[item], part)
-                        if common < partly * n or (item in best and best[item][0] >= common):
-                            continue
-                        share = lcs(answers[item], part) / len(answers[item])
-                        if common >= whole * n or share >= answer:
-                            best[item] = (common, n, share)
-                out += [(doc, int(ids[i]), *x) for i, x in best.items()]
+            rows, held = [], 0
+            last = batch.num_rows - 1
+            for row, (doc, text) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
+                rows.append((doc.as_py(), memo.of(text.as_py())))
+                held += len(rows[-1][1])
+                if held < 500_000 and row < last:
+                    continue
+                where, item, place = rare.places([t for _, t in rows])
+                order = np.argsort(where, kind="stable")
+                for chosen in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(order) else []:
+                    kinds = items.kind[item[chosen]]
+                    doc_id, t = rows[where[chosen[0]]]
+                    best = confirmed(t, {int(k): place[chosen][kinds == k] for k in np.unique(kinds)})
+                    out += [(doc_id, int(ids[i]), *x) for i, x in best.items()]
+                rows, held = [], 0
             data = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(data, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["doc_id", "item_id", "common", "item_words", "answer_share"])
 

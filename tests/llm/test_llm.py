@@ -348,6 +348,44 @@ def test_decontamination_of_long_items(spark):
     assert got == {(i, i): (n, n) for i, n in enumerate(lengths)}
 
 
+def test_decontamination_finds_what_comparing_everything_finds(spark):
+    """Paraphrases (words replaced, dropped, put in) against the longest common subsequence of every stretch and item."""
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(40)]
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else f"r{rng.randrange(1500)}"
+    items = [[word() for _ in range(rng.choice([12, 17, 30, 45, 70]))] for _ in range(30)]
+    docs = []
+    for k in range(240):
+        w = list(items[k % 30])
+        for _ in range(int(len(w) * rng.choice([0, 0.1, 0.2, 0.3, 0.4, 0.5]))):
+            at, how = rng.randrange(len(w)), rng.random()
+            w[at : at + 1] = [word()] if how < 0.5 else [] if how < 0.75 else [w[at], word()]
+        docs.append([word() for _ in range(rng.randrange(200))] + w + [word() for _ in range(rng.randrange(200))])
+    found = semantic.Items([(i, " ".join(w)) for i, w in enumerate(items)])
+    memo, want = semantic._Tokens(found.columns), set()
+    for d, w in enumerate(docs):
+        t = memo.of(" ".join(w))
+        for i, (tokens, answer) in enumerate(zip(found.tokens, found.answers, strict=True)):
+            n = len(tokens)
+            for at in range(0, max(1, len(t) - n + 1), 3):
+                part = t[max(0, at - n // 4) : at + n + n // 4]
+                if np.isin(tokens, part).sum() >= 0.6 * n:
+                    both = semantic.lcs(tokens, part)
+                    if both >= 0.7 * n or (both >= 0.6 * n and semantic.lcs(answer, part) >= 0.8 * len(answer)):
+                        want.add((d, i))
+                        break
+    frames = [spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(x)], f"{n} long, text string") for n, x in (("doc_id", docs), ("item_id", items))]
+    got = {(r.doc_id, r.item_id): (r.common, r.item_words, r.answer_share) for r in semantic.find(*frames).collect()}
+    assert len(want) > 120 and len(want & set(got)) >= 0.9 * len(want)
+    assert all(c >= 0.7 * n or (c >= 0.6 * n and s >= 0.8) for c, n, s in got.values())
+
+
+def test_decontamination_of_odd_items(spark):
+    docs = spark.createDataFrame([(1, "x y alpha beta gamma delta z", 5), (1, "alpha beta gamma delta", 6), (None, "alpha beta gamma delta", 7)], "doc_id long, text string, item_id long")
+    bench = spark.createDataFrame([(1, None), (2, " .,; "), (3, "alpha beta gamma delta"), (3, "alpha beta gamma delta"), (None, "x y")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.common, r.item_words) for r in semantic.find(docs, bench).collect()} == {(1, 3, 4, 4)}
+
+
 def test_lcs():
     rnd = random.Random(4)
     for _ in range(100):
