@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,7 +33,9 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long,
 
 
 _MARKS = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127))))
-_LATIN = frozenset(c for c in map(chr, range(256)) if c.isascii() and c.isalnum() or c >= "\xc0" and c.isalpha())
+_LATIN = frozenset(c for c in map(chr, range(256)) if c.isascii() and c.isalpha() or c >= "\xc0" and c.isalpha())
+#: Marks but the apostrophe, between letters, digits, blanks and the ends of a text: a run of marks of the tokenizer's.
+_CUT = re.compile("(?<![^a-z0-9\xdf-\xf6\xf8-\xff ])[!-&(-/:-@\\[-`{-~]++(?![^a-z0-9\xdf-\xf6\xf8-\xff ])")
 _VISIBLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 #: The characters that stand for bytes in a byte-level vocabulary: visible ones for themselves, then from 256 on.
 _BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
@@ -68,18 +71,17 @@ class _Ids:
     """ids of a text as little-endian bytes, equal to those of the tokenizer.
 
     A tokenizer that ignores white space and case and cuts words into runs of letters, single digits and runs
-    of marks gets its texts by white-space-free runs, which are kept. A run is put together from its stem
-    (made small) and the marks that end it, which are kept too; a stem of Latin letters alone goes straight
-    to the vocabulary. Any other tokenizer gets whole texts. Stems and runs are kept in ``most`` bytes each."""
+    of marks gets its texts by white-space-free runs, which are kept in about ``most`` bytes. A text of Latin-1 alone
+    is made small and cut at its marks beforehand, which leaves few different runs; a run of Latin letters goes
+    straight to the vocabulary. Any other tokenizer gets whole texts."""
 
-    def __init__(self, path: str, most: int = 64 << 20):
+    def __init__(self, path: str, most: int = 112 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor already use its cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.by_run = self._cuts_words(json.loads(self.tokenizer.to_str()))
-        self.stems = _Bounded(self._of_stem, most)
         self.runs = _Bounded(self._of_run, most)
 
     @staticmethod
@@ -96,24 +98,32 @@ class _Ids:
             return b""
         if not self.by_run:
             return self._encode(text)
-        return b"".join(map(self.runs.__getitem__, text.replace("\n", " ").split(" ")))
+        text = text.replace("\n", " ")
+        if "<|" not in text and self._is_latin(text):
+            text = _CUT.sub(r" \g<0> ", text.lower())
+        return b"".join(map(self.runs.__getitem__, text.split(" ")))
+
+    @staticmethod
+    def _is_latin(text: str) -> bool:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def _of_run(self, run: str) -> bytes:
+        if _LATIN.issuperset(run):
+            small = run.lower()
+            chars = small if small.isascii() else small.encode().decode("latin-1").translate(_BYTE_CHARS)
+            return array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
         stem = run.rstrip(_MARKS)
         # What may hold a special token, or has marks that may join what is before them, stays whole.
-        if stem[-1:] not in _LATIN or "<|" in run:
+        if len(stem) == len(run) or stem[-1:] not in _LATIN or "<|" in run:
             return self._encode(run)
-        small = stem.lower() if stem.isascii() or _LATIN.issuperset(stem) else stem
-        return self.stems[small] if len(stem) == len(run) else self.stems[small] + self.stems[run[len(stem) :]]
-
-    def _of_stem(self, stem: str) -> bytes:
-        if not stem.isalpha() or not (stem.isascii() or _LATIN.issuperset(stem)):
-            return self._encode(stem)
-        chars = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_CHARS)
-        return array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
+        return self.runs[stem] + self.runs[run[len(stem) :]]
 
 
 @lru_cache(maxsize=1)
