@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._util import materialize
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _EDGE = b".,;:!?\"'()[]{}<>*-_#%$&|"
@@ -98,7 +99,8 @@ class Items:
 
 
 def _passage_sums(items: Items, rank: int, passage: int, seed: int):
-    """Per task: C'(C W), document frequencies and the number of passages, in rows of (column, values)."""
+    """Per task: C'(C W), document frequencies and the number of passages, in rows of (column, values), and a row
+    per text with a doc_id: its tokens, so that no later step has to make them again."""
     columns, width = items.columns, len(items.columns)
     test = np.random.default_rng(seed).standard_normal((width, rank)).astype(np.float32)
 
@@ -120,8 +122,10 @@ def _passage_sums(items: Items, rank: int, passage: int, seed: int):
 
         cols, rows, held = [], [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            texts = []
+            for text in batch.column(1).to_pylist():
                 t = memo.of(text)
+                texts.append(t.astype(np.int32).tobytes())
                 at = np.flatnonzero(t >= 0)
                 if len(at):
                     cols.append(t[at])
@@ -131,25 +135,33 @@ def _passage_sums(items: Items, rank: int, passage: int, seed: int):
                 if held > 200_000:
                     add(np.concatenate(cols), np.concatenate(rows))
                     cols, rows, held = [], [], 0
+            each = len(texts)
+            yield pa.RecordBatch.from_arrays([pa.nulls(each, pa.int64()), pa.nulls(each, pa.list_(pa.float64())), pa.nulls(each, pa.float64()), batch.column(0), pa.array(texts, pa.binary())], names=_NAMES)
         if held:
             add(np.concatenate(cols), np.concatenate(rows))
         some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((some, [-1])), pa.int64()), pa.array([*y[some].tolist(), [0.0] * rank]), pa.array(np.concatenate((df[some], [n])), pa.float64())], names=["column", "y", "df"])
+        each = len(some) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array([*y[some].tolist(), [0.0] * rank], pa.list_(pa.float64())), pa.array(np.append(df[some], n), pa.float64()), pa.nulls(each, pa.int64()), pa.nulls(each, pa.binary())], names=_NAMES)
 
     return run, test
 
 
-def latent_space(docs: DataFrame, items: Items, rank: int = 48, passage: int = 64, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Fold-in matrix (columns of the benchmark x rank, whitened) and idf, from the passages of all ``docs``.
+_SUMS = "column long, y array<double>, df double, doc_id long, tokens binary"
+_NAMES = [x.split()[0] for x in _SUMS.split(", ")]
+
+
+def latent_space(docs: DataFrame, items: Items, rank: int = 48, passage: int = 64, seed: int = 11) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Fold-in matrix (columns of the benchmark x rank, whitened) and idf, from the passages of all ``docs``, and
+    the tokens (32-bit columns) of those with a doc_id.
 
     What comes to the driver has one row per word of the (bounded) benchmark, whatever the corpus.
     """
     run, test = _passage_sums(items, rank, passage, seed)
     width = len(items.columns)
-    each = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "column long, y array<double>, df double")
-    long = each.select("column", "df", F.posexplode("y").alias("k", "v"))
+    made = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SUMS), "passages")
+    long = made.where("column is not null").select("column", "df", F.posexplode("y").alias("k", "v"))
     sums = long.groupBy("column", "k").agg(F.sum("v").alias("v"), F.sum("df").alias("df")).toPandas()
+    tokens = made.where("doc_id is not null").select("doc_id", "tokens")
     y, df = np.zeros((width, rank)), np.zeros(width)
     real = sums[sums["column"] >= 0]
     y[real["column"].to_numpy(int), real["k"].to_numpy(int)] = real["v"]
@@ -161,11 +173,11 @@ def latent_space(docs: DataFrame, items: Items, rank: int = 48, passage: int = 6
     values, vectors = np.linalg.eigh(core)
     keep = values > max(values.max(), 0) * 1e-9
     if not keep.any():
-        return np.zeros((width, 0)), idf
+        return np.zeros((width, 0)), idf, tokens
     half = (idf[:, None] * y) @ (vectors[:, keep] / np.sqrt(values[keep]))
     left, sing, _ = np.linalg.svd(half, full_matrices=False)
     ok = sing > sing.max() * 1e-6
-    return idf[:, None] * left[:, ok] / sing[ok], idf
+    return idf[:, None] * left[:, ok] / sing[ok], idf, tokens
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -235,10 +247,10 @@ def find(docs: DataFrame, benchmark: DataFrame, rank: int = 48, cosine: float =
     items = Items([(r[0], r[1]) for r in benchmark.where("item_id is not null").select("item_id", "text").collect()])
     if not len(items.ids):
         return docs.sparkSession.createDataFrame([], schema)
-    fold, rarity = latent_space(docs, items, rank)
+    fold, rarity, rows = latent_space(docs, items, rank)
     fold = fold.astype(np.float32)
     latent = _unit(np.array([fold[t].sum(0) for t in items.tokens])).astype(np.float32)
-    columns, tokens, answers, ids, rare = items.columns, items.tokens, items.answers, items.ids, _Rare(items, rarity, partly)
+    tokens, answers, ids, rare = items.tokens, items.answers, items.ids, _Rare(items, rarity, partly)
     by_kind = {}
     for kind, size in enumerate(items.sizes):
         which = np.flatnonzero(items.kind == kind)
@@ -281,27 +293,25 @@ def find(docs: DataFrame, benchmark: DataFrame, rank: int = 48, cosine: float =
         return best
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Tokens(columns)
         for batch in batches:
             out: list[tuple] = []
-            rows, held = [], 0
+            docs, held = [], 0
             last = batch.num_rows - 1
-            for row, (doc, text) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
-                rows.append((doc.as_py(), memo.of(text.as_py())))
-                held += len(rows[-1][1])
+            for row, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                docs.append((doc, np.frombuffer(text, np.int32)))
+                held += len(docs[-1][1])
                 if held < 500_000 and row < last:
                     continue
-                where, item, place = rare.places([t for _, t in rows])
+                where, item, place = rare.places([t for _, t in docs])
                 order = np.argsort(where, kind="stable")
                 for chosen in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(order) else []:
                     kinds = items.kind[item[chosen]]
-                    doc_id, t = rows[where[chosen[0]]]
+                    doc_id, t = docs[where[chosen[0]]]
                     best = confirmed(t, {int(k): place[chosen][kinds == k] for k in np.unique(kinds)})
                     out += [(doc_id, int(ids[i]), *x) for i, x in best.items()]
-                rows, held = [], 0
+                docs, held = [], 0
             data = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(data, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["doc_id", "item_id", "common", "item_words", "answer_share"])
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = rows.mapInArrow(search, schema)
     return found.groupBy("doc_id", "item_id").agg(F.max("common").alias("common"), F.max("item_words").alias("item_words"), F.max("answer_share").alias("answer_share"))
