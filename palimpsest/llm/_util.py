@@ -67,6 +67,14 @@ def partitions_for(df: DataFrame, bytes_each: int, most: int = 200_000) -> int:
     return max(least, min(most, -(-size // bytes_each)))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as keep it apart from the columns of ``df``."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def crc32_of(column: Column) -> Column:
     return F.crc32(column.cast("string").cast("binary"))
 

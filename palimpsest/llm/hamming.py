@@ -158,7 +158,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, c
     index = rows.withColumn("shard", F.pmod(F.xxhash64(*ws, "vec_id"), F.lit(wide)).cast("int")).select("*", every(blocks).alias("block"))
     dealt = distinct.withColumn("block", F.pmod(F.xxhash64(*ws), F.lit(blocks)).cast("int")).select("*", every(wide).alias("shard"))
     schema = ", ".join([*(f"{w} long" for w in ws), "other long", "d long"])
-    met = index.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(search, schema)
+    # A number of partitions that is asked for is kept; small shards would otherwise be put into one task.
+    left, right = (x.repartition(2 * wide * blocks, "shard", "block").groupBy("shard", "block") for x in (index, dealt))
+    met = left.cogroup(right).applyInPandas(search, schema)
     # A code's k + 1 nearest rows hold the k nearest others of every query with that code.
     by_near = Window.partitionBy(*ws).orderBy("d", "other")
     met = materialize(met.withColumn("r", F.row_number().over(by_near)).where(F.col("r") <= k + 1).drop("r"), "nearest")

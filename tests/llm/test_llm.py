@@ -467,3 +467,18 @@ def test_pipeline(spark, odd):
     some = odd.select("doc_id", "text", "lang")
     for _, stage in p.STAGES[:-1]:
         assert stage(spark, some, SF).columns == some.columns
+
+
+def test_pipeline_stages_keep_clashing_columns_and_take_empty_tables(spark):
+    import corpus_pipeline as p
+
+    good = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id").select("doc_id", "text").limit(3)
+    docs = good
+    for name in ("score", "_score", "n_lines", "n_dropped", "_gone", "component_id", "item_id", "length"):
+        docs = docs.withColumn(name, F.lit(f"its {name}"))
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and {r.score + r.n_lines + r.n_dropped for r in out.collect()} <= {"its scoreits n_linesits n_dropped"}
+        assert out.count() == docs.count() or name != "n-gram Jaccard join"
+        assert stage(spark, docs.where("false"), SF).count() == 0
+    assert p.STAGES[-1][1](spark, docs.where("false"), SF).count() == 0
