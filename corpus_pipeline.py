@@ -10,20 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import linededup, packing, quality, semantic, setjoin
-from palimpsest.llm._util import scratch_path
+from palimpsest.llm._util import fresh, scratch_path
 from palimpsest.llm.queries import TOKENIZER, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.with_score(docs, model, "_score").where(F.col("_score") >= quality.CUT).drop("_score")
+    model, score = quality.fit(docs, table(spark, sf_dir, "labels")), fresh(docs, "score")
+    return quality.with_score(docs, model, score).where(F.col(score) >= quality.CUT).drop(score)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their duplicate lines; those of which no line is left go."""
-    out = linededup.dedup(docs, least=1)
-    return out.where("n_dropped = 0 or text rlike '[^ \\\\t\\\\n-\\\\r]'").select(*docs.columns)
+    n_lines, n_dropped = fresh(docs, "n_lines"), fresh(docs, "n_dropped")
+    out = linededup.dedup(docs, n_lines, n_dropped, least=1)
+    return out.where((F.col(n_dropped) == 0) | F.col("text").rlike("[^ \\t\\n-\\r]")).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
