@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import specifiers
 from .operators import compose, lineage, production
 from .registry import cardinality_check
-from .sources.virtual import view, view_sql
+from .sources.store import shared_folder
+from .sources.virtual import VIEWS, view, view_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,7 +20,7 @@ def query(sql: str | None = None):
         QUERIES[f.__name__] = f
         if sql is not None:
             text = sql
-            for name in ("va_version", "va_hunk", "va_payload", "vd_edge", "vb_blob", "vr_branch", "vp_dep", "ve_log", "vp_used"):
+            for name in sorted(VIEWS, key=len, reverse=True):
                 text = text.replace(f"${name}", f"({view_sql(name)})")
             ORACLE_SQL[f.__name__] = text
         return f
@@ -30,9 +29,9 @@ def query(sql: str | None = None):
 
 
 def _keep(spark: SparkSession):
-    """Cut lineage in the shared checkpoint folder, or in a temporary one where none is set."""
+    """Cut lineage in the shared checkpoint folder."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return lambda df: df.checkpoint()
 
 
@@ -63,7 +62,7 @@ def sink_artifacts(s, d):
 
 @query("SELECT version_id, parent_id FROM $va_version WHERE parent_id IS NOT NULL")
 def parents(s, d):
-    return _parents(s, d).select("version_id", "parent_id")
+    return lineage.parents(_parents(s, d), view(s, d, "va_version"))
 
 
 @query("SELECT artifact_id, count(*) AS versions, count(*) FILTER (WHERE status = 'committed') AS committed FROM $va_version GROUP BY artifact_id")
@@ -71,18 +70,19 @@ def artifact_versions(s, d):
     return view(s, d, "va_version").groupBy("artifact_id").agg(F.count("*").alias("versions"), F.count(F.when(F.col("status") == "committed", 1)).alias("committed"))
 
 
-@query("SELECT producer_version AS node, dependency AS neighbor FROM $vp_used WHERE relation = 'base' AND producer_version % 3 = 0 UNION SELECT dependency, producer_version FROM $vp_used WHERE relation = 'base' AND dependency % 3 = 0")
+@query("SELECT producer_version AS node, dependency AS neighbor FROM $vp_used WHERE relation = 'base' UNION SELECT dependency, producer_version FROM $vp_used WHERE relation = 'base'")
 def related_versions(s, d):
     e = view(s, d, "vp_used").select(F.col("producer_version").alias("dependent"), F.col("dependency").alias("source"), "relation")
-    nodes = e.select(F.explode(F.array("source", "dependent")).alias("node")).where("node % 3 = 0").distinct()
+    nodes = e.select(F.explode(F.array("source", "dependent")).alias("node")).distinct()
     return lineage.neighbors(e, nodes, relation="base")
 
 
 @query("SELECT v.version_id, coalesce(p.version_id, v.version_id) AS partitioning FROM $va_version v LEFT JOIN $va_version p ON p.artifact_id = v.artifact_id AND p.seq = 1 AND v.seq > 1")
 def version_partitioning(s, d):
-    v = view(s, d, "va_version")
-    first = v.where("seq = 1").select("artifact_id", F.col("version_id").alias("p"))
-    return v.join(first, "artifact_id", "left").select("version_id", F.when(F.col("seq") == 1, F.col("version_id")).otherwise(F.col("p")).alias("partitioning"))
+    v = view(s, d, "va_version").select("artifact_id", "version_id", "seq", (F.col("seq") == 1).alias("self_partitioning"))
+    first = v.where("seq = 1").select("artifact_id", F.col("version_id").alias("source"))
+    relations = v.where("seq > 1").join(first, "artifact_id").select("source", F.col("version_id").alias("dependent"), F.lit("Partitioning").alias("name"))
+    return lineage.partitioning(v, relations)
 
 
 @query("SELECT dependent AS node, count(*) AS n FROM $vd_edge GROUP BY dependent HAVING count(*) > 1")
@@ -120,10 +120,10 @@ def toposort_levels(s, d):
     return lineage.topo_levels(e.select(F.explode(F.array("source", "dependent")).alias("node")), e, _keep(s))
 
 
-@query("SELECT source AS node, dependent AS neighbor FROM $vd_edge WHERE source % 7 = 0 UNION SELECT dependent, source FROM $vd_edge WHERE dependent % 7 = 0")
+@query("SELECT source AS node, dependent AS neighbor FROM $vd_edge UNION SELECT dependent, source FROM $vd_edge")
 def neighbors(s, d):
     e = view(s, d, "vd_edge")
-    return lineage.neighbors(e, e.select(F.explode(F.array("source", "dependent")).alias("node")).where("node % 7 = 0").distinct())
+    return lineage.neighbors(e, e.select(F.explode(F.array("source", "dependent")).alias("node")).distinct())
 
 
 @query("SELECT CAST(-1 AS BIGINT) AS source, node AS dependent, 'dtype' AS edge_type, 'Partitioning' AS name FROM (SELECT source AS node FROM $vd_edge UNION SELECT dependent FROM $vd_edge) WHERE node % 4 <> 0")
@@ -147,15 +147,53 @@ def graph_diff(s, d):
     return lineage.graph_diff(e, kept.union(kept.select(F.col("dependent") + 1000000, "dependent").distinct()))
 
 
-@query("""WITH e AS $vd_edge, l0 AS (SELECT DISTINCT source AS node, md5('|' || CAST(source AS VARCHAR)) AS hash FROM e WHERE source NOT IN (SELECT dependent FROM e)),
-up AS (SELECT dependent, string_agg(hash, ',' ORDER BY hash) AS ph, count(*) AS n, count(hash) AS k FROM e LEFT JOIN l0 ON l0.node = e.source GROUP BY dependent)
-SELECT node, hash FROM l0 UNION ALL SELECT dependent, md5(ph || '|' || CAST(dependent AS VARCHAR)) FROM up WHERE n = k""")
+@query("""WITH RECURSIVE e AS (SELECT * FROM $vd_edge), need AS (SELECT dependent, count(*) AS n FROM e GROUP BY dependent),
+h(node, hash) USING KEY (node) AS (SELECT DISTINCT source, md5('|' || CAST(source AS VARCHAR)) FROM e WHERE source NOT IN (SELECT dependent FROM e)
+  UNION SELECT e.dependent, md5(string_agg(r.hash, ',' ORDER BY r.hash) || '|' || CAST(e.dependent AS VARCHAR)) FROM e JOIN recurring.h r ON r.node = e.source JOIN need ON need.dependent = e.dependent
+    WHERE e.dependent NOT IN (SELECT node FROM recurring.h) GROUP BY e.dependent, need.n HAVING count(*) = need.n)
+SELECT node, hash FROM h""")
 def artifact_hash_levels(s, d):
     e = view(s, d, "vd_edge")
     nodes = e.select(F.explode(F.array("source", "dependent")).alias("node")).distinct().withColumn("content", F.col("node").cast("string"))
-    none = nodes.select("node", F.col("content").alias("hash")).where("false")
-    first = lineage.hash_level(nodes, e, none).select("node", "hash")
-    return first.union(lineage.hash_level(nodes, e, first))
+    return lineage.hashes(nodes, e, _keep(s))
+
+
+@query("SELECT version_id AS node, min(version_id) OVER (PARTITION BY artifact_id) AS component FROM $va_version")
+def version_components(s, d):
+    v, p = view(s, d, "va_version"), _parents(s, d)
+    return lineage.components(v.select(F.col("version_id").alias("node")), p.select(F.col("parent_id").alias("source"), F.col("version_id").alias("dependent")), _keep(s))
+
+
+@query("""WITH RECURSIVE n AS (SELECT source AS node FROM $vd_edge UNION SELECT dependent FROM $vd_edge), r(node, reached) AS (SELECT node, node FROM n UNION SELECT r.node, e.source FROM r JOIN $vd_edge e ON e.dependent = r.reached),
+p AS (SELECT node AS a, node + 1 AS b FROM n WHERE node + 1 IN (SELECT node FROM n)),
+c AS (SELECT p.a, p.b, x.reached AS ancestor FROM p JOIN r x ON x.node = p.a JOIN r y ON y.node = p.b AND y.reached = x.reached)
+SELECT a, b, ancestor FROM c WHERE NOT EXISTS (SELECT 1 FROM c k JOIN r ON r.node = k.ancestor AND r.node <> r.reached WHERE k.a = c.a AND k.b = c.b AND r.reached = c.ancestor)""")
+def common_ancestors(s, d):
+    """Lowest common ancestors of each node and the next."""
+    e = view(s, d, "vd_edge")
+    nodes = e.select(F.explode(F.array("source", "dependent")).alias("node")).distinct()
+    pairs = nodes.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).join(nodes.select(F.col("node").alias("b")), "b", "left_semi")
+    return lineage.common_ancestors(pairs, lineage.closure(e, nodes, True, _keep(s)))
+
+
+@query("""SELECT graph, bool_and(NOT existing) AS independent, bool_and(existing OR id IS NOT NULL) AND NOT coalesce(any_value(hit), FALSE) AS valid_payload,
+bool_and(NOT existing) AND bool_and(existing OR id IS NOT NULL) AND NOT coalesce(any_value(hit), FALSE) AS valid_state
+FROM $vg_node n LEFT JOIN (SELECT e.graph, bool_or(t.existing) AS hit FROM $vg_edge e JOIN $vg_node t ON t.graph = e.graph AND t.node = e.dependent GROUP BY e.graph) h USING (graph) GROUP BY graph""")
+def description_validity(s, d):
+    return lineage.description_validity(view(s, d, "vg_node"), view(s, d, "vg_edge"))
+
+
+_AT = """WITH h AS (SELECT artifact_id AS graph, partition_id, version_id AS hunk, ord FROM ({c}) c), m AS (
+  SELECT version_id AS hunk, partition_id, key AS node, value % 3 = 0 AS gone FROM $va_payload)
+SELECT graph, node FROM (SELECT graph, node, min_by(gone, ord * 2 + gone::INT) AS gone FROM h JOIN m ON m.hunk = h.hunk AND m.partition_id = h.partition_id GROUP BY graph, node) WHERE NOT gone"""
+
+
+def _graph_hunks(s, d, where):
+    """The hunks of a graph artifact's newest version, one partition each; a hunk takes out every key whose value is
+    divisible by 3 and puts in the others."""
+    c = _map(s, d, where).where("partition_id = 0").select(F.col("artifact_id").alias("graph"), F.col("version_id").alias("hunk"), "ord", "representation")
+    p = view(s, d, "va_payload").where("partition_id = 0").select(F.col("version_id").alias("hunk"), F.col("key").alias("node"), (F.col("value") % 3 == 0).alias("gone"))
+    return c, p.where("not gone").drop("gone"), p.where("gone").drop("gone")
 
 
 # Composition
@@ -189,6 +227,16 @@ def composition_cumulative(s, d):
     return _map(s, d)
 
 
+@query(_AT.format(c=(_C1 % ("partition_id = 0", _CUMULATIVE)).replace("%", "%")))
+def graph_at_version(s, d):
+    return lineage.graph_at(*_graph_hunks(s, d, "true"), ["node"])
+
+
+@query(_AT.format(c=(_C1 % ("partition_id = 0 AND seq <= 4", _CUMULATIVE))))
+def graph_at_earlier_version(s, d):
+    return lineage.graph_at(*_graph_hunks(s, d, "seq <= 4"), ["node"])
+
+
 def _with_locks(s, d):
     """Every hunk whose version is divisible by 7 locks its partition until two hunks below it."""
     w = "row_number() over (partition by artifact_id, partition_id order by seq desc) - 1"
@@ -203,16 +251,30 @@ def composition_precedence(s, d):
     return compose.composition_with_precedence(_with_locks(s, d), ["artifact_id", "partition_id"]).withColumn("kept", F.array_join("kept", ","))
 
 
-@query("SELECT artifact_id, partition_id FROM $va_hunk GROUP BY artifact_id, partition_id HAVING count(*) FILTER (WHERE representation = 'state') = 0")
+_C2 = f"SELECT artifact_id, c.partition_id, key, min_by(value, ord) AS value FROM ({_C1 + _CUMULATIVE}) c JOIN $va_payload p ON p.version_id = c.version_id AND p.partition_id = c.partition_id GROUP BY artifact_id, c.partition_id, key"
+
+
+def _C2_AT(where: str) -> str:  # noqa: N802
+    """SQL of the composite state over the hunks of the versions that ``where`` names."""
+    return _C2.replace("%s", where, 1).replace("%s", "")
+
+
+@query("SELECT artifact_id, partition_id FROM $va_raw GROUP BY artifact_id, partition_id HAVING count(*) FILTER (WHERE representation = 'state') = 0")
 def unfulfilled_partitions(s, d):
-    return compose.unfulfilled(_map(s, d), ["artifact_id", "partition_id"])
+    made = compose.composition_map(view(s, d, "va_raw"), ["artifact_id", "partition_id"], "seq")
+    return compose.unfulfilled(made, ["artifact_id", "partition_id"])
 
 
-def _state(s, d, where="true"):
-    return compose.composite_state(_map(s, d, where), view(s, d, "va_payload"), ["version_id", "partition_id"], ["artifact_id", "partition_id"])
+@query("""WITH base AS ({b}), a AS ({a}), c AS ({c}), one AS (SELECT artifact_id, partition_id, key, a.value AS value FROM a FULL JOIN base USING (artifact_id, partition_id, key) WHERE a.value IS DISTINCT FROM base.value),
+two AS (SELECT artifact_id, partition_id, key, c.value AS value FROM c FULL JOIN base USING (artifact_id, partition_id, key) WHERE c.value IS DISTINCT FROM base.value)
+SELECT artifact_id, partition_id, key, one.value AS ours, two.value AS theirs, one.value IS NOT DISTINCT FROM two.value AS same FROM one JOIN two USING (artifact_id, partition_id, key)""".format(b=_C2_AT("seq <= 2"), a=_C2_AT("seq <= 4"), c=_C2_AT("seq <= 2 OR seq = 5")))
+def merge_conflicts(s, d):
+    """Keys that two lines of versions, from the second version on, have both changed."""
+    return compose.merge_conflicts(_state(s, d, "seq <= 2"), _state(s, d, "seq <= 4"), _state(s, d, "seq <= 2 or seq = 5"), ["artifact_id", "partition_id", "key"])
 
 
-_C2 = f"SELECT artifact_id, c.partition_id, key, min_by(value, ord) AS value FROM ({_C1 + _CUMULATIVE}) c JOIN $va_payload p ON p.version_id = c.version_id AND p.partition_id = c.partition_id GROUP BY artifact_id, c.partition_id, key"
+def _state(s, d, where="true"):
+    return compose.composite_state(_map(s, d, where), view(s, d, "va_payload"), ["version_id", "partition_id"], ["artifact_id", "partition_id"])
 
 
 @query(_C2.replace("%s", "TRUE", 1).replace("%s", ""))
@@ -280,9 +342,9 @@ def extant_specs(s, d):
     return out.withColumn("deps", F.array_join(F.array_sort(F.transform("deps", lambda x: F.concat(x["relation"], F.lit(":"), x["dependency"].cast("string")))), ","))
 
 
-@query("SELECT producer FROM (SELECT producer, bool_and(coalesce(n, 0) = 1) AS ok FROM $vp_dep p LEFT JOIN (SELECT artifact_id, count(*) AS n FROM $va_version GROUP BY 1) c ON c.artifact_id = p.dependency WHERE dependency % 50 = 7 GROUP BY producer) WHERE ok AND producer NOT IN (SELECT artifact_id FROM $va_version)")
+@query("SELECT producer FROM (SELECT producer, bool_and(coalesce(n, 0) = 1) AS ok FROM $vl_dep p LEFT JOIN (SELECT artifact_id, count(*) AS n FROM $vl_version GROUP BY 1) c ON c.artifact_id = p.dependency GROUP BY producer) WHERE ok AND producer NOT IN (SELECT artifact_id FROM $vl_version)")
 def leaf_bootstrap_specs(s, d):
-    return production.leaf_bootstrap(view(s, d, "vp_dep").where("dependency % 50 = 7"), view(s, d, "va_version"))
+    return production.leaf_bootstrap(view(s, d, "vl_dep"), view(s, d, "vl_version"))
 
 
 @query("SELECT u.producer_version, u.dependency, u.relation FROM $vp_used u WHERE producer_version IN (SELECT version_id FROM $vr_branch)")
@@ -322,7 +384,8 @@ def dependency_cardinality(s, d):
 
 @query("SELECT ref_artifact, branch, path, version_id FROM $vr_branch")
 def branch_tips(s, d):
-    return view(s, d, "vr_branch")
+    """The last version that the log of each branch has for HEAD."""
+    return lineage.latest(view(s, d, "vr_log"), ["ref_artifact", "branch", "path"], ["txn"]).where("path = 'HEAD'").drop("txn")
 
 
 @query("SELECT ref_artifact, branch, path, coalesce(v.version_id, b.version_id) AS version_id FROM $vr_branch b LEFT JOIN $va_version v ON v.parent_id = b.version_id AND b.ref_artifact % 2 = 0")
@@ -333,15 +396,21 @@ def upsert_tips(s, d):
     return lineage.latest(log, ["ref_artifact", "branch", "path"], ["txn"]).drop("txn")
 
 
-@query("SELECT branch, v.version_id, coalesce(v.parent_id, -1) AS before FROM $vr_branch b JOIN $va_version v ON v.version_id = b.version_id WHERE lower(branch) LIKE 'a%' OR ref_artifact = 3")
+@query("""WITH RECURSIVE w(spec, version_id, steps) AS (SELECT branch || '~' || CAST(ref_artifact % 7 AS VARCHAR), version_id, ref_artifact % 7 FROM $vr_branch
+  UNION ALL SELECT w.spec, v.parent_id, w.steps - 1 FROM w JOIN $va_version v ON v.version_id = w.version_id WHERE w.steps > 0)
+SELECT spec, version_id FROM w WHERE steps = 0 AND version_id IS NOT NULL""")
 def resolve_branch(s, d):
-    b = view(s, d, "vr_branch").where(F.lower("branch").startswith("a") | (F.col("ref_artifact") == 3))
-    return b.join(view(s, d, "va_version").select("version_id", "parent_id"), "version_id").select("branch", "version_id", F.coalesce("parent_id", F.lit(-1)).alias("before"))
+    """Every branch with an offset of up to six versions before its tip, parsed and resolved."""
+    tips = lineage.latest(view(s, d, "vr_log"), ["ref_artifact", "branch", "path"], ["txn"])
+    spec = F.concat("branch", F.lit("~"), (F.col("ref_artifact") % 7).cast("string"))
+    asked = tips.where("path = 'HEAD'").select(spec.alias("spec"), F.concat(F.lit("all/"), F.regexp_replace(spec, "~", ":HEAD~"), F.lit("/data")).alias("text"))
+    parsed = asked.select("spec", *(c.alias(n) for n, c in specifiers.parse_columns(F.col("text")).items()))
+    return lineage.resolve(parsed, tips.select("branch", "path", "version_id"), _parents(s, d), _keep(s))
 
 
 @query("SELECT version_id, md5(CAST(version_id AS VARCHAR)) AS uuid FROM $va_version WHERE md5(CAST(version_id AS VARCHAR)) ILIKE 'AB%'")
 def uuid_prefix(s, d):
-    return view(s, d, "va_version").select("version_id", F.md5(F.col("version_id").cast("string")).alias("uuid")).where(F.col("uuid").ilike("AB%"))
+    return lineage.with_prefix(view(s, d, "va_version").select("version_id", F.md5(F.col("version_id").cast("string")).alias("uuid")), "AB")
 
 
 @query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'uuid' WHEN 3 THEN 'error' ELSE 'branch' END AS kind, CASE n_nationkey % 4 WHEN 0 THEN n_name END AS uuid_prefix,
@@ -365,11 +434,10 @@ def list_artifacts(s, d):
     return p.join(p.select("dtype").distinct().withColumn("dtype_uuid", F.md5("dtype")), "dtype")
 
 
-@query()
+@query("""SELECT blob, version, partition_id, state FROM (VALUES (1, 1, '00010203040506'), (1, 2, '00070203040508'), (2, 1, 'FFFEFDFCFBFAF9'), (2, 2, 'FFF8FDFCFBFAF7'), (3, 1, '00010203040506'), (3, 2, '00070203040508')) t(blob, version, state),
+(VALUES (CAST(0 AS BIGINT)), (1)) p(partition_id)""")
 def cascade_blob_chain(s, d):
     """A blob, its negation and the negation of that, in a new repository: states after a state and a delta commit."""
     from .plans.demo import blob_chain
 
     return blob_chain(s)
-
-

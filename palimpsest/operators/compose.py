@@ -63,6 +63,13 @@ def version_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str = "
     return a.join(b, keys, "full").where(~F.col("old").eqNullSafe(F.col("new"))).withColumn("change", change)
 
 
+def merge_conflicts(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """keys, ours, theirs, same: the entries that both lines have changed since ``base`` (null: removed), and whether
+    they agree. Entries that one line alone has changed are merged without a conflict and left out."""
+    changed = lambda x, name: version_diff(base, x, keys, value).select(*keys, F.col("new").alias(name))
+    return changed(ours, "ours").join(changed(theirs, "theirs"), keys).withColumn("same", F.col("ours").eqNullSafe(F.col("theirs")))
+
+
 def blob_compose(state: Column, indices: Column, data: Column) -> Column:
     """Put data's bytes at indices; the shorter rules, of equal indices the last, an index outside is an error."""
     n = F.least(F.size(indices), F.octet_length(data))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import CUSTOM, DELTA, DTYPE, LEAF_BOOTSTRAP, PARTITIONING, PRODUCER, STATE, Artifact, Edge, Hunk, Version, new_id
+from ..sources.store import shared_folder
 from .engine import Engine
 from .graph import ArtifactGraph
 
@@ -55,8 +54,7 @@ def run_chain(spark: SparkSession, path: str) -> tuple[Engine, dict[str, str], l
 
 
 def blob_chain(spark: SparkSession) -> DataFrame:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-    e, ids, _, _ = run_chain(spark, f"{root}/chain-{new_id()}")
+    e, ids, _, _ = run_chain(spark, f"{shared_folder(spark)}/chain-{new_id()}")
     out = None
     for n in (1, 2, 3):
         for k, v in enumerate(sorted(e.versions.artifact_versions(ids[f"Test Blob {n}"]), key=lambda v: len(e.versions.ancestors(v)))):

@@ -22,6 +22,21 @@ VIEWS = {
     "vb_blob": """SELECT p_partkey AS artifact_id, p_name AS state_text, CAST(p_size % length(p_name) AS BIGINT) AS idx FROM {part}""",
     "vr_branch": """SELECT n_nationkey AS ref_artifact, n_name AS branch, 'HEAD' AS path, max(o_orderkey) AS version_id
   FROM {nation} JOIN {customer} ON c_nationkey = n_nationkey JOIN {orders} ON o_custkey = c_custkey GROUP BY n_nationkey, n_name""",
+    # All updates of a branch, newest last; two paths.
+    "vr_log": """SELECT n_nationkey AS ref_artifact, n_name AS branch, path, o_orderkey AS version_id, o_orderkey AS txn
+  FROM {nation} JOIN {customer} ON c_nationkey = n_nationkey JOIN (SELECT o_custkey, o_orderkey, 'HEAD' AS path FROM {orders}
+    UNION ALL SELECT o_custkey, o_orderkey, 'squash' FROM {orders} WHERE o_orderkey % 2 = 1) u ON o_custkey = c_custkey""",
+    # Hunks as their versions declare them, so some partitions have no state.
+    "va_raw": """SELECT DISTINCT v.artifact_id, v.version_id, v.seq, CAST(l.l_linenumber % 4 AS INT) AS partition_id, v.representation
+  FROM {lineitem} l JOIN {va_version} v ON l.l_orderkey = v.version_id""",
+    # Producers of three parts each; some parts have further versions, and some producers have been run.
+    "vl_dep": """SELECT CAST(-1 - floor(p_partkey / 3) AS BIGINT) AS producer, p_partkey AS dependency FROM {part}""",
+    "vl_version": """SELECT p_partkey AS artifact_id FROM {part} UNION ALL SELECT l_partkey FROM {lineitem} WHERE l_quantity >= 50
+  UNION ALL SELECT DISTINCT CAST(-1 - p_partkey AS BIGINT) FROM {part} WHERE p_partkey % 5 = 0""",
+    # Descriptions of graphs: some name nodes that exist already, some lack an id.
+    "vg_node": """SELECT CAST(floor(p_partkey / 4) AS BIGINT) AS graph, p_partkey AS node, p_size % 10 = 0 AS existing,
+  CASE WHEN p_size % 10 <> 1 THEN p_name END AS id FROM {part}""",
+    "vg_edge": """SELECT CAST(floor(p_partkey / 4) AS BIGINT) AS graph, p_partkey - 1 AS source, p_partkey AS dependent FROM {part} WHERE p_partkey % 4 > 0""",
     "vp_dep": """SELECT CAST(-1 - c_nationkey AS BIGINT) AS producer, c_custkey AS dependency, 'input' AS relation FROM {customer}""",
     "ve_log": """SELECT user_id AS key, event_id AS seq, event_type AS value FROM {events}""",
     # Producer versions: one for every version of an artifact and the version before it, of the same or the next artifact.
