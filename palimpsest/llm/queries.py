@@ -28,7 +28,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "digest", "license_id")
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "digest", "license_id", F.array_join("contained", ",").alias("contained"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +76,19 @@ QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_quality, o
 
 def _known_sql() -> str:
     quoted = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.KNOWN.items())
-    return f"SELECT min(license_id) AS license_id, digest FROM (SELECT license_id, sha256({licenses.canonical_sql('text')}) AS digest FROM (VALUES {quoted}) AS t(license_id, text)) GROUP BY digest"
-
-
-OP2_SQL = f"""WITH known AS ({_known_sql()}),
-forms AS (SELECT doc_id, sha256({licenses.canonical_sql("text")}) AS digest FROM documents)
-SELECT doc_id, forms.digest AS digest, license_id FROM forms LEFT JOIN known ON forms.digest = known.digest"""
+    return f"SELECT license_id, text FROM (VALUES {quoted}) AS t(license_id, text)"
+
+
+_PARTS = f"regexp_split_to_array(coalesce(text, ''), '{licenses.PARAGRAPH}')"
+OP2_SQL = f"""WITH texts AS ({_known_sql()}),
+known AS (SELECT min(license_id) AS license_id, digest FROM (SELECT license_id, sha256({licenses.canonical_sql("text")}) AS digest FROM texts) GROUP BY digest),
+parts AS (SELECT DISTINCT license_id, sha256(form) AS unit FROM (SELECT license_id, {licenses.canonical_sql("part")} AS form FROM (SELECT license_id, unnest({_PARTS}) AS part FROM texts WHERE license_id IN (SELECT license_id FROM known))) WHERE form <> ''),
+rows AS (SELECT row_number() OVER () AS id, doc_id, text FROM documents),
+units AS (SELECT DISTINCT id, sha256(form) AS unit FROM (SELECT id, {licenses.canonical_sql("part")} AS form FROM (SELECT id, unnest(list_concat({_PARTS}, string_split(coalesce(text, ''), chr(10)))) AS part FROM rows)) WHERE form <> ''),
+held AS (SELECT id, license_id FROM units JOIN parts USING (unit) GROUP BY id, license_id HAVING count(*) = (SELECT count(*) FROM parts p WHERE p.license_id = parts.license_id)),
+contained AS (SELECT id, string_agg(license_id, ',' ORDER BY license_id) AS contained FROM held GROUP BY id),
+forms AS (SELECT id, doc_id, sha256({licenses.canonical_sql("text")}) AS digest FROM rows)
+SELECT doc_id, forms.digest AS digest, license_id, coalesce(contained, '') AS contained FROM forms LEFT JOIN known ON forms.digest = known.digest LEFT JOIN contained ON contained.id = forms.id"""
 
 OP4_SQL = r"""WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -139,6 +139,20 @@ def test_licenses(spark, duck, odd, none):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(none).count() == 0
 
 
+def test_licenses_within_texts(spark, duck):
+    """Licences that stand among other paragraphs, notices that are lines, neighbouring spellings and clashing columns."""
+    found = duck.execute(f"select count(*) from ({queries.OP2_SQL}) where contained <> ''").fetchone()[0]
+    assert found > 0
+    mit, zlib_, header = (licenses.KNOWN[k] for k in ("MIT", "Zlib", "Apache-2.0 header"))
+    rows = [(1, f"# about\n\n{mit}\n \n\t\nthe end"), (2, "x\nReleased under the MIT license\ny"), (3, mit.split("\n\n")[0]), (4, f"{header}\n\n{zlib_}"), (None, mit), (None, None), (5, " ".join(["licence"] * 3))]
+    df = spark.createDataFrame([(d, t, "a", "b", "c", 7) for d, t in rows], "doc_id long, text string, digest string, license_id string, contained string, _row long")
+    got = licenses.scan(df).collect()
+    assert sorted((str(r.doc_id), r.license_id, tuple(r.contained), r["_row"]) for r in got if r.doc_id) == [("1", None, ("MIT",), 7), ("2", None, ("MIT notice",), 7), ("3", None, (), 7), ("4", None, ("Apache-2.0 header", "Zlib"), 7), ("5", None, (), 7)]
+    assert {(r.license_id, tuple(r.contained)) for r in got if r.doc_id is None} == {("MIT", ("MIT",)), (None, ())}
+    same = licenses.scan(spark.createDataFrame([(1, "licence licences licence"), (2, "license Licenses, LICENSE")], "doc_id long, text string")).collect()
+    assert same[0].digest == same[1].digest
+
+
 def test_quality(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = quality.classify(docs, labels)
