@@ -44,7 +44,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     captures = warc.assemble(warc.read_archives(spark, path, payloads=False))
-    first = F.regexp_extract("refers_to", r"capture:(-?\d+)>", 1)
+    first = F.regexp_extract("refers_to", r"capture:(-?\d+)[:>]", 1)
     return captures.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.when(F.col("refers_to").isNotNull(), first).cast("long").alias("refers_to"))
 
 

@@ -1,8 +1,9 @@
 """URL filter: rules by host and path, and for the rest trust propagated over the graph of hosts.
 
-Personalised PageRank from trusted hosts along links, and distrust from blocked hosts against them:
-who links to a blocked host is suspect. A host whose distrust exceeds its trust and a threshold is
-blocked where no rule speaks.
+Every host seeds trust with the share of its pages that no rule blocks, and distrust with the share that
+rules block. Personalised PageRank carries trust along links, and distrust against them: who links to a
+blocked host is suspect. A host whose distrust exceeds its trust and a threshold is blocked where no
+rule speaks. Without links the seeds decide, so a host most of whose pages are blocked is blocked.
 """
 
 from __future__ import annotations
@@ -59,11 +60,21 @@ def decide(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """src, dst and the number of links, from the absolute links in html; links within a host are left out."""
-    links = F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)<a\s[^>]{0,2000}?href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""), F.lit(1)))
+    """src, dst and the number of links, from the links in html; links within a host are left out. A link without a
+    host leads to that of the page's ``<base>``, if it has one, else to the page's own."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    quoted = r"""\s[^>]{0,2000}?href\s*=\s*["']?([^"'\s>]+)"""
     src, _ = host_path(F.col("url"))
-    got = pages.select(src.alias("src"), links.alias("link"))
-    dst, _ = host_path(F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link")))
+    base = F.regexp_extract(html, "(?i)<base" + quoted, 1)
+    got = pages.select(src.alias("src"), base.alias("base"), F.explode(F.regexp_extract_all(html, F.lit("(?i)<a" + quoted), F.lit(1))).alias("link"))
+
+    def absolute(link: Column) -> Column:
+        return F.when(link.startswith("//"), F.concat(F.lit("http:"), link)).when(link.rlike("(?i)^https?://"), link)
+
+    of_base, _ = host_path(absolute(F.col("base")))
+    other = F.col("link").rlike("^([A-Za-z][A-Za-z0-9+.-]*:|#)")  # another scheme, or a place in the page itself
+    at, _ = host_path(absolute(F.col("link")))
+    dst = F.when(absolute(F.col("link")).isNotNull(), at).when(~other, of_base).otherwise("")
     return got.select("src", dst.alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
@@ -94,23 +105,34 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return rank
 
 
-def judge(pages: DataFrame, rules: list[Rule], seed_share: float = 0.9, threshold: float = 0.0, **rank) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.0, **rank) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of ``pages(page_id, url, html)``.
 
-    Seeds come from the rules: a host is blocked to the degree that rules block its pages if that share is
-    ``seed_share`` or more, and trusted if rules allow any of its pages or block none. Hosts whose
-    distrust is above ``threshold`` and above their trust are blocked where no rule fits; all others are
-    allowed. A null url, or one without ``://``, has an empty host and path and is allowed. Repeated
-    rows are judged one by one; null html has no links; further columns are ignored.
+    Seeds come from the rules: a host of n pages of which rules block b seeds distrust with b / n and trust with
+    (n - b) / n. Ranks are multiplied by the sum of their seeds, so what the two hold compares however many hosts
+    seed either. Hosts whose distrust is above ``threshold`` and above their trust are blocked where no rule fits; all
+    others are allowed. A null url, or one without ``://``, has an empty host and path and is allowed.
+    Repeated rows, and rows without a page_id, are judged one by one and count as pages of their host; null html has no
+    links; an empty table gives an empty result; further columns are ignored, whatever their names. A very long page
+    is one row, of which the links are exploded. A host of very many pages is summed up before the shuffle.
     """
-    host, path = host_path(F.col("url"))
+    host, path = host_path(F.col("url").cast("string"))
     judged = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("by", decide(F.col("host"), F.col("path"), rules))
-    per_host = judged.where("host <> ''").groupBy(F.col("host").alias("node")).agg(F.count("*").alias("n"), F.count(F.when(F.col("by.verdict") == "block", 1)).alias("bad"), F.count(F.when(F.col("by.verdict") == "allow", 1)).alias("good"))
-    per_host = materialize(per_host, "hosts")
-    edges = materialize(host_edges(pages), "edges")
-    share = F.col("bad") / F.col("n")
-    trust = pagerank(edges, per_host.where((share < seed_share) & ((F.col("good") > 0) | (F.col("bad") == 0))).select("node", F.lit(1.0).alias("weight")), **rank)
-    distrust = pagerank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links"), per_host.where(share >= seed_share).select("node", share.alias("weight")), **rank)
-    bad = distrust.withColumnRenamed("rank", "bad").join(trust.withColumnRenamed("rank", "good"), "node", "left").where(F.col("bad") > F.greatest(F.coalesce("good", F.lit(0.0)), F.lit(threshold)))
-    bad = bad.select(F.col("node").alias("host"), F.lit("block").alias("by_rank"))
+    ranks = host_ranks(pages.select("url", "html"), judged, **rank)
+    bad = ranks.where(F.col("bad") > F.greatest("good", F.lit(threshold))).select("host", F.lit("block").alias("by_rank"))
     return judged.join(bad, "host", "left").select("page_id", "host", "path", F.col("by.rule").alias("rule"), F.coalesce("by.verdict", "by_rank", F.lit("allow")).alias("verdict"))
+
+
+def host_ranks(pages: DataFrame, judged: DataFrame, **rank) -> DataFrame:
+    """host, good and bad: trust and distrust of every host that has any, from judged(host, by)."""
+    blocked = F.count(F.when(F.col("by.verdict") == "block", 1)) / F.count("*")
+    hosts = materialize(judged.where("host <> ''").groupBy(F.col("host").alias("node")).agg(blocked.alias("share")), "hosts")
+    edges = materialize(host_edges(pages), "edges")
+
+    def scaled(links: DataFrame, seeds: DataFrame, name: str) -> DataFrame:
+        total = seeds.agg(F.sum("weight").alias("all")).first()["all"] or 0.0
+        return pagerank(links, seeds, **rank).select(F.col("node").alias("host"), (F.col("rank") * F.lit(total)).alias(name))
+
+    good = scaled(edges, hosts.select("node", (1 - F.col("share")).alias("weight")), "good")
+    bad = scaled(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links"), hosts.select("node", F.col("share").alias("weight")), "bad")
+    return good.join(bad, "host", "full").select("host", F.coalesce("good", F.lit(0.0)).alias("good"), F.coalesce("bad", F.lit(0.0)).alias("bad"))

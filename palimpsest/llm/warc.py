@@ -24,18 +24,21 @@ RECORDS = "archive string, kind string, record_id string, concurrent_to string,
 
 
 def with_first(pages: DataFrame, least_bytes: int = LEAST_REVISIT) -> DataFrame:
-    """Add payload (never null), payload_bytes, payload_digest, and refers_to: the smallest page_id of equal
-    payloads of at least ``least_bytes``, null on that row itself. Of rows that repeat a page_id all
-    count as that page. Minima are combined before the shuffle; the join back is a plain equi-join."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
+    """Add payload (never null), payload_bytes, payload_digest, own (the id of the row's capture), and refers_to and
+    refers_own: the smallest page_id of equal payloads of at least ``least_bytes`` and the id of a capture of it; null on
+    rows of that page itself, on smaller payloads and without a page_id. Minima are combined before the shuffle; the
+    join back is a plain equi-join. Of a page_id that several rows have, each gets the row's number into its id."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload")).withColumn("row", F.monotonically_increasing_id().cast("string"))
+    again = rows.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1 and page_id is not null").select("page_id", F.lit(True).alias("again"))
+    rows = rows.withColumn("again", F.lit(False)) if again.isEmpty() else rows.join(again, "page_id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    more = F.when(F.col("page_id").isNull(), F.concat(F.lit("none:"), "row")).when(F.col("again"), F.concat(F.col("page_id").cast("string"), F.lit(":"), "row")).otherwise(F.col("page_id").cast("string"))
+    rows = rows.withColumn("own", F.concat(F.lit("<urn:palimpsest:capture:"), more, F.lit(">")))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2(F.col("payload"), 256))
-    large = rows.where(F.col("payload_bytes") >= least_bytes)
-    first = large.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(first, "payload_digest", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first"))).drop("first")
-
-
-def _id(kind: str, page: Column) -> Column:
-    return F.concat(F.lit(f"<urn:palimpsest:{kind}:"), page.cast("string"), F.lit(">"))
+    large = rows.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull())
+    first = large.groupBy("payload_digest").agg(F.min(F.struct("page_id", "own")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = rows.join(first, "payload_digest", "left")
+    other = F.col("page_id") != F.col("first.page_id")
+    return rows.withColumn("refers_to", F.when(other, F.col("first.page_id"))).withColumn("refers_own", F.when(other, F.col("first.own"))).drop("first", "row", "again")
 
 
 def _header(*pairs: tuple[str, Column]) -> Column:
@@ -45,7 +48,8 @@ def _header(*pairs: tuple[str, Column]) -> Column:
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """One string per capture: its response or revisit, request and metadata records, without the last two line ends."""
+    """One string per capture (its response or revisit, request and metadata records, without the last two line ends),
+    and the bytes of the payload in it."""
     page, url = F.col("page_id"), F.coalesce("url", F.lit("about:blank"))
     revisit = F.col("refers_to").isNotNull()
     kind = F.when(revisit, "revisit").otherwise("response")
@@ -54,8 +58,6 @@ def records(rows: DataFrame) -> DataFrame:
     path = F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n ]+", "")
     request = F.concat(F.lit("GET "), path, F.lit(f" HTTP/1.1{END}{END}"))
     meta = F.concat(F.lit("payload-length: "), F.col("payload_bytes").cast("string"), F.lit(END))
-    own = F.when(page.isNull(), F.concat(F.lit("<urn:palimpsest:null:"), F.uuid(), F.lit(">"))).otherwise(_id("capture", page))
-    rows = rows.withColumn("own", own)
 
     def length(x: Column) -> Column:
         return F.octet_length(x).cast("string")
@@ -65,20 +67,32 @@ def records(rows: DataFrame) -> DataFrame:
         _header(("WARC-Type", kind), ("WARC-Record-ID", F.col("own")), same, ("WARC-Target-URI", url), ("WARC-Page-ID", page),
                 ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
                 ("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-                ("WARC-Refers-To", _id("capture", F.col("refers_to"))),
+                ("WARC-Refers-To", F.col("refers_own")),
                 ("Content-Type", F.lit("application/http;msgtype=response")), ("Content-Length", length(block))), block)
     asked = F.concat(_header(("WARC-Type", F.lit("request")), ("WARC-Record-ID", F.concat(F.expr("substr(own, 1, length(own) - 1)"), F.lit(":request>"))), same, ("WARC-Target-URI", url), ("WARC-Concurrent-To", F.col("own")), ("Content-Type", F.lit("application/http;msgtype=request")), ("Content-Length", length(request))), request)
     told = F.concat(_header(("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", F.concat(F.expr("substr(own, 1, length(own) - 1)"), F.lit(":metadata>"))), same, ("WARC-Target-URI", url), ("WARC-Concurrent-To", F.col("own")), ("Content-Type", F.lit("application/warc-fields")), ("Content-Length", length(meta))), meta)
-    return rows.select(F.concat(main, F.lit(END * 2), asked, F.lit(END * 2), told).alias("value"))
+    return rows.select(F.concat(main, F.lit(END * 2), asked, F.lit(END * 2), told).alias("value"), F.when(revisit, 0).otherwise(F.col("payload_bytes")).alias("size"))
 
 
-def write_archives(pages: DataFrame, path: str, captures_each: int = 1000, least_bytes: int = LEAST_REVISIT) -> None:
-    """Write a transaction per row of ``pages(page_id, url, html)`` to gzip archives under ``path``.
+def write_archives(pages: DataFrame, path: str, captures_each: int = 1000, least_bytes: int = LEAST_REVISIT, archive_bytes: int = 64 << 20) -> None:
+    """Write a transaction per row of ``pages(page_id, url, html)`` to gzip archives in folders under ``path``.
 
-    Null html is an empty payload; a null url is written as about:blank; a null page_id gets a record id
-    of its own and no page field. An archive holds at most ``captures_each`` captures.
+    Null html is an empty payload; a null url is written as about:blank; a null page_id has no page field. Rows that
+    repeat, also under one page_id, are captures of their own; an empty table writes nothing; further columns are
+    ignored, whatever their names. An archive holds at most ``captures_each`` captures and, unless it is one capture,
+    payloads of at most ``archive_bytes``: pages are written by classes of size, each of four times the one before, and
+    the more to an archive the smaller they are.
     """
-    records(with_first(pages, least_bytes)).write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", captures_each).text(path)
+    rows = records(with_first(pages, least_bytes))
+    each = max(1, archive_bytes // captures_each)
+    size = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0))
+    most = pages.agg(F.max(size).alias("x")).first()["x"] or 0
+    bounds = [each]
+    while bounds[-1] < most:
+        bounds.append(4 * bounds[-1])
+    for k, bound in enumerate(bounds):
+        some = rows.where(F.col("size") <= bound) if k == 0 else rows.where((F.col("size") > bounds[k - 1]) & (F.col("size") <= bound))
+        some.select("value").write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", min(captures_each, max(1, archive_bytes // bound))).text(f"{path}/class-{k}")
 
 
 def _inflate(data: bytes) -> bytes:
@@ -112,19 +126,25 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = True, flush: int = 8 << 20) -> DataFrame:
     """One flat row (``RECORDS``) per record of every archive under ``path``.
 
     payload is the HTTP body of a response, else the block. Digest and size are computed from it; for a
     revisit, which stores no payload, they are those its headers and metadata state. ``payloads=False``
-    leaves payload null, so that a caller who wants digests alone doesn't move the bodies.
+    leaves payload null, so that a caller who wants digests alone doesn't move the bodies. An archive is inflated in
+    memory, and its payloads are handed on about ``flush`` bytes at a time. A folder without archives gives no rows.
     """
 
+    types = [pa.string()] * 6 + [pa.map_(pa.string(), pa.string()), pa.int64(), pa.string(), pa.binary()]
+
+    def whole(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string()] * 6 + [pa.map_(pa.string(), pa.string()), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
             for name, content in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
                 out: list[list] = [[] for _ in types]
+                held = 0
                 for fields, block in parse(content):
                     kind = fields.get("warc-type", "")
                     http = fields.get("content-type", "").startswith("application/http")
@@ -139,9 +159,13 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     one = (name, kind, fields.get("warc-record-id"), fields.get("warc-concurrent-to"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), list(more.items()), size, digest, body if payloads else None)
                     for column, value in zip(out, one, strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
+                    held += len(body) if payloads else 0
+                    if held > flush:
+                        yield whole(out)
+                        out, held = [[] for _ in types], 0
+                yield whole(out)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(rows, RECORDS)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(rows, RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -150,8 +174,9 @@ def assemble(records: DataFrame) -> DataFrame:
     Records meet on the capture's id, their own for a response or revisit and the concurrent-to of the
     others. Of several requests or metadata records of a capture the one of the smallest record id is
     nested, and n_requests and n_metadata tell how many there were, so a capture that very many records
-    name is combined before the shuffle. Of captures that repeat a record id there is one row.
-    Requests and metadata without a capture are left out. A revisit takes its size from its metadata.
+    name is combined before the shuffle. Archives written here have a record id per row; of foreign captures that
+    repeat one there is one row. Requests and metadata without a capture are left out. A revisit takes its size from
+    its metadata. No records give no rows; further columns of the records are ignored.
     """
     main = F.col("kind").isin("response", "revisit")
     one = records.withColumn("capture", F.when(main, F.col("record_id")).otherwise(F.col("concurrent_to"))).where("capture is not null")

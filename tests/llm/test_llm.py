@@ -236,6 +236,23 @@ def test_warc(spark, duck, tmp_path):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
 
 
+def test_warc_of_odd_pages(spark, tmp_path):
+    """A capture per row, also of repeated pages; small archives of large pages; empty tables and clashing columns."""
+    long, other = "x" * 5000, "y" * 300
+    rows = [(1, "http://a/", long), (1, "http://a/", long), (1, "http://a/", other), (2, "http://b/", other), (2, "http://b/", other), (3, None, None), (3, None, None), (None, "http://c/", other), (4, "http://d/", long)]
+    df = spark.createDataFrame([(*r, "a", 1) for r in rows], "page_id long, url string, html string, payload string, row long")
+    warc.write_archives(df, f"file://{tmp_path}/w", captures_each=4, archive_bytes=2000)
+    got = warc.assemble(warc.read_archives(spark, f"file://{tmp_path}/w", flush=100)).collect()
+    assert sorted((str(r.page_id), r.kind, bytes(r.payload)[:1], r.payload_bytes) for r in got) == sorted(
+        [("1", "response", b"x", 5000)] * 2 + [("1", "response", b"y", 300)] + [("2", "revisit", b"", 300)] * 2 + [("3", "response", b"", 0)] * 2 + [("None", "response", b"y", 300), ("4", "revisit", b"", 5000)])
+    ids = {r.capture for r in got}
+    assert len(ids) == len(rows) and all(r.refers_to in ids for r in got if r.kind == "revisit") and all(r.n_requests == r.n_metadata == 1 for r in got)
+    sizes = [len(list(warc.parse(f.read_bytes()))) for f in tmp_path.glob("w/*/part-*")]
+    assert max(sizes) <= 12 and sum(sizes) == 3 * len(rows)
+    warc.write_archives(df.where("false"), f"file://{tmp_path}/e")
+    assert warc.assemble(warc.read_archives(spark, f"file://{tmp_path}/e")).count() == 0
+
+
 def test_line_dedup(spark, odd, none):
     base = "the quick brown fox jumps over the lazy dog and runs along the river bank"
     rows = [(1, f"{base}\nunique line number one stays here\nshort"), (2, f"{base.upper()}\nshort\n{base}!"), (3, "nothing of that is in here at all, so it stays"), (4, None), (5, base.replace("lazy", "hazy")), (6, "")]
@@ -334,6 +351,67 @@ def test_pagerank_and_distrust(spark):
     assert verdict == {"bad.org": "block", "friend.com": "allow", "good.com": "allow"} or verdict["friend.com"] == "block"
 
 
+def brute_verdicts(rows, rules, rounds=400):
+    """url, html to verdict, with ranks by matrix."""
+    def host(u):
+        return re.split("[/?#]", u.split("://", 1)[1])[0].lower() if u and "://" in u else ""
+    def ruled(u):
+        h, p = host(u), re.split("[?#]", u.split("://", 1)[1][len(host(u)) :])[0] if u and "://" in u else ""
+        fit = [(len(r.text), r.verdict) for r in rules if h and (h == r.host or h.endswith("." + r.host)) and p.startswith(r.path)]
+        return max(fit)[1] if fit else None
+    hosts = sorted({host(u) for u, _ in rows} - {""} | {host(t) for _, h in rows for t in re.findall('href="([^"]*)"', h or "")} - {""})
+    at, n = {h: i for i, h in enumerate(hosts)}, len(hosts)
+    m, pages, blocked = np.zeros((n, n)), np.zeros(n), np.zeros(n)
+    for u, h in rows:
+        if host(u):
+            pages[at[host(u)]] += 1
+            blocked[at[host(u)]] += ruled(u) == "block"
+            for t in re.findall('<a href="([^"]*)"', h or ""):
+                if host(t) and host(t) != host(u):
+                    m[at[host(t)], at[host(u)]] += 1
+    share = np.divide(blocked, pages, out=np.zeros(n), where=pages > 0)
+    def rank(m, seed):
+        total, out = seed.sum(), m.sum(0)
+        seed = seed / total if total else seed
+        x = seed
+        for _ in range(rounds):
+            x = 0.85 * (m / np.maximum(out, 1)) @ x + (0.15 + 0.85 * x[out == 0].sum()) * seed
+        return x * total
+    good, bad = rank(m, np.where(pages > 0, 1 - share, 0)), rank(m.T, share)
+    return [ruled(u) or ("block" if host(u) and bad[at[host(u)]] > good[at[host(u)]] else "allow") for u, _ in rows]
+
+
+def test_ranks_decide_where_no_rule_does(spark):
+    rnd = random.Random(3)
+    names = [f"h{i}.{t}" for i in range(9) for t in ("org", "com", "net")]
+    rows = []
+    for i in range(300):
+        bad = i % 27 < 8
+        path = "/es/" if bad and rnd.random() < 0.75 else "/xx/"
+        to = names[rnd.randrange(8) if bad or rnd.random() < 0.02 else 8 + rnd.randrange(19)]
+        link = f'<a href="http://{to}/">' if i % 3 else '<a href="/home"><a href="mailto:x@y.z">'
+        rows.append((i, f"http://{names[i % 27]}{path}{i}", link, "h", "v"))
+    rows += [(300, "http://hub.com/", "".join(f'<a href="http://{n}/">' for n in names[:8]) * 3, "h", "v"), (301, None, None, "h", "v"), (None, "nothing", "", "h", "v"), (300, "http://hub.com/", None, "h", "v")]
+    rules = [urls.rule("block", f"{t}/es/") for t in ("org", "com", "net")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string, host string, verdict string"), rules, rounds=60, tolerance=1e-9)
+    want = brute_verdicts([(u, h) for _, u, h, _, _ in rows], rules)
+    assert sorted((str(r.page_id), r.host, r.path, r.verdict) for r in got.collect()) == sorted((str(i), *([u.split("/")[2], "/" + u.split("/", 3)[3]] if u and "://" in u else ["", ""]), v) for (i, u, *_), v in zip(rows, want, strict=True))
+    free = [v for (_, u, *_), v in zip(rows, want, strict=True) if u and "/xx/" in u]
+    assert 5 < free.count("block") < len(free) - 50
+    assert urls.judge(got.select("page_id", F.col("host").alias("url"), F.col("path").alias("html")).where("false"), rules).count() == 0
+
+
+def test_ranks_decide_pages_of_the_given_table(spark):
+    rows = queries.op7_url_filter(spark, "/root/testdata/sf0.1").where("rule is null").groupBy("verdict").count().collect()
+    assert {r.verdict for r in rows} == {"allow", "block"}
+
+
+def test_links_without_a_host_follow_the_base(spark):
+    rows = [("http://a.com/x", '<BASE target="_top" href="https://B.org/dir/"><a class=x href=page><a href="#top"><a href="mailto:q@z.de"><a href="//c.net/y">'), ("http://a.com/y", '<a href="z"><a href="http://a.com/">')]
+    got = {(r.src, r.dst, r.links) for r in urls.host_edges(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got == {("a.com", "b.org", 1), ("a.com", "c.net", 1)}
+
+
 def test_decontamination(spark, odd, none):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = lambda t: " " + " ".join(w for w in (x.strip(semantic._EDGE.decode()) for x in re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()) if w) + " "
