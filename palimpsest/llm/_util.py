@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +57,21 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lean(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``step`` that gives its memory back to the system when its task ends: Python workers live on, and what one
+    stage held would otherwise add to what the next ones need."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from step(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library alone
+        if trim:
+            trim(0)
+
+    return run
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes behind ``df`` (file sizes for a scan); nothing runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import crc32_of
+from ._util import crc32_of, lean
 
 CUT = 0.7
 _MARKS = b"!%$*#&|.,;:?-_/\\()[]{}<>=+~^@\"'`"
@@ -69,7 +69,8 @@ class Model:
 
 
 def learn(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, ridge: float = 1e-3, steps: int = 40, seed: int = 7) -> Model:
-    """Bradley-Terry fit on rows ``x`` with labels ``y`` (0 or 1); bounded by the rows it is given."""
+    """Bradley-Terry fit on rows ``x`` with labels ``y`` (0 or 1); bounded by the rows it is given. ``pairs`` preferences
+    are drawn from all pairs of a good and a bad row; the fit is by Newton steps until they no longer move."""
     good, bad = x[y == 1], x[y == 0]
     if not len(good) or not len(bad):
         return Model(np.zeros(0), np.ones(0), np.zeros(0), 0.0, 1.0 if len(good) or not len(bad) else 0.0)
@@ -115,8 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000) -> Model:
 
     found = (
         docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(known), "id").mapInPandas(rows, "id long, quality int, x array<double>")
-        .orderBy(F.xxhash64("id"), "id").limit(train_rows).toPandas()
+        .join(F.broadcast(known), "id").mapInPandas(lean(rows), "id long, quality int, x array<double>")
+        .orderBy(F.xxhash64("id"), "id", "x").limit(train_rows).toPandas()
     )
     x = np.array(found["x"].tolist(), float).reshape(-1, width)
     return learn(x, found["quality"].to_numpy(int))
@@ -135,14 +136,16 @@ def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFram
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x), pa.float64())], names=[*b.schema.names, column])
 
     plain = docs.drop(column)
-    return plain.mapInArrow(add, T.StructType([*plain.schema.fields, T.StructField(column, T.DoubleType())]))
+    return plain.mapInArrow(lean(add), T.StructType([*plain.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of ``docs``.
 
     Without any bad example every score is 1, without any good one 0. Labels, lang, source and doc_id
-    are never inputs of a score. Repeated rows are each scored; a null doc_id gives a null held_out.
+    are never inputs of a score. Repeated rows are each scored, and those of one doc_id are each an example of its label; a
+    null doc_id gives a null held_out. An empty table gives an empty result. A very long text is one row, read whole.
+    Further columns, whatever their names, are ignored.
     """
     model = fit(docs, labels, train_rows)
     scored = with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("hold", F.pmod(crc32_of(F.col("doc_id")), F.lit(4)) == 2), model)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import materialize
+from ._util import lean, materialize
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _EDGE = b".,;:!?\"'()[]{}<>*-_#%$&|"
@@ -158,7 +158,7 @@ def latent_space(docs: DataFrame, items: Items, rank: int = 48, passage: int = 6
     """
     run, test = _passage_sums(items, rank, passage, seed)
     width = len(items.columns)
-    made = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SUMS), "passages")
+    made = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), _SUMS), "passages")
     long = made.where("column is not null").select("column", "df", F.posexplode("y").alias("k", "v"))
     sums = long.groupBy("column", "k").agg(F.sum("v").alias("v"), F.sum("df").alias("df")).toPandas()
     tokens = made.where("doc_id is not null").select("doc_id", "tokens")
@@ -313,5 +313,5 @@ def find(docs: DataFrame, benchmark: DataFrame, rank: int = 48, cosine: float =
             data = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(data, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["doc_id", "item_id", "common", "item_words", "answer_share"])
 
-    found = rows.mapInArrow(search, schema)
+    found = rows.mapInArrow(lean(search), schema)
     return found.groupBy("doc_id", "item_id").agg(F.max("common").alias("common"), F.max("item_words").alias("item_words"), F.max("answer_share").alias("answer_share"))

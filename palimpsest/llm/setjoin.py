@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import components, discard, materialize, partitions_for
+from ._util import components, discard, lean, materialize, partitions_for
 
 WORDS = 5
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -354,8 +354,8 @@ def _spread(spark: SparkSession, parts: int) -> np.ndarray:
 
 def _index(docs: DataFrame, slack: float, few: int, local: int, parts: int, deep: bool) -> DataFrame:
     """One pass of the index over docs(doc_id, text, comp, own, guest): rows of ``_OUT``."""
-    mapped = docs.select("doc_id", "text", "comp", "own", "guest").mapInArrow(_mapper(slack, _spread(docs.sparkSession, parts), local, few + 1, deep), _MID)
-    return materialize(mapped.repartition(parts, "bucket").mapInArrow(_reducer(few, deep), _OUT), "index")
+    mapped = docs.select("doc_id", "text", "comp", "own", "guest").mapInArrow(lean(_mapper(slack, _spread(docs.sparkSession, parts), local, few + 1, deep)), _MID)
+    return materialize(mapped.repartition(parts, "bucket").mapInArrow(lean(_reducer(few, deep)), _OUT), "index")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, width: int, chunk: int = 64) -> DataFrame:
@@ -383,7 +383,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, width: int, chunk: int = 64) -> D
                         a.append(left), b.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return texts.repartition(width, "a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(check, "a long, b long")
+    return texts.repartition(width, "a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(lean(check), "a long, b long")
 
 
 def _blocks(docs: DataFrame, family: DataFrame, size: int = 512) -> DataFrame:
