@@ -186,12 +186,12 @@ class _Knapsack:
             take[k, size:] = with_it > best[size:] + 1e-12
             np.maximum(best[size:], with_it, out=best[size:])
         room = self.capacity - np.append(self.lengths, 0)
-        rows = np.eye(len(room), len(self.lengths), dtype=np.int64)
+        rows = np.eye(len(room), len(self.lengths), dtype=np.int16)
         for k in range(len(self.of) - 1, -1, -1):
             at = np.flatnonzero(take[k, room])
             room[at] -= self.size[k]
-            rows[at, self.of[k]] += self.times[k]
-        rows = np.minimum(rows, self.copies)  # the one that was held from the start may be one too many
+            rows[at, self.of[k]] += np.int16(self.times[k])
+        np.minimum(rows, self.copies.astype(np.int16), out=rows)  # the one that was held from the start may be one too many
         return rows, rows @ prices, float(best[-1])
 
 
@@ -253,12 +253,14 @@ def solution(histogram: dict[int, int], capacity: int, rounds: int = 6, step: fl
         rows, use, least = _fractional(lengths, need, capacity, rounds, step, slack)
         bound = bound or max(math.ceil(least - 1e-6), -(-int(need @ lengths) // capacity))
         rest = need.copy()
-        for k in np.lexsort((-(rows @ lengths), -use)).tolist():
+        fill = np.concatenate([rows[k : k + 512] @ lengths for k in range(0, len(rows), 512)])
+        for k in np.lexsort((-fill, -use)).tolist():
             on = np.flatnonzero(rows[k])
-            times = min(max(1, math.floor(use[k])), int((rest[on] // rows[k, on]).min()))
+            held = rows[k, on].astype(np.int64)
+            times = min(max(1, math.floor(use[k])), int((rest[on] // held).min()))
             if times > 0:
-                rest[on] -= times * rows[k, on]
-                plan.append((dict(zip(lengths[on].tolist(), rows[k, on].tolist(), strict=True)), times))
+                rest[on] -= times * held
+                plan.append((dict(zip(lengths[on].tolist(), held.tolist(), strict=True)), times))
         placed = int((need - rest).sum())
         by_program += placed
         left = {n: c for n, c in zip(lengths.tolist(), rest.tolist(), strict=True) if c}

@@ -77,12 +77,15 @@ def learn(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, ridge: float = 1e-3
     centre, scale = x.mean(0), x.std(0) + 1e-3
     good, bad = (np.clip((part - centre) / scale, -8, 8) for part in (good, bad))
     rng = np.random.default_rng(seed)
-    d = good[rng.integers(len(good), size=pairs)] - bad[rng.integers(len(bad), size=pairs)]
-    w = np.zeros(d.shape[1])
+    one, other = rng.integers(len(good), size=pairs), rng.integers(len(bad), size=pairs)
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        gradient = d.T @ (p - 1) / len(d) + ridge * w
-        hessian = (d.T * (p * (1 - p))) @ d / len(d) + ridge * np.eye(len(w))
+        gradient, hessian = ridge * w, ridge * np.eye(len(w))
+        for k in range(0, pairs, 4096):  # differences are made when needed, a block at a time
+            d = good[one[k : k + 4096]] - bad[other[k : k + 4096]]
+            p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+            gradient += d.T @ (p - 1) / pairs
+            hessian += (d.T * (p * (1 - p))) @ d / pairs
         move = np.linalg.solve(hessian, gradient)
         w -= move
         if np.abs(move).max() < 1e-6:
@@ -112,14 +115,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000) -> Model:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "quality": b["quality"], "x": [features(t).tolist() for t in b["text"]]})
+            yield pd.DataFrame({"id": b["id"], "quality": b["quality"], "x": [features(t).tobytes() for t in b["text"]]})
 
     found = (
         docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(known), "id").mapInPandas(lean(rows), "id long, quality int, x array<double>")
+        .join(F.broadcast(known), "id").mapInPandas(lean(rows), "id long, quality int, x binary")
         .orderBy(F.xxhash64("id"), "id", "x").limit(train_rows).toPandas()
     )
-    x = np.array(found["x"].tolist(), float).reshape(-1, width)
+    x = np.frombuffer(b"".join(map(bytes, found["x"])), float).reshape(-1, width)
     return learn(x, found["quality"].to_numpy(int))
 
 
