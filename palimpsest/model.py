@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from enum import IntEnum
 
 STATE, CUMULATIVE, DELTA = "state", "cumulative_delta", "delta"
 REPRESENTATIONS = (STATE, CUMULATIVE, DELTA)
@@ -14,6 +15,9 @@ EXTANT, LEAF_BOOTSTRAP, CUSTOM = "extant", "leaf_bootstrap", "custom"
 DEFAULT_POLICIES = frozenset({EXTANT, LEAF_BOOTSTRAP})
 PARTITIONING = "Partitioning"
 UNARY_PARTITION = 0
+#: Per policy the need of producer versions (RELATED: those that used a parent of the new version) and of
+#: versions of their dependencies (RELATED: those that producer versions used).
+POLICY_NEEDS = {"extant": (1, 1), "leaf_bootstrap": (2, 2), "custom": (1, 1)}
 #: Cost of a representation in strategy selection.
 WEIGHTS = {STATE: 3, CUMULATIVE: 2, DELTA: 1}
 
@@ -38,10 +42,23 @@ class SpecifierFormat(EngineError):
     pass
 
 
+class StateOnly(EngineError):
+    """A delta of a datatype that has states alone."""
+
+
 class Unfulfilled(EngineError):
     """Partitions that have deltas but no state below them."""
 
 
+class Need(IntEnum):
+    """What a production policy needs to see of the versions of a producer, or of those of its dependencies; more
+    includes less, so that of several policies the largest need is loaded."""
+
+    NONE = 0
+    RELATED = 1
+    ALL = 2
+
+
 def new_id() -> str:
     return str(uuid.uuid4())
 
@@ -138,11 +155,15 @@ class Spec:
         return self
 
 
-#: Append-only tables of the store and their columns.
+#: Version of the tables below.
+SCHEMA_VERSION = 1
+
+#: Append-only tables of the store and their columns. ``graph`` is the hunk of an artifact graph that holds the row.
 TABLES = {
+    "schema_version": "version int",
     "datatype": "uuid string, hash long, version long, name string",
     "artifact": "uuid string, hash long, graph string, dtype string, self_partitioning boolean, name string",
-    "artifact_edge": "source string, dependent string, edge_type string, name string",
+    "artifact_edge": "graph string, source string, dependent string, edge_type string, name string",
     "artifact_removal": "graph string, uuid string",
     "version": "uuid string, hash long, artifact string, status string, representation string",
     "version_parent": "parent string, child string",

@@ -26,16 +26,17 @@ def composition_map(hunks: DataFrame, keys: list[str], order: str, cumulative: b
     return rows.where(keep).drop("states", "cumulatives")
 
 
-def composition_with_precedence(hunks: DataFrame, keys: list[str]) -> DataFrame:
+def composition_with_precedence(hunks: DataFrame, keys: list[str], cumulative: bool = False) -> DataFrame:
     """As composition_map for a group's hunks(ord, representation, prec): a kept hunk with ``prec`` locks the
-    group until that ord is reached. Rows: keys, kept (ords), done (false: unfulfilled or lock never
+    group until that ord is reached, and, if so asked, after a cumulative delta only the state counts. Rows: keys, kept (ords), done (false: unfulfilled or lock never
     reached). It is a fold over hunk metadata; payloads are not touched."""
     rows = hunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "representation", "prec"))).alias("rows"))
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(0).cast("bigint").alias("lock"), F.lit(False).alias("done"))
+    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(0).cast("bigint").alias("lock"), F.lit(False).alias("done"), F.lit(False).alias("over"))
 
     def step(acc: Column, x: Column) -> Column:
-        skip = acc["done"] | (x["ord"] < acc["lock"])
-        return F.when(skip, acc).otherwise(F.struct(F.array_append(acc["kept"], x["ord"].cast("bigint")).alias("kept"), F.when(x["representation"] == STATE, F.lit(0)).otherwise(F.coalesce(x["prec"], F.lit(0))).cast("bigint").alias("lock"), (x["representation"] == STATE).alias("done")))
+        skip = acc["done"] | (x["ord"] < acc["lock"]) | (acc["over"] & (x["representation"] != STATE))
+        over = acc["over"] | (F.lit(cumulative) & (x["representation"] == CUMULATIVE))
+        return F.when(skip, acc).otherwise(F.struct(F.array_append(acc["kept"], x["ord"].cast("bigint")).alias("kept"), F.when(x["representation"] == STATE, F.lit(0)).otherwise(F.coalesce(x["prec"], F.lit(0))).cast("bigint").alias("lock"), (x["representation"] == STATE).alias("done"), over.alias("over")))
 
     folded = rows.withColumn("f", F.aggregate("rows", start, step))
     return folded.select(*keys, F.col("f.kept").alias("kept"), F.col("f.done").alias("done"))

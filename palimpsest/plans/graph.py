@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from heapq import heapify, heappop, heappush
 
 from ..model import DTYPE, PARTITIONING, Artifact, Edge, HashMismatch, Invalid, NotFound, new_id
 
@@ -17,33 +19,102 @@ def content_hash(artifact: Artifact, parents: Iterable[int]) -> int:
 
 def toposort(nodes: Iterable[str], edges: Iterable[tuple[str, str]], sources: Iterable[str] | None = None) -> list[str]:
     """Nodes reachable from ``sources`` (all without), each after all that lead to it; ties by node."""
-    nodes, edges = set(nodes), [e for e in edges]
+    nodes, onward = set(nodes), {}
+    for a, b in edges:
+        onward.setdefault(a, []).append(b)
     if sources is not None:
         seen, todo = set(sources), list(sources)
         while todo:
-            at = todo.pop()
-            for a, b in edges:
-                if a == at and b not in seen:
+            for b in onward.get(todo.pop(), ()):
+                if b not in seen:
                     seen.add(b)
                     todo.append(b)
         nodes &= seen
-    inner = [(a, b) for a, b in edges if a in nodes and b in nodes]
-    waiting = {n: sum(b == n for _, b in inner) for n in nodes}
-    ready, out = sorted(n for n, k in waiting.items() if not k), []
+    waiting = dict.fromkeys(nodes, 0)
+    for a in nodes:
+        for b in onward.get(a, ()):
+            if b in nodes:
+                waiting[b] += 1
+    ready, out = [n for n, k in waiting.items() if not k], []
+    heapify(ready)
     while ready:
-        at = ready.pop(0)
+        at = heappop(ready)
         out.append(at)
-        for a, b in inner:
-            if a == at:
+        for b in onward.get(at, ()):
+            if b in nodes:
                 waiting[b] -= 1
                 if not waiting[b]:
-                    ready.append(b)
-        ready.sort()
+                    heappush(ready, b)
     if len(out) != len(nodes):
         raise Invalid("the graph has a cycle")
     return out
 
 
+@dataclass(frozen=True)
+class Existing:
+    """A node of a description that names an artifact of the graph that the description will be put into."""
+
+    uuid: str
+
+
+@dataclass
+class Description:
+    """What a graph is made of, or what is put into one: new artifacts (by a key; their uuid is empty as long as
+    they have none), existing ones, and edges between keys."""
+
+    nodes: dict[str, Artifact | Existing] = field(default_factory=dict)
+    edges: set[Edge] = field(default_factory=set)
+
+    def is_independent(self) -> bool:
+        """It names no existing node."""
+        return not any(isinstance(n, Existing) for n in self.nodes.values())
+
+    def is_valid_payload(self) -> bool:
+        """Every new node has an id, and no edge leads to an existing one."""
+        ids = all(isinstance(n, Existing) or n.uuid for n in self.nodes.values())
+        return ids and not any(isinstance(self.nodes[e.dependent], Existing) for e in self.edges)
+
+    def is_valid_state(self) -> bool:
+        return self.is_independent() and self.is_valid_payload()
+
+    def compose(self, additions: Description, removals: Iterable[str] = ()) -> Description:
+        """This state without the artifacts ``removals`` and with a delta's additions; an existing node of the delta
+        stands for the state's own."""
+        by_id = {n.uuid: k for k, n in self.nodes.items()}
+        gone = set(removals)
+        wanted = gone | {n.uuid for n in additions.nodes.values() if isinstance(n, Existing)}
+        if missing := wanted - set(by_id):
+            raise NotFound(f"artifacts {sorted(missing)}")
+        keys = {k: by_id[n.uuid] if isinstance(n, Existing) else k for k, n in additions.nodes.items()}
+        lost = {by_id[i] for i in gone}
+        if lost & {keys[k] for k, n in additions.nodes.items() if isinstance(n, Existing)}:
+            raise Invalid("an existing node is removed by the same delta")
+        nodes = {k: n for k, n in self.nodes.items() if k not in lost}
+        nodes.update({k: n for k, n in additions.nodes.items() if not isinstance(n, Existing) and k not in nodes})
+        edges = {e for e in self.edges if not lost & {e.source, e.dependent}}
+        edges |= {replace(e, source=keys[e.source], dependent=keys[e.dependent]) for e in additions.edges}
+        return Description(nodes, edges)
+
+    def graph(self) -> ArtifactGraph:
+        """The graph of a valid state, by the ids of its nodes; hashes are filled in and verified."""
+        if not self.is_valid_state():
+            raise Invalid("not a state: a node without an id, or one of another graph")
+        ids = {k: n.uuid for k, n in self.nodes.items()}
+        return ArtifactGraph.from_description(self.nodes.values(), (replace(e, source=ids[e.source], dependent=ids[e.dependent]) for e in self.edges))
+
+    def __eq__(self, other) -> bool:
+        """Equal nodes, whatever their keys, and equal edges between them."""
+        if not isinstance(other, Description):
+            return NotImplemented
+
+        def plain(d: Description) -> tuple:
+            return Counter(d.nodes.values()), Counter((d.nodes[e.source], d.nodes[e.dependent], e.edge_type, e.name) for e in d.edges)
+
+        return plain(self) == plain(other)
+
+    __hash__ = None
+
+
 @dataclass
 class ArtifactGraph:
     artifacts: dict[str, Artifact] = field(default_factory=dict)
