@@ -124,24 +124,27 @@ def known_licenses(spark, texts: dict[str, str] | None = None) -> DataFrame:
     return rows.groupBy("digest").agg(F.min(F.struct("license_id", "units")).alias("x")).select("x.license_id", "digest", "x.units")
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | None = None, small: int = 10_000) -> DataFrame:
     """Add ``digest`` of the canonical whole text, ``license_id`` (null: none) and ``contained``, the sorted ids of the
     known licences of which every paragraph is a paragraph or line of the text, to the rows of ``docs``.
 
     Null, empty and all-punctuation texts have the empty form's digest and contain nothing; an empty table gives an empty
     result. Each row is looked up, also repeated ones and those without an id; every other column is kept, except that
     columns of those three names are replaced. A very long text is one row, and its units are exploded to rows.
-    Both lookups are equi-joins on the digest, so Catalyst broadcasts ``known`` only if it is small and
-    otherwise splits a digest that very many rows share.
+    Both lookups are equi-joins on the digest. The known side is counted first and broadcast if it has ``small`` rows at
+    most; otherwise both sides are shuffled, and a digest that very many rows share is split.
     """
     known = known_licenses(docs.sparkSession) if known is None else known
-    whole = known.select("digest", "license_id").dropDuplicates(["digest"])
+    few = known.limit(small + 1).count() <= small
+    side = F.broadcast if few else lambda df: df.hint("merge")
+    whole = side(known.select("digest", "license_id").dropDuplicates(["digest"]))
     rows = docs.drop("digest", "license_id", "contained")
-    row = fresh(rows, "_row")
-    rows = rows.withColumn(row, F.monotonically_increasing_id())
+    # What a text contains is joined back by the digest of the text as it is, so it does not matter how rows are dealt.
+    key = fresh(rows, "_key")
+    rows = rows.withColumn(key, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
     parts = known.select("license_id", F.size("units").alias("parts"), F.explode("units").alias("unit"))
-    met = rows.select(row, F.explode(_units(F.col("text"))).alias("unit")).join(parts, "unit")
-    held = met.groupBy(row, "license_id").agg(F.count("*").alias("n"), F.max("parts").alias("parts")).where("n = parts")
-    contained = held.groupBy(row).agg(F.array_sort(F.collect_list("license_id")).alias("contained"))
-    out = rows.withColumn("digest", F.sha2(canonical(F.col("text")), 256)).join(whole, "digest", "left").join(contained, row, "left")
-    return out.withColumn("contained", F.coalesce("contained", F.array().cast("array<string>"))).drop(row)
+    met = rows.select(key, F.explode(_units(F.col("text"))).alias("unit")).join(side(parts), "unit").distinct()
+    held = met.groupBy(key, "license_id").agg(F.count("*").alias("n"), F.max("parts").alias("parts")).where("n = parts")
+    contained = held.groupBy(key).agg(F.array_sort(F.collect_list("license_id")).alias("contained"))
+    out = rows.withColumn("digest", F.sha2(canonical(F.col("text")), 256)).join(whole, "digest", "left").join(contained, key, "left")
+    return out.withColumn("contained", F.coalesce("contained", F.array().cast("array<string>"))).drop(key)
