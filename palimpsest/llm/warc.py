@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._util import materialize
+
 END = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 LEAST_REVISIT = 100
@@ -30,7 +32,8 @@ def with_first(pages: DataFrame, least_bytes: int = LEAST_REVISIT) -> DataFrame:
     join back is a plain equi-join. Of a page_id that several rows have, each gets the row's number into its id."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload")).withColumn("row", F.monotonically_increasing_id().cast("string"))
     again = rows.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1 and page_id is not null").select("page_id", F.lit(True).alias("again"))
-    rows = rows.withColumn("again", F.lit(False)) if again.isEmpty() else rows.join(again, "page_id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    # Row numbers that others refer to are written first, so that they stay what they are.
+    rows = rows.withColumn("again", F.lit(False)) if again.isEmpty() else materialize(rows, "pages").join(again, "page_id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
     more = F.when(F.col("page_id").isNull(), F.concat(F.lit("none:"), "row")).when(F.col("again"), F.concat(F.col("page_id").cast("string"), F.lit(":"), "row")).otherwise(F.col("page_id").cast("string"))
     rows = rows.withColumn("own", F.concat(F.lit("<urn:palimpsest:capture:"), more, F.lit(">")))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2(F.col("payload"), 256))
