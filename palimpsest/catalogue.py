@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import specifiers
-from .operators import compose, lineage, production
+from .operators import compose, lineage, partitioning, production
 from .registry import cardinality_check
 from .sources.store import shared_folder
 from .sources.virtual import VIEWS, view, view_sql
@@ -324,6 +324,20 @@ def partition_ids(s, d):
     return sets.select("artifact_id", F.explode("partition_ids").alias("partition_id"))
 
 
+@query("""SELECT partition_id, count(*) AS n FROM (SELECT greatest(0, least(9, CAST(floor((l_quantity - 1) * (10 / 49.0)) AS BIGINT))) * 8 + greatest(0, least(7, CAST(floor((l_discount - 0.01) * (8 / 0.08)) AS BIGINT))) AS partition_id FROM lineitem) GROUP BY partition_id""")
+def grid_partitions(s, d):
+    rows = s.read.parquet(f"{d}/lineitem.parquet").select("l_quantity", "l_discount")
+    return partitioning.grid_partitions(rows, {"l_quantity": (1.0, 50.0, 10), "l_discount": (0.01, 0.09, 8)}).groupBy("partition_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT DISTINCT p_size - 1 AS id FROM part), x AS (SELECT id, id // 10 AS a, id % 10 AS b FROM c)
+SELECT CAST(id AS BIGINT) AS partition_id, CAST((a + da) * 10 + b + db AS BIGINT) AS neighbor FROM x, (VALUES (-1), (0), (1)) t(da), (VALUES (-1), (0), (1)) u(db)
+WHERE a + da BETWEEN 0 AND 4 AND b + db BETWEEN 0 AND 9 AND (da <> 0 OR db <> 0)""")
+def grid_neighbors(s, d):
+    cells = s.read.parquet(f"{d}/part.parquet").select((F.col("p_size") - 1).cast("long").alias("partition_id")).distinct()
+    return partitioning.grid_neighbors(cells, [5, 10])
+
+
 @query("SELECT h.version_id, h.partition_id, h.representation, coalesce(sum(value), 0) AS total FROM $va_hunk h LEFT JOIN $va_payload p ON p.version_id = h.version_id AND p.partition_id = h.partition_id WHERE h.partition_id IN (1, 3) GROUP BY ALL")
 def hunks_of_partitions(s, d):
     p = view(s, d, "va_payload").where("partition_id in (1, 3)").groupBy("version_id", "partition_id").agg(F.sum("value").alias("v"))

@@ -247,3 +247,20 @@ def test_cumulative_and_precedence_compose_alike(spark, tmp_path):
         e.stage(v, hunks, None)
     want = {(h.uuid, p) for p, hunks in e.composition(chain[-1], set(range(12))).items() for h in hunks}
     assert {(r.hunk, r.partition_id) for r in e.composition_rows(chain[-1], set(range(12))).collect()} == want
+
+
+def test_conflicts_between_two_lines(spark, tmp_path):
+    e = Engine(spark, "memory:")
+    g = ArtifactGraph()
+    unary = g.add_unary_partitioning()
+    blob = Artifact(new_id(), "Blob", "b")
+    g.artifacts[blob.uuid] = blob
+    g.add_uniform_partitioning(unary)
+    e.add_graph(g)
+    base = e.versions.add(Version(new_id(), blob.uuid, DELTA)).uuid
+    a1, b1 = (e.versions.new_child(base, DELTA).uuid for _ in "ab")
+    a2 = e.versions.new_child(a1, DELTA).uuid
+    for v, parts in ((base, [0, 1, 2, 3]), (a1, [0, 1]), (a2, [1, 3]), (b1, [1, 2, 3])):
+        e.stage(v, [Hunk(new_id(), v, p, DELTA) for p in parts], None)
+    assert e.common_ancestors(a2, b1) == [base] and e.common_ancestors(a2, a1) == [a1]
+    assert e.conflicts(a2, b1) == {1: ([a2, a1], [b1]), 3: ([a2], [b1])} and e.conflicts(a2, a1) == {}
