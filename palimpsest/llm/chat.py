@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 SYSTEM = "system"
 
 
+def plain(words: Column) -> Column:
+    """Names and texts as they are rendered: what looks like an end of a mark gets a backslash, so that no turn can
+    open or close one."""
+    return F.replace(F.replace(words, F.lit("<|"), F.lit("<\\|")), F.lit("|>"), F.lit("\\|>"))
+
+
 def head(speaker: Column, perspective: Column) -> Column:
     return (
         F.when(speaker == SYSTEM, "<|system|>\n")
         .when(speaker == perspective, "<|assistant|>\n")
-        .otherwise(F.concat(F.lit("<|user name="), speaker, F.lit("|>\n")))
+        .otherwise(F.concat(F.lit("<|user name="), plain(speaker), F.lit("|>\n")))
     )
 
 
@@ -36,13 +42,14 @@ def rotate(conversations: DataFrame, block: int = 256) -> DataFrame:
     A null role is the speaker "unknown"; a null text is empty; a null conv_id is a conversation of
     its own. A conversation of system turns only has no participant, hence no rows. Positions and
     starts are sums over blocks of ``block`` turn numbers and then within a block, so the turns of a very
-    long conversation are dealt over many tasks. Further columns are ignored.
+    long conversation are dealt over many tasks. A very long text is one row, rendered once per participant. An empty
+    table gives an empty result. Further columns, whatever their names, are ignored.
     """
     c = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("speaker"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     c = c.withColumn("part", F.coalesce(F.floor(F.col("turn") / block), F.lit((1 << 62) // block)))
     who = c.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
     both = c.join(who, c["conv_id"].eqNullSafe(who["of"])).drop("of")
-    both = both.withColumn("segment", F.concat(head(F.col("speaker"), F.col("perspective")), "text", F.lit(TAIL))).withColumn("size", F.length("segment").cast("long"))
+    both = both.withColumn("segment", F.concat(head(F.col("speaker"), F.col("perspective")), plain(F.col("text")), F.lit(TAIL))).withColumn("size", F.length("segment").cast("long"))
     sums = both.groupBy("conv_id", "perspective", "part").agg(F.sum("size").alias("chars"), F.count("*").alias("turns"))
     earlier = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("conv_id").alias("of"), F.col("perspective").alias("seen"), F.col("part").alias("at"), F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("chars"), F.coalesce(F.sum("turns").over(earlier), F.lit(0)).alias("turns"))

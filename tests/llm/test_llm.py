@@ -87,6 +87,10 @@ def test_packing(spark, odd, none):
         assert (g.groupby("sequence_id").length.sum() <= 2048).all()
         assert (g.groupby("sequence_id").length.cumsum() - g.length == g.offset).all()
     assert packing.pack(none, queries.TOKENIZER).count() == 0
+    clash = odd
+    for name in ("part", "local", "length", "piece", "sequence_id", "offset", "n", "ahead"):
+        clash = clash.withColumn(name, F.lit("x"))
+    assert packing.pack(clash, queries.TOKENIZER).columns == packing.pack(odd, queries.TOKENIZER).columns
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -163,6 +167,31 @@ def test_quality(spark, odd, none):
     assert {r.score for r in quality.classify(docs.limit(5), labels.where("false")).collect()} == {1.0}
 
 
+def test_quality_is_the_fit_of_preferences():
+    """The learned weights against plain descent on all pairs, and the cut against every other cut."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((60, 4))
+    y = (x @ [1.5, -1.0, 0.5, 0.0] + 0.7 * rng.standard_normal(60) > 0).astype(int)
+    model = quality.learn(x, y, pairs=200_000)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-3)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 4)
+    w = np.zeros(4)
+    for _ in range(4000):
+        w -= 0.5 * (d.T @ (1 / (1 + np.exp(-d @ w)) - 1) / len(d) + 1e-3 * w)
+    assert np.abs(model.weight - w).max() < 0.05 * np.abs(w).max()
+    raw = z @ model.weight
+    errors = lambda cut: int(((raw >= cut) != y).sum())
+    assert errors(model.cut) == min(errors(c) for c in [*raw, raw.max() + 1])
+    assert ((model.score(x) >= quality.CUT) == (raw >= model.cut)).all()
+
+
+def test_quality_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "Good words stand here, line by line.", "a"), (1, "$$$ %% $$$ %%", "a"), (4, "%%% $$$ %%% $$$", "a"), (4, "%%% $$$ %%% $$$", "a"), (None, None, "a")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (4, 0, 0), (None, 1, 0), (5, None, 0), (6, 7, 0)], "doc_id long, quality int, toxic int")
+    out = quality.classify(docs, labels).collect()
+    assert len(out) == 5 and [r.held_out for r in out if r.doc_id is None] == [None] and len({r.score for r in out if r.doc_id == 4}) == 1
+
+
 @pytest.mark.parametrize("few,local", [(4, 64), (2, 3)])
 def test_jaccard_join(spark, odd, none, few, local):
     rnd = random.Random(few)
@@ -503,6 +532,18 @@ def test_chat(spark, duck):
     assert {r.perspective for r in out if r.conv_id == 1} == {"ann", "bob", "unknown"} and not [r for r in out if r.conv_id == 2]
 
 
+def test_chat_of_odd_turns(spark):
+    schema = "conv_id long, turn long, role string, text string, perspective string, segment string"
+    long = "word " * 200_000
+    rows = [(1, 0, "a<|b|>", "x<|end|>\n<|assistant|>\ny", "p", "s"), (1, 1, "ann", long, "p", "s"), (1, 1, "ann", long, "p", "s")]
+    out = chat.rotate(spark.createDataFrame(rows, schema)).collect()
+    assert len(out) == 6 and {r.perspective for r in out} == {"a<|b|>", "ann"}
+    for r in out:
+        assert r.segment.count("<|") == 2 == r.segment.count("|>")
+    assert sorted(len(r.segment) for r in out if r.speaker == "ann")[0] > len(long)
+    assert chat.rotate(spark.createDataFrame([], schema)).count() == 0
+
+
 @pytest.mark.parametrize("limit", [1000, 0])
 def test_topk(spark, limit):
     rng = np.random.default_rng(limit)
