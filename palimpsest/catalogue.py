@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import specifiers
 from .operators import compose, lineage, partitioning, production
 from .registry import cardinality_check
-from .sources.store import shared_folder
+from .sources.store import keep
 from .sources.virtual import VIEWS, view, view_sql
 
 QUERIES: dict = {}
@@ -28,13 +28,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _keep(spark: SparkSession):
-    """Cut lineage in the shared checkpoint folder."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return lambda df: df.checkpoint()
-
-
 def _parents(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "va_version").where("parent_id is not null").select("version_id", "parent_id", "artifact_id")
 
@@ -101,7 +94,7 @@ def stale_versions(s, d):
 def _closure(s, d, upward):
     e = view(s, d, "vd_edge")
     seeds = e.select(F.explode(F.array("source", "dependent")).alias("node")).distinct()
-    return lineage.closure(e, seeds, upward, _keep(s))
+    return lineage.closure(e, seeds, upward, keep)
 
 
 @query("WITH RECURSIVE r(node, reached) AS (SELECT dependent, source FROM $vd_edge UNION SELECT r.node, e.source FROM r JOIN $vd_edge e ON e.dependent = r.reached) SELECT node, reached FROM r")
@@ -117,7 +110,7 @@ def artifact_descendants(s, d):
 @query("WITH RECURSIVE n AS (SELECT source AS node FROM $vd_edge UNION SELECT dependent FROM $vd_edge), r(node, level) AS (SELECT node, 0 FROM n UNION SELECT e.dependent, r.level + 1 FROM r JOIN $vd_edge e ON e.source = r.node) SELECT node, max(level) AS level FROM r GROUP BY node")
 def toposort_levels(s, d):
     e = view(s, d, "vd_edge")
-    return lineage.topo_levels(e.select(F.explode(F.array("source", "dependent")).alias("node")), e, _keep(s))
+    return lineage.topo_levels(e.select(F.explode(F.array("source", "dependent")).alias("node")), e, keep)
 
 
 @query("SELECT source AS node, dependent AS neighbor FROM $vd_edge UNION SELECT dependent, source FROM $vd_edge")
@@ -155,13 +148,13 @@ SELECT node, hash FROM h""")
 def artifact_hash_levels(s, d):
     e = view(s, d, "vd_edge")
     nodes = e.select(F.explode(F.array("source", "dependent")).alias("node")).distinct().withColumn("content", F.col("node").cast("string"))
-    return lineage.hashes(nodes, e, _keep(s))
+    return lineage.hashes(nodes, e, keep)
 
 
 @query("SELECT version_id AS node, min(version_id) OVER (PARTITION BY artifact_id) AS component FROM $va_version")
 def version_components(s, d):
     v, p = view(s, d, "va_version"), _parents(s, d)
-    return lineage.components(v.select(F.col("version_id").alias("node")), p.select(F.col("parent_id").alias("source"), F.col("version_id").alias("dependent")), _keep(s))
+    return lineage.components(v.select(F.col("version_id").alias("node")), p.select(F.col("parent_id").alias("source"), F.col("version_id").alias("dependent")), keep)
 
 
 @query("""WITH RECURSIVE n AS (SELECT source AS node FROM $vd_edge UNION SELECT dependent FROM $vd_edge), r(node, reached) AS (SELECT node, node FROM n UNION SELECT r.node, e.source FROM r JOIN $vd_edge e ON e.dependent = r.reached),
@@ -173,7 +166,7 @@ def common_ancestors(s, d):
     e = view(s, d, "vd_edge")
     nodes = e.select(F.explode(F.array("source", "dependent")).alias("node")).distinct()
     pairs = nodes.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).join(nodes.select(F.col("node").alias("b")), "b", "left_semi")
-    return lineage.common_ancestors(pairs, lineage.closure(e, nodes, True, _keep(s)))
+    return lineage.common_ancestors(pairs, lineage.closure(e, nodes, True, keep))
 
 
 @query("""SELECT graph, bool_and(NOT existing) AS independent, bool_and(existing OR id IS NOT NULL) AND NOT coalesce(any_value(hit), FALSE) AS valid_payload,
@@ -419,7 +412,7 @@ def resolve_branch(s, d):
     spec = F.concat("branch", F.lit("~"), (F.col("ref_artifact") % 7).cast("string"))
     asked = tips.where("path = 'HEAD'").select(spec.alias("spec"), F.concat(F.lit("all/"), F.regexp_replace(spec, "~", ":HEAD~"), F.lit("/data")).alias("text"))
     parsed = asked.select("spec", *(c.alias(n) for n, c in specifiers.parse_columns(F.col("text")).items()))
-    return lineage.resolve(parsed, tips.select("branch", "path", "version_id"), _parents(s, d), _keep(s))
+    return lineage.resolve(parsed, tips.select("branch", "path", "version_id"), _parents(s, d), keep)
 
 
 @query("SELECT version_id, md5(CAST(version_id AS VARCHAR)) AS uuid FROM $va_version WHERE md5(CAST(version_id AS VARCHAR)) ILIKE 'AB%'")
