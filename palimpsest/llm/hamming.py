@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import materialize
+from ._util import discard, materialize
 
 WORD = 32
 
@@ -164,6 +164,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, c
     # A code's k + 1 nearest rows hold the k nearest others of every query with that code.
     by_near = Window.partitionBy(*ws).orderBy("d", "other")
     met = materialize(met.withColumn("r", F.row_number().over(by_near)).where(F.col("r") <= k + 1).drop("r"), "nearest")
+    discard(rows)
     pairs = asked.join(met.hint("merge"), ws).where("other <> vec_id")
     order = Window.partitionBy("vec_id").orderBy("d", "other")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("vec_id").alias("query_id"), F.col("other").alias("neighbour_id"), F.col("d").cast("int").alias("distance"), "rank")

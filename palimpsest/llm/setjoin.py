@@ -487,30 +487,32 @@ def _of_nodes(base: DataFrame, linked: DataFrame | None, few: int, local: int, w
         both = held.where("own_ne is not null or guest_ne is not null").join(lost, "doc", "left")
         return both.select("doc", *(x for c in ("own", "guest") for x in ((gain * F.col(f"{c}_ne") - F.coalesce(f"{c}_lost", F.lit(0))).alias(f"{c}_bought"), f"{c}_h")))
 
-    def proposals(index: DataFrame, cover: DataFrame, hint: int) -> DataFrame:
+    def proposals(index: DataFrame, cover: DataFrame, hint: str) -> DataFrame:
         """Distinct pairs: from cheap entries if they agree as often as their differences allow, and from stars if
-        they do so in more than a few segments."""
+        ``hint`` holds, which a linked pair of costly subsets alone meets."""
         two = index.where(F.col("kind").isin(STAR, PAIR) & (F.col("a") != F.col("b"))).select("kind", "a", "b", F.col("own_ne").alias("total"), "n")
         two = two.groupBy("a", "b").agg(F.max("total").alias("total"), F.sum(F.when(F.col("kind") == PAIR, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("kind") == STAR, F.col("n")).otherwise(0)).alias("star"))
-        two = two.where(f"n > 0 or star > total / {hint}")
+        two = two.where(f"n > 0 or {hint}")
         least = cover.select("doc", F.least("own_bought", "guest_bought").alias("least"))
         ca, cb = (least.select(F.col("doc").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab")
         two = two.join(ca, "a", "left").join(cb, "b", "left").withColumn("untouched", F.greatest(F.lit(1), F.coalesce("least_a", F.lit(1)) - F.floor(F.col("total") / 7), F.coalesce("least_b", F.lit(1)) - F.floor(F.col("total") / 7)))
-        return two.where(f"n >= untouched or star > total / {hint}").select("a", "b")
+        return two.where(f"n >= untouched or (star > 0 and {hint})").select("a", "b")
 
     def uncovered(cover: DataFrame, roots: DataFrame) -> DataFrame:
         own, guest = F.coalesce(F.col("own_bought") <= F.col("own_h"), F.lit(False)), F.coalesce(F.col("guest_bought") <= F.col("guest_h"), F.lit(False))
         rest = cover.where(own | guest).select("doc", own.alias("own"), guest.alias("guest"))
         return materialize(rest.join(roots, rest["doc"] == roots["node"], "left").select("doc", F.coalesce("root", "doc").alias("comp"), "own", "guest"), "open")
 
-    def links(cover: DataFrame, index: DataFrame, hint: int) -> DataFrame:
+    def links(cover: DataFrame, index: DataFrame, hint: str) -> DataFrame:
         pairs = materialize(proposals(index, cover, hint), "pairs")
         out = materialize(_verify(base, pairs, width), "links")
         discard(pairs)
         return out
 
     cover = materialize(coverage(first, placed, 1), "cover")
-    found = [links(cover, first, 256)]
+    # Linked sets differ in a seventh of their elements at most, so of 1.25 / 7 and 1.5 / 7 as many segments more than 1 / 28
+    # and 1 / 14 agree. A quarter of the stars is told in the first pass; subsets count twice in the second.
+    found = [links(cover, first, "n + 4 * star > total / 32")]
     edges = copies.union(found[0])
     roots = components(edges, "cc")
     rest = uncovered(cover, roots)
@@ -521,7 +523,7 @@ def _of_nodes(base: DataFrame, linked: DataFrame | None, few: int, local: int, w
         held = second.where(F.col("kind") == PROFILE).select(F.col("a").alias("doc"), "own_ne", "own_h", "guest_ne", "guest_h")
         discard(cover, rest, roots)
         cover = materialize(coverage(second, held, 2), "cover")
-        found.append(links(cover, second, 64))
+        found.append(links(cover, second, "n / 2 + star > total / 16"))
         edges = edges.union(found[-1])
         roots = components(edges, "cc")
         rest = uncovered(cover, roots)
