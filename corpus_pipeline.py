@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import linededup, packing, quality, semantic, setjoin
-from palimpsest.llm._util import fresh, scratch_path
+from palimpsest.llm._util import discard, fresh, materialize
 from palimpsest.llm.queries import TOKENIZER, table
 
 
@@ -61,9 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage returned is deleted when the next one's is written."""
+    docs, done = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name.split()[0]}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.split()[0]}")
+        if done is not None:
+            discard(done)
+        done = docs
     return docs
