@@ -264,3 +264,12 @@ def test_conflicts_between_two_lines(spark, tmp_path):
         e.stage(v, [Hunk(new_id(), v, p, DELTA) for p in parts], None)
     assert e.common_ancestors(a2, b1) == [base] and e.common_ancestors(a2, a1) == [a1]
     assert e.conflicts(a2, b1) == {1: ([a2, a1], [b1]), 3: ([a2], [b1])} and e.conflicts(a2, a1) == {}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from palimpsest.__main__ import main
+
+    assert main(["init", f"file://{tmp_path}/r"]) == 0 == main(["ls", f"file://{tmp_path}/r", "--origin"])
+    lines = capsys.readouterr().out.strip().splitlines()
+    assert sorted(x.split(" ", 2)[2] for x in lines) == ["Unary Partitioning Singleton UnaryPartitioning", "origin ArtifactGraph", "root ArtifactGraph"]
+    assert main(["ls", f"file://{tmp_path}/r"]) == 0 and "root" in capsys.readouterr().out
