@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -602,6 +603,55 @@ def test_pipeline(spark, odd):
         assert stage(spark, some, SF).columns == some.columns
 
 
+def test_pipeline_stages_against_plain_versions(spark):
+    """Each stage on a small table: which documents and lines stay."""
+    import corpus_pipeline as p
+
+    stages = dict(p.STAGES)
+    docs = p.table(spark, SF, "documents").where("doc_id < 90")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    good = {r.doc_id for r in quality.classify(docs, p.table(spark, SF, "labels")).collect() if r.predicted}
+    assert ids(stages["quality classifier"](spark, docs, SF)) == good and 0 < len(good) < len(texts)
+
+    root = {d: c for d, (_, c) in brute_components(list(texts.items())).items()}
+    assert ids(stages["n-gram Jaccard join"](spark, docs, SF)) == {d for d, c in root.items() if c == d}
+
+    items = [set(words(r.text)) for r in p.table(spark, SF, "benchmark").collect()]
+    kept = ids(stages["benchmark decontamination"](spark, docs, SF))
+    strip = lambda t: {w.strip(semantic._EDGE.decode()) for w in words(t)}
+    plain_items = [{w.strip(semantic._EDGE.decode()) for w in i} - {""} for i in items]
+    clean = {d for d, t in texts.items() if all(len(i & strip(t)) < 0.5 * len(i) for i in plain_items)}
+    flat = lambda t: " ".join(w for w in (x.strip(semantic._EDGE.decode()) for x in words(t)) if w)
+    leaked = {d for d, t in texts.items() for r in p.table(spark, SF, "benchmark").collect() if f" {flat(r.text)} " in f" {flat(t)} "}
+    assert clean <= kept and not leaked & kept
+
+    out = {r.doc_id: r.text for r in stages["line dedup"](spark, docs, SF).collect()}
+    rows = [(d, k, x.strip(" ").lower()) for d in sorted(texts) for k, x in enumerate((texts[d] or "").split("\n")) if x.strip(" \t\r\x0b\x0c")]
+    sets = [{b[i : i + 8] for i in range(max(1, len(b) - 7))} for b in (x.encode() for _, _, x in rows)]
+    first: dict = {}
+    for d, k, x in rows:
+        first.setdefault(x, (d, k))
+    has = {d: Counter(x.strip(" ").lower() for x in (t or "").split("\n")) for d, t in out.items()}
+    again = [(d, x) for d, k, x in rows if first[x] != (d, k)]
+    assert again and all(has.get(d, {}).get(x, 0) <= (first[x][0] == d) for d, x in again)
+    by_shingle: dict = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            by_shingle.setdefault(g, []).append(i)
+    for i, (d, _, x) in enumerate(rows):
+        common = Counter(j for g in sets[i] for j in by_shingle[g] if j != i)
+        if not any(100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n) for j, n in common.items()):
+            assert has[d][x] == 1
+
+    packed = stages["best-fit packing"](spark, docs, SF).toPandas().sort_values(["doc_id", "piece"])
+    tok = Tokenizer.from_file(queries.TOKENIZER)
+    for d, part in packed.groupby("doc_id"):
+        whole = [*tok.encode(texts[d] or "", add_special_tokens=False).ids, 0]
+        assert part.length.sum() == len(whole) and [zlib.crc32(np.array(whole[s : s + n], "<u4").tobytes()) for s, n in zip(part.start, part.length, strict=True)] == part.ids_crc32.tolist()
+    assert set(packed.doc_id) == set(texts)
+
+
 def test_pipeline_stages_keep_clashing_columns_and_take_empty_tables(spark):
     import corpus_pipeline as p
 
