@@ -57,6 +57,13 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the files of finished shuffles deleted now: Spark does so when the driver collects their handles, which on
+    a driver with a large heap may be long after the last job that reads them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def lean(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``step`` that gives its memory back to the system when its task ends: Python workers live on, and what one
     stage held would otherwise add to what the next ones need."""

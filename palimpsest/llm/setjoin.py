@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import components, discard, lean, materialize, partitions_for
+from ._util import components, discard, lean, materialize, partitions_for, release
 
 WORDS = 5
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -355,7 +355,10 @@ def _spread(spark: SparkSession, parts: int) -> np.ndarray:
 def _index(docs: DataFrame, slack: float, few: int, local: int, parts: int, deep: bool) -> DataFrame:
     """One pass of the index over docs(doc_id, text, comp, own, guest): rows of ``_OUT``."""
     mapped = docs.select("doc_id", "text", "comp", "own", "guest").mapInArrow(lean(_mapper(slack, _spread(docs.sparkSession, parts), local, few + 1, deep)), _MID)
-    return materialize(mapped.repartition(parts, "bucket").mapInArrow(lean(_reducer(few, deep)), _OUT), "index")
+    out = materialize(mapped.repartition(parts, "bucket").mapInArrow(lean(_reducer(few, deep)), _OUT), "index")
+    del mapped
+    release(docs.sparkSession)  # the largest of all shuffles
+    return out
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, width: int, chunk: int = 64) -> DataFrame:
@@ -507,6 +510,7 @@ def _of_nodes(base: DataFrame, linked: DataFrame | None, few: int, local: int, w
         pairs = materialize(proposals(index, cover, hint), "pairs")
         out = materialize(_verify(base, pairs, width), "links")
         discard(pairs)
+        release(spark)
         return out
 
     cover = materialize(coverage(first, placed, 1), "cover")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import materialize
+from ._util import discard, materialize
 
 END = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -25,23 +25,31 @@ LEAST_REVISIT = 100
 RECORDS = "archive string, kind string, record_id string, concurrent_to string, refers_to string, target string, fields map<string,string>, payload_bytes long, payload_digest string, payload binary"
 
 
-def with_first(pages: DataFrame, least_bytes: int = LEAST_REVISIT) -> DataFrame:
-    """Add payload (never null), payload_bytes, payload_digest, own (the id of the row's capture), and refers_to and
-    refers_own: the smallest page_id of equal payloads of at least ``least_bytes`` and the id of a capture of it; null on
-    rows of that page itself, on smaller payloads and without a page_id. Minima are combined before the shuffle; the
-    join back is a plain equi-join. Of a page_id that several rows have, each gets the row's number into its id."""
+def _captures(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload (never null), payload_bytes, payload_digest and own (the id of the row's capture) of each
+    row. Of a page_id that several rows have, each gets the row's number into its id."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload")).withColumn("row", F.monotonically_increasing_id().cast("string"))
     again = rows.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1 and page_id is not null").select("page_id", F.lit(True).alias("again"))
     # Row numbers that others refer to are written first, so that they stay what they are.
     rows = rows.withColumn("again", F.lit(False)) if again.isEmpty() else materialize(rows, "pages").join(again, "page_id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
     more = F.when(F.col("page_id").isNull(), F.concat(F.lit("none:"), "row")).when(F.col("again"), F.concat(F.col("page_id").cast("string"), F.lit(":"), "row")).otherwise(F.col("page_id").cast("string"))
-    rows = rows.withColumn("own", F.concat(F.lit("<urn:palimpsest:capture:"), more, F.lit(">")))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2(F.col("payload"), 256))
-    large = rows.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull())
-    first = large.groupBy("payload_digest").agg(F.min(F.struct("page_id", "own")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "payload_digest", "left")
+    rows = rows.withColumn("own", F.concat(F.lit("<urn:palimpsest:capture:"), more, F.lit(">"))).drop("row", "again")
+    return rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2(F.col("payload"), 256))
+
+
+def _firsts(captures: DataFrame, least_bytes: int) -> DataFrame:
+    """payload_digest and first (smallest page_id, and the id of a capture of it) of the payloads of at least
+    ``least_bytes`` that several pages have. Minima are combined before the shuffle."""
+    large = captures.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull())
+    return large.groupBy("payload_digest").agg(F.min(F.struct("page_id", "own")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+
+
+def _referring(captures: DataFrame, first: DataFrame) -> DataFrame:
+    """Add refers_to and refers_own, of the first capture of an equal payload; null on rows of that page itself and
+    without a page_id. A plain equi-join."""
+    rows = captures.join(first, "payload_digest", "left")
     other = F.col("page_id") != F.col("first.page_id")
-    return rows.withColumn("refers_to", F.when(other, F.col("first.page_id"))).withColumn("refers_own", F.when(other, F.col("first.own"))).drop("first", "row", "again")
+    return rows.withColumn("refers_to", F.when(other, F.col("first.page_id"))).withColumn("refers_own", F.when(other, F.col("first.own"))).drop("first")
 
 
 def _header(*pairs: tuple[str, Column]) -> Column:
@@ -51,8 +59,7 @@ def _header(*pairs: tuple[str, Column]) -> Column:
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """One string per capture (its response or revisit, request and metadata records, without the last two line ends),
-    and the bytes of the payload in it."""
+    """One string per capture: its response or revisit, request and metadata records, without the last two line ends."""
     page, url = F.col("page_id"), F.coalesce("url", F.lit("about:blank"))
     revisit = F.col("refers_to").isNotNull()
     kind = F.when(revisit, "revisit").otherwise("response")
@@ -74,7 +81,7 @@ def records(rows: DataFrame) -> DataFrame:
                 ("Content-Type", F.lit("application/http;msgtype=response")), ("Content-Length", length(block))), block)
     asked = F.concat(_header(("WARC-Type", F.lit("request")), ("WARC-Record-ID", F.concat(F.expr("substr(own, 1, length(own) - 1)"), F.lit(":request>"))), same, ("WARC-Target-URI", url), ("WARC-Concurrent-To", F.col("own")), ("Content-Type", F.lit("application/http;msgtype=request")), ("Content-Length", length(request))), request)
     told = F.concat(_header(("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", F.concat(F.expr("substr(own, 1, length(own) - 1)"), F.lit(":metadata>"))), same, ("WARC-Target-URI", url), ("WARC-Concurrent-To", F.col("own")), ("Content-Type", F.lit("application/warc-fields")), ("Content-Length", length(meta))), meta)
-    return rows.select(F.concat(main, F.lit(END * 2), asked, F.lit(END * 2), told).alias("value"), F.when(revisit, 0).otherwise(F.col("payload_bytes")).alias("size"))
+    return rows.select(F.concat(main, F.lit(END * 2), asked, F.lit(END * 2), told).alias("value"))
 
 
 def write_archives(pages: DataFrame, path: str, captures_each: int = 1000, least_bytes: int = LEAST_REVISIT, archive_bytes: int = 64 << 20) -> None:
@@ -86,16 +93,18 @@ def write_archives(pages: DataFrame, path: str, captures_each: int = 1000, least
     payloads of at most ``archive_bytes``: pages are written by classes of size, each of four times the one before, and
     the more to an archive the smaller they are.
     """
-    rows = records(with_first(pages, least_bytes))
+    rows = _captures(pages)
+    first = materialize(_firsts(rows, least_bytes), "firsts")
     each = max(1, archive_bytes // captures_each)
-    size = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0))
-    most = pages.agg(F.max(size).alias("x")).first()["x"] or 0
+    most = rows.agg(F.max("payload_bytes").alias("x")).first()["x"] or 0
     bounds = [each]
     while bounds[-1] < most:
         bounds.append(4 * bounds[-1])
     for k, bound in enumerate(bounds):
-        some = rows.where(F.col("size") <= bound) if k == 0 else rows.where((F.col("size") > bounds[k - 1]) & (F.col("size") <= bound))
-        some.select("value").write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", min(captures_each, max(1, archive_bytes // bound))).text(f"{path}/class-{k}")
+        size = F.col("payload_bytes")
+        some = rows.where(size <= bound) if k == 0 else rows.where((size > bounds[k - 1]) & (size <= bound))
+        records(_referring(some, first)).write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", min(captures_each, max(1, archive_bytes // bound))).text(f"{path}/class-{k}")
+    discard(first)
 
 
 def _inflate(data: bytes) -> bytes:
