@@ -17,7 +17,7 @@ SYSTEM = "system"
 def plain(words: Column) -> Column:
     """Names and texts as they are rendered: what looks like an end of a mark gets a backslash, so that no turn can
     open or close one."""
-    return F.replace(F.replace(words, F.lit("<|"), F.lit("<\\|")), F.lit("|>"), F.lit("\\|>"))
+    return F.replace(F.replace(words, F.lit("<|"), F.lit("<\\|")), F.lit("|>"), F.lit("|\\>"))
 
 
 def head(speaker: Column, perspective: Column) -> Column:

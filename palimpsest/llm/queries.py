@@ -114,9 +114,9 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
 
 OP9_SQL = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
 who AS (SELECT DISTINCT conv_id, speaker AS perspective FROM c WHERE speaker <> 'system'),
-r AS (SELECT c.*, perspective, CASE WHEN speaker = 'system' THEN '<|system|>' WHEN speaker = perspective THEN '<|assistant|>' ELSE '<|user name=' || replace(replace(speaker, '<|', '<\|'), '|>', '\|>') || '|>' END || chr(10) AS head
+r AS (SELECT c.*, perspective, CASE WHEN speaker = 'system' THEN '<|system|>' WHEN speaker = perspective THEN '<|assistant|>' ELSE '<|user name=' || replace(replace(speaker, '<|', '<\|'), '|>', '|\>') || '|>' END || chr(10) AS head
   FROM c JOIN who ON c.conv_id IS NOT DISTINCT FROM who.conv_id),
-s AS (SELECT *, head || replace(replace(text, '<|', '<\|'), '|>', '\|>') || '<|end|>' || chr(10) AS segment FROM r),
+s AS (SELECT *, head || replace(replace(text, '<|', '<\|'), '|>', '|\>') || '<|end|>' || chr(10) AS segment FROM r),
 o AS (SELECT *, row_number() OVER w - 1 AS position, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM s WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, text))
 SELECT conv_id, perspective, position, turn, speaker, CAST(start AS BIGINT) AS start, CAST(length(head) AS BIGINT) AS learn_start,

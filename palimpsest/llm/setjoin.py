@@ -369,7 +369,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, width: int, chunk: int = 64) -> D
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     roles = dealt.select(F.col("b").alias("doc_id"), "a", "chunk", F.lit(1).alias("role")).union(dealt.select(F.col("a").alias("doc_id"), "a", "chunk", F.lit(0)).distinct())
-    texts = docs.join(roles, "doc_id").select("doc_id", "a", "chunk", "role", "text")
+    # Shuffled at every size, so that it neither depends on an estimate nor broadcasts what grows with the input.
+    texts = docs.join(roles.hint("shuffle_hash"), "doc_id").select("doc_id", "a", "chunk", "role", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, now, centre = _Hash(), None, np.empty(0, np.uint64)
@@ -398,7 +399,7 @@ def _blocks(docs: DataFrame, family: DataFrame, size: int = 512) -> DataFrame:
     counts = family.groupBy("family").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
     dealt = family.join(counts, "family").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "comp", "family", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
-    texts = docs.join(dealt, docs["doc_id"] == dealt["rep"]).select("rep", "comp", "family", "i", "lo", "hi", "text")
+    texts = docs.join(dealt.hint("shuffle_hash"), docs["doc_id"] == dealt["rep"]).select("rep", "comp", "family", "i", "lo", "hi", "text")
 
     def compare(x: pd.DataFrame) -> pd.DataFrame:
         memo = _Hash()
@@ -521,7 +522,7 @@ def _of_nodes(base: DataFrame, linked: DataFrame | None, few: int, local: int, w
     roots = components(edges, "cc")
     rest = uncovered(cover, roots)
     if not rest.isEmpty():
-        again = base.join(rest, base["doc_id"] == rest["doc"]).select("doc_id", "text", "comp", "own", "guest")
+        again = base.join(rest.hint("shuffle_hash"), base["doc_id"] == rest["doc"]).select("doc_id", "text", "comp", "own", "guest")
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
         second = _index(again, 1.5, 4 * few, 64 * local, max(least, -(-rest.count() // 500)), True)
         held = second.where(F.col("kind") == PROFILE).select(F.col("a").alias("doc"), "own_ne", "own_h", "guest_ne", "guest_h")
