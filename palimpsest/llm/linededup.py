@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import components, discard, fresh, materialize, release
+from ._util import components, discard, fresh, materialize, partitions_for, release
 
 LOC = "decimal(38,0)"
 
@@ -55,22 +55,38 @@ def _agree(bands: int, rows: int) -> Column:
     return 2 * sum((F.when(F.get("m", F.lit(i)) == F.get("om", F.lit(i)), 1).otherwise(0) for i in range(bands * rows)), F.lit(0)) >= bands * rows
 
 
-def _within(near: DataFrame, agree: Column, block: int) -> DataFrame:
-    """Distinct pairs of agreeing lines of unlike roots among all of each bucket of near(band, n, h, root, m).
+def _alike(sa: str, sb: str, percent: int) -> Column:
+    """Whether two shingle sets have a Jaccard similarity of ``percent`` / 100; the sizes alone rule out most."""
+    of_size = 100 * F.least(F.size(sa), F.size(sb)) >= percent * F.greatest(F.size(sa), F.size(sb))
+    return of_size & ((100 + percent) * F.size(F.array_intersect(sa, sb)) >= percent * (F.size(sa) + F.size(sb)))
 
-    A bucket of more than ``block`` lines is dealt to blocks, and each of them meets every other."""
+
+def _within(near: DataFrame, texts: DataFrame, size: int, percent: int, bands: int, rows: int, block: int) -> DataFrame:
+    """Verified pairs of unlike roots among all of each bucket of near(band, bands, n, h, root, m).
+
+    A bucket of more than ``block`` lines is dealt to blocks, and each of them meets every other. Texts travel with the
+    lines, and a line's shingles are made once where it is dealt to, so that a pair costs the intersection of two sets. A
+    pair of several buckets is compared in the first of them. Only what is verified leaves the join."""
     dealt = near.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-    left = dealt.select("band", "h", "root", "m", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"))
-    right = dealt.select("band", F.col("h").alias("oh"), F.col("root").alias("oroot"), F.col("m").alias("om"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
-    met = left.join(right.hint("merge"), ["band", "i", "j"]).where((F.col("root") != F.col("oroot")) & ((F.col("i") < F.col("j")) | (F.col("h") < F.col("oh"))) & agree)
-    return met.select(F.least("h", "oh").alias("a"), F.greatest("h", "oh").alias("b")).distinct()
+    dealt = dealt.join(texts, "h")
+    left = dealt.select("band", "bands", "h", "root", "m", "raw", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"))
+    right = dealt.select("band", F.col("h").alias("oh"), F.col("root").alias("oroot"), F.col("m").alias("om"), F.col("bands").alias("obands"), F.col("raw").alias("oraw"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
+    # The shingles are many times the texts and are sorted with them, so there are parts enough for an executor's memory.
+    key, parts = ["band", "i", "j"], partitions_for(texts, 1 << 20)
+    left = left.repartition(parts, *key).withColumn("s", shingle_set(F.col("raw"), size)).drop("raw")
+    right = right.repartition(parts, *key).withColumn("os", shingle_set(F.col("oraw"), size)).drop("oraw")
+    apart = (F.col("root") != F.col("oroot")) & ((F.col("i") < F.col("j")) | (F.col("h") < F.col("oh")))
+    linked = apart & _agree(bands, rows) & (F.get(F.array_intersect("bands", "obands"), F.lit(0)) == F.col("band")) & _alike("s", "os", percent)
+    return left.join(right.hint("merge"), key).where(linked).select(F.least("h", "oh").alias("a"), F.greatest("h", "oh").alias("b"))
 
 
 def _buckets(sig: DataFrame, bands: int, rows: int) -> DataFrame:
-    """band, n (lines in the bucket), lo and hi (its ends), h and m: the lines that share a band with another."""
-    banded = sig.select("h", F.explode(F.array(*(F.xxhash64(*(F.get("m", F.lit(j * rows + i)) for i in range(rows)), F.lit(j)) for j in range(bands)))).alias("band"))
+    """band, bands (all of the line), n (lines in the bucket), lo and hi (its ends), h and m: the lines that share
+    a band with another."""
+    hashes = F.array(*(F.xxhash64(*(F.get("m", F.lit(j * rows + i)) for i in range(rows)), F.lit(j)) for j in range(bands)))
+    banded = sig.select("h", F.explode(hashes).alias("band"))
     buckets = banded.groupBy("band").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("n > 1 and lo < hi")
-    return materialize(banded.join(buckets, "band").join(sig.select("h", "m"), "h"), "near")
+    return materialize(banded.join(buckets, "band").join(sig.select("h", hashes.alias("bands"), "m"), "h"), "near")
 
 
 def _links(docs: DataFrame, sig: DataFrame, size: int, percent: int, bands: int, rows: int, block: int) -> DataFrame:
@@ -89,13 +105,12 @@ def _links(docs: DataFrame, sig: DataFrame, size: int, percent: int, bands: int,
         discard(near, pairs, texts)
         return edges
     roots = components(edges, "hot")
-    placed = large.join(roots, large["h"] == roots["node"], "left").select("band", "n", "h", F.coalesce("root", "h").alias("root"), "m")
+    placed = large.join(roots, large["h"] == roots["node"], "left").select("band", "bands", "n", "h", F.coalesce("root", "h").alias("root"), "m")
     apart = placed.groupBy("band").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first < last").select("band")
-    more = materialize(_within(placed.join(apart, "band", "left_semi"), agree, block).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    out = edges if more.isEmpty() else edges.union(materialize(_verified(texts, more, size, percent), "edges"))
-    discard(near, pairs, texts, roots, more)
+    more = materialize(_within(placed.join(apart, "band", "left_semi"), texts, size, percent, bands, rows, block), "edges")
+    discard(near, pairs, texts, roots)
     release(docs.sparkSession)
-    return out
+    return edges.union(more)
 
 
 def shingle_set(raw: Column, size: int) -> Column:
@@ -119,8 +134,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
     left, right = (texts.select(F.col("h").alias(c), F.col("raw").alias(f"raw_{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b")
     sets = both.select("a", "b", shingle_set(F.col("raw_a"), size).alias("sa"), shingle_set(F.col("raw_b"), size).alias("sb"))
-    sizes = sets.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return sizes.where(f"100 * both >= {percent} * (total - both)").select("a", "b")
+    return sets.where(_alike("sa", "sb", percent)).select("a", "b")
 
 
 def duplicate_lines(docs: DataFrame, size: int = 8, percent: int = 75, bands: int = 6, rows: int = 3, least: int = 20, small: int = 512) -> DataFrame:

@@ -323,6 +323,25 @@ def test_line_dedup_compares_whole_buckets(spark, small):
     assert dropped <= set(range(1, 80, 2)) and len(dropped) >= 39
 
 
+def test_line_dedup_writes_verified_pairs_only(spark, monkeypatch):
+    """Lines of one bucket, each of them apart from all others: what is compared there must not leave the join."""
+    rng, real, written = random.Random(6), linededup.materialize, []
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    core = " ".join(word() for _ in range(20))
+    lines = [f"{core} {' '.join(word() for _ in range(6))}" for _ in range(120)]
+
+    def spy(df, tag):
+        out = real(df, tag)
+        if tag in ("pairs", "edges"):
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "materialize", spy)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert linededup.duplicate_lines(docs).count() == 0
+    assert max(written) < 2 * 6 * 120 and written[-1] == 0
+
+
 def test_line_dedup_without_blanks(spark):
     """Near copies of lines without a blank that differ in their first characters."""
     rng = random.Random(8)
