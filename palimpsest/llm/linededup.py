@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from ._util import components, discard, fresh, materialize, partitions_for, release
 
@@ -21,11 +22,23 @@ def plain(line: Column) -> Column:
     return F.trim(F.lower(line))
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, pos, line (plain) and two hashes of every line of at least ``least`` bytes that is not blank."""
+def _place(docs: DataFrame) -> tuple[str, Column]:
+    """The type of a line's place, doc_id * 2 ** 31 + pos, and what doc_id counts from: a long where the ids span less
+    than 32 bits, since minima of decimals cost more than all else that is done for a shingle."""
+    if isinstance(docs.schema["doc_id"].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+        if lo is None or hi - lo < 1 << 32:
+            return "long", F.lit(lo or 0).cast("long")
+    return LOC, F.lit(0).cast(LOC)
+
+
+def _lines(docs: DataFrame, least: int, place: tuple[str, Column]) -> DataFrame:
+    """doc_id, pos, loc, line (plain) and two hashes of every line of at least ``least`` bytes that is not blank."""
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     rows = rows.select("doc_id", "pos", plain(F.col("raw")).alias("line")).where((F.octet_length("line") >= least) & F.col("line").rlike("[^ \\t\\n-\\r]"))
-    return rows.select("doc_id", "pos", "line", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"))
+    kind, base = place
+    loc = ((F.col("doc_id").cast(kind) - base) * F.lit(1 << 31).cast("long" if kind == "long" else "decimal(10,0)") + F.col("pos").cast("long" if kind == "long" else "decimal(10,0)")).cast(kind)
+    return rows.select("doc_id", "pos", loc.alias("loc"), "line", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"))
 
 
 def _constants(n: int) -> list[int]:
@@ -36,14 +49,10 @@ def _constants(n: int) -> list[int]:
 def signatures(lines: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """One row per distinct line: h, g, loc (its first place), n (its occurrences) and m (its minima).
 
-    Repeated lines are combined before the shuffle. Minima are over 32-bit hashes of the line's first shingle and those
-    that follow a blank; of a line with fewer than a word in 12 bytes, over those of all its shingles."""
-    loc = (F.col("doc_id").cast(LOC) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")).cast(LOC)
-    long_words = 12 * (F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1) < F.octet_length("line")
-    starts = F.sequence(F.lit(1), F.greatest(F.octet_length("raw") - size + 1, F.lit(1)))
-    placed = lines.select("h", "g", loc.alias("loc"), F.col("line").cast("binary").alias("raw"), long_words.alias("all")).select("h", "g", "loc", "raw", "all", F.explode(starts).alias("at"))
-    some = placed.where((F.col("at") == 1) | F.col("all") | (F.substring("raw", F.col("at") - 1, F.lit(1)) == F.lit(b" ")))
-    each = some.select("h", "g", F.when(F.col("at") == 1, F.col("loc")).alias("loc"), "at", F.hash(F.substring("raw", F.col("at"), F.lit(size))).alias("x"))
+    Repeated lines are combined before the shuffle. Minima are over 32-bit hashes of all the line's shingles."""
+    starts = F.sequence(F.lit(1), F.greatest(F.octet_length("line") - size + 1, F.lit(1)))
+    placed = lines.select("h", "g", "loc", F.col("line").cast("binary").alias("raw"), F.explode(starts).alias("at"))
+    each = placed.select("h", "g", F.when(F.col("at") == 1, F.col("loc")).alias("loc"), "at", F.hash(F.substring("raw", F.col("at"), F.lit(size))).alias("x"))
     minima = [F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_constants(bands * rows))]
     every = each.groupBy("h", "g").agg(F.min("loc").alias("loc"), F.sum((F.col("at") == 1).cast("int")).alias("n"), *minima)
     return every.select("h", "g", "loc", "n", F.array(*(f"m{i}" for i in range(bands * rows))).alias("m"))
@@ -89,7 +98,7 @@ def _buckets(sig: DataFrame, bands: int, rows: int) -> DataFrame:
     return materialize(banded.join(buckets, "band").join(sig.select("h", hashes.alias("bands"), "m"), "h"), "near")
 
 
-def _links(docs: DataFrame, sig: DataFrame, size: int, percent: int, bands: int, rows: int, block: int) -> DataFrame:
+def _links(docs: DataFrame, sig: DataFrame, place: tuple[str, Column], size: int, percent: int, bands: int, rows: int, block: int) -> DataFrame:
     """Verified pairs that link all lines which share a band and agree in half of their minima.
 
     Each line of a bucket meets its first and last. What that links is contracted, and then all lines of a bucket that
@@ -97,7 +106,7 @@ def _links(docs: DataFrame, sig: DataFrame, size: int, percent: int, bands: int,
     near, agree = _buckets(sig, bands, rows), _agree(bands, rows)
     ends = near.where("h = lo or h = hi").select("band", F.col("h").alias("oh"), F.col("m").alias("om"))
     stars = near.join(ends, "band").where((F.col("h") != F.col("oh")) & agree).select(F.least("h", "oh").alias("a"), F.greatest("h", "oh").alias("b"))
-    pairs, texts = materialize(stars.distinct(), "pairs"), _texts(docs, sig, near)
+    pairs, texts = materialize(stars.distinct(), "pairs"), _texts(docs, sig, near, place)
     edges = materialize(_verified(texts, pairs, size, percent), "edges")
     release(docs.sparkSession)
     large = near.where("n > 2")
@@ -119,9 +128,11 @@ def shingle_set(raw: Column, size: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(raw, i, F.lit(size)))))
 
 
-def _texts(docs: DataFrame, sig: DataFrame, near: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, sig: DataFrame, near: DataFrame, place: tuple[str, Column]) -> DataFrame:
     """h and raw (UTF-8) of the lines that share a bucket, taken from where each occurs first."""
-    at = sig.join(near.select("h").distinct(), "h").select("h", F.floor(F.col("loc") / (1 << 31)).cast("long").alias("doc_id"), F.pmod(F.col("loc"), F.lit(1 << 31)).cast("int").alias("pos"))
+    kind, base = place
+    whole = F.shiftright("loc", 31) + base if kind == "long" else F.floor(F.col("loc") / (1 << 31)).cast("long")
+    at = sig.join(near.select("h").distinct(), "h").select("h", whole.alias("doc_id"), F.pmod(F.col("loc"), F.lit(1 << 31)).cast("int").alias("pos"))
     wanted = at.groupBy("doc_id").agg(F.collect_list(F.struct("h", "pos")).alias("w")).hint("shuffle_hash")
     # The lines are an array before the join, so that each of the wanted ones is taken from it at once.
     texts = docs.where("doc_id is not null").select("doc_id", F.split("text", "\n", -1).alias("lines")).join(wanted, "doc_id")
@@ -146,14 +157,14 @@ def duplicate_lines(docs: DataFrame, size: int = 8, percent: int = 75, bands: in
     document, so the same positions go from each. Equal lines within a document are duplicates too.
     ``small`` (lines of a bucket that meet in one task) changes the work, never the result.
     """
-    lines = _lines(docs, least)
+    place = _place(docs)
+    lines = _lines(docs, least, place)
     sig = materialize(signatures(lines, size, bands, rows), "sig")
-    roots = components(_links(docs, sig, size, percent, bands, rows, small), "lines")
+    roots = components(_links(docs, sig, place, size, percent, bands, rows, small), "lines")
     known = sig.join(roots, sig["h"] == roots["node"], "left").where("n > 1 or root is not null").select("h", "loc", F.coalesce("root", "h").alias("root"))
     first = known.groupBy("root").agg(F.min("loc").alias("first"))
     keep = materialize(known.join(first, "root").select("h", "first"), "keep")
-    loc = (F.col("doc_id").cast(LOC) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")).cast(LOC)
-    gone = lines.select("doc_id", "pos", "h", loc.alias("loc")).join(keep, "h").where("loc <> first")
+    gone = lines.select("doc_id", "pos", "h", "loc").join(keep, "h").where("loc <> first")
     out = materialize(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("drop")), "gone")
     discard(sig, roots, keep)
     return out

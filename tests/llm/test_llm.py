@@ -351,6 +351,19 @@ def test_line_dedup_without_blanks(spark):
     assert {r.doc_id for r in linededup.duplicate_lines(docs).collect()} == set(range(1, 24, 2))
 
 
+@pytest.mark.parametrize("ids", [[5, 6], [-(1 << 62), 1 << 62]])
+def test_line_dedup_looks_at_all_shingles(spark, ids):
+    """Near copies that differ where nearly all words begin, and ids near to and far from each other."""
+    rng, rows = random.Random(9), []
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    for _ in range(12):
+        tail = " ".join([*letters(7), *(letters(33) for _ in range(6))])
+        rows.append([f"{' '.join(letters(7))} {tail}" for _ in ids])
+    docs = spark.createDataFrame([(d, "\n".join(r[i] for r in rows)) for i, d in enumerate(ids)], "doc_id long, text string")
+    (got,) = linededup.duplicate_lines(docs).collect()
+    assert got.doc_id == ids[1] and len(got["drop"]) >= 11
+
+
 def test_line_dedup_of_short_lines(spark):
     docs = spark.createDataFrame([(1, "les.\n\n \nand ornd."), (2, "les.\n\n\t\r\nsome\nLES. "), (3, "and ornd.\n\t\r\n\u4e2d")], "doc_id long, text string")
     assert {r.doc_id: r["drop"] for r in linededup.duplicate_lines(docs, least=1).collect()} == {2: [0, 4], 3: [0]}
