@@ -166,7 +166,7 @@ def common_ancestors(s, d):
     e = view(s, d, "vd_edge")
     nodes = e.select(F.explode(F.array("source", "dependent")).alias("node")).distinct()
     pairs = nodes.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).join(nodes.select(F.col("node").alias("b")), "b", "left_semi")
-    return lineage.common_ancestors(pairs, lineage.closure(e, nodes, True, keep))
+    return lineage.common_ancestors(pairs, e, keep)
 
 
 @query("""SELECT graph, bool_and(NOT existing) AS independent, bool_and(existing OR id IS NOT NULL) AND NOT coalesce(any_value(hit), FALSE) AS valid_payload,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -93,12 +93,41 @@ def components(nodes: DataFrame, edges: DataFrame, keep=lambda df: df) -> DataFr
     return every.withColumn("component", F.col("node")) if roots is None else every.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def common_ancestors(pairs: DataFrame, ancestors: DataFrame) -> DataFrame:
+def common_ancestors(pairs: DataFrame, edges: DataFrame, keep=lambda df: df, deep: int = 64) -> DataFrame:
     """a, b, ancestor: the lowest common ancestors of pairs(a, b), those that lead to no other common one. A version
-    is its own ancestor. ancestors(node, reached) is a closure."""
-    every = ancestors.union(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("reached", F.col("node")))
-    both = pairs.join(every.select(F.col("node").alias("a"), F.col("reached").alias("ancestor")), "a").join(every.select(F.col("node").alias("b"), F.col("reached").alias("ancestor")), ["b", "ancestor"]).select("a", "b", "ancestor").distinct()
-    above = both.join(ancestors.select(F.col("node").alias("ancestor"), F.col("reached").alias("higher")), "ancestor").select("a", "b", F.col("higher").alias("ancestor")).distinct()
+    is its own ancestor. edges(source, dependent) lead away from ancestors.
+
+    Each round moves every pair's nodes of the highest level up to their parents, marked by the ends that they were
+    reached from (1, 2) and by whether a common ancestor leads to them (4). No other node of the pair leads to those, so
+    their marks are final. A pair ends when no node is left that could be lowest, mostly long before the roots, so
+    closures are not needed. In graphs of over ``deep`` levels, and on cycles, they are used instead."""
+    pairs, edges = pairs.select("a", "b").distinct(), keep(edges.select("source", "dependent").distinct())
+    try:
+        nodes = edges.select(F.explode(F.array("source", "dependent")).alias("node")).union(pairs.select(F.explode(F.array("a", "b"))))
+        levels = keep(topo_levels(nodes, edges, keep, deep))
+    except ValueError:
+        return common_ancestors_by_closure(pairs, edges, closure(edges, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), True, keep))
+    up = keep(edges.select(F.col("dependent").alias("node"), F.col("source").alias("up")).join(levels.select(F.col("node").alias("up"), F.col("level").alias("up_level")), "up"))
+    ends = pairs.select("a", "b", F.inline(F.array(*(F.struct(F.col(c).alias("node"), F.lit(m).alias("mark")) for c, m in (("a", 1), ("b", 2))))))
+    reached, found, of_pair = ends.join(levels, "node").select("a", "b", "node", "level", "mark"), [], Window.partitionBy("a", "b")
+    while True:
+        marked = reached.repartition("a", "b").groupBy("a", "b", "node", "level").agg(F.bit_or("mark").alias("mark"))
+        state = marked.select("*", F.max("level").over(of_pair).alias("top"), F.min("mark").over(of_pair).alias("least"), F.bit_or("mark").over(of_pair).alias("ends"))
+        # All marked 7: none can be lowest any more; all 1 or all 2: none can be common.
+        live = keep(state.where("least < 7 and ends >= 3").select("a", "b", "node", "level", "mark", "top"))
+        if live.isEmpty():
+            return reduce(DataFrame.union, [*found, live.where("false").select("a", "b", F.col("node").alias("ancestor"))])
+        found.append(live.where("level = top and mark = 3").select("a", "b", F.col("node").alias("ancestor")))
+        above = live.where("level = top").join(up, "node").select("a", "b", F.col("up").alias("node"), F.col("up_level").alias("level"), F.when(F.col("mark") >= 3, 7).otherwise(F.col("mark")).alias("mark"))
+        reached = live.where("level < top").select("a", "b", "node", "level", "mark").union(above)
+
+
+def common_ancestors_by_closure(pairs: DataFrame, edges: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """common_ancestors() from a closure ancestors(node, reached). All ancestors of a common one are common too, so those
+    that another leads to are the parents of common ones."""
+    every = ancestors.union(pairs.select(F.explode(F.array("a", "b")).alias("node")).withColumn("reached", F.col("node"))).distinct()
+    both = pairs.join(every.select(F.col("node").alias("a"), F.col("reached").alias("ancestor")), "a").join(every.select(F.col("node").alias("b"), F.col("reached").alias("ancestor")), ["b", "ancestor"]).select("a", "b", "ancestor")
+    above = both.join(edges.select(F.col("dependent").alias("ancestor"), F.col("source").alias("up")), "ancestor").select("a", "b", F.col("up").alias("ancestor"))
     return both.join(above, ["a", "b", "ancestor"], "left_anti")
 
 
