@@ -35,7 +35,10 @@ def _place(docs: DataFrame) -> tuple[str, Column]:
 def _lines(docs: DataFrame, least: int, place: tuple[str, Column]) -> DataFrame:
     """doc_id, pos, loc, line (plain) and two hashes of every line of at least ``least`` bytes that is not blank."""
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    rows = rows.select("doc_id", "pos", plain(F.col("raw")).alias("line")).where((F.octet_length("line") >= least) & F.col("line").rlike("[^ \\t\\n-\\r]"))
+    # Blanks are looked for in what stands in the text: a condition on ``line`` would make it once more for each line.
+    rows = rows.where(F.ltrim("raw", F.lit(" \t\n\x0b\f\r")) != "").select("doc_id", "pos", plain(F.col("raw")).alias("line"))
+    if least > 1:
+        rows = rows.where(F.octet_length("line") >= least)
     kind, base = place
     loc = ((F.col("doc_id").cast(kind) - base) * F.lit(1 << 31).cast("long" if kind == "long" else "decimal(10,0)") + F.col("pos").cast("long" if kind == "long" else "decimal(10,0)")).cast(kind)
     return rows.select("doc_id", "pos", loc.alias("loc"), "line", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"))
@@ -49,11 +52,19 @@ def _constants(n: int) -> list[int]:
 def signatures(lines: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """One row per distinct line: h, g, loc (its first place), n (its occurrences) and m (its minima).
 
-    Repeated lines are combined before the shuffle. Minima are over 32-bit hashes of all the line's shingles."""
-    starts = F.sequence(F.lit(1), F.greatest(F.octet_length("line") - size + 1, F.lit(1)))
-    placed = lines.select("h", "g", "loc", F.col("line").cast("binary").alias("raw"), F.explode(starts).alias("at"))
-    each = placed.select("h", "g", F.when(F.col("at") == 1, F.col("loc")).alias("loc"), "at", F.hash(F.substring("raw", F.col("at"), F.lit(size))).alias("x"))
-    minima = [F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_constants(bands * rows))]
+    Repeated lines are combined before the shuffle. Minima are over 32-bit hashes of all the line's shingles. A row has four
+    of them, so that its group is looked up and updated once for four; a line's last row repeats its last shingle. The
+    least of four is taken by ``if``, which costs less than ``least``, and eight would be too much code to be compiled."""
+    last = F.greatest(F.octet_length("line") - size + 1, F.lit(1))
+    placed = lines.select("h", "g", "loc", F.col("line").cast("binary").alias("raw"), last.alias("last"))
+    placed = placed.select("*", F.explode(F.sequence(F.lit(1), "last", F.lit(4))).alias("at"))
+    hashes = [F.hash(F.substring("raw", F.least(F.col("at") + k, F.col("last")), F.lit(size))).alias(f"x{k}") for k in range(4)]
+    each = placed.select("h", "g", F.when(F.col("at") == 1, F.col("loc")).alias("loc"), "at", *hashes)
+    lesser = lambda a, b: F.expr(f"if({a} < {b}, {a}, {b})")
+    halves = [lesser(f"(x{k} ^ {c})", f"(x{k + 1} ^ {c})").alias(f"m{i}_{k}") for i, c in enumerate(_constants(bands * rows)) for k in (0, 2)]
+    each = each.select("h", "g", "loc", "at", *halves)
+    each = each.select("h", "g", "loc", "at", *(lesser(f"m{i}_0", f"m{i}_2").alias(f"m{i}") for i in range(bands * rows)))
+    minima = [F.min(f"m{i}").alias(f"m{i}") for i in range(bands * rows)]
     every = each.groupBy("h", "g").agg(F.min("loc").alias("loc"), F.sum((F.col("at") == 1).cast("int")).alias("n"), *minima)
     return every.select("h", "g", "loc", "n", F.array(*(f"m{i}" for i in range(bands * rows))).alias("m"))
 
@@ -67,7 +78,8 @@ def _agree(bands: int, rows: int) -> Column:
 def _alike(sa: str, sb: str, percent: int) -> Column:
     """Whether two shingle sets have a Jaccard similarity of ``percent`` / 100; the sizes alone rule out most."""
     of_size = 100 * F.least(F.size(sa), F.size(sb)) >= percent * F.greatest(F.size(sa), F.size(sb))
-    return of_size & ((100 + percent) * F.size(F.array_intersect(sa, sb)) >= percent * (F.size(sa) + F.size(sb)))
+    shared = F.size(sa) - F.size(F.array_except(sa, sb))  # one hash table, where array_intersect fills two
+    return of_size & ((100 + percent) * shared >= percent * (F.size(sa) + F.size(sb)))
 
 
 def _within(near: DataFrame, texts: DataFrame, size: int, percent: int, bands: int, rows: int, block: int) -> DataFrame:
@@ -124,8 +136,11 @@ def _links(docs: DataFrame, sig: DataFrame, place: tuple[str, Column], size: int
 
 def shingle_set(raw: Column, size: int) -> Column:
     """Distinct hashed character shingles of a line's UTF-8; the line itself if it is shorter. ``raw`` should be
-    a stored column: the function below is evaluated for each shingle."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(raw, i, F.lit(size)))))
+    a stored column: it is read for the number of shingles and once for all of them."""
+    # Bound to a variable, the line is copied out of its row once and not for each shingle.
+    starts = F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - size + 1, F.lit(1)))
+    each = F.transform(F.array(raw), lambda r: F.transform(starts, lambda i: F.xxhash64(F.substring(r, i, F.lit(size)))))
+    return F.array_distinct(F.get(each, F.lit(0)))
 
 
 def _texts(docs: DataFrame, sig: DataFrame, near: DataFrame, place: tuple[str, Column]) -> DataFrame:
@@ -144,7 +159,8 @@ def _verified(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
     """Pairs whose exact similarity over all character shingles is at least ``percent`` / 100."""
     left, right = (texts.select(F.col("h").alias(c), F.col("raw").alias(f"raw_{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b")
-    sets = both.select("a", "b", shingle_set(F.col("raw_a"), size).alias("sa"), shingle_set(F.col("raw_b"), size).alias("sb"))
+    # Generated, the sets are made once; a condition on selected columns would make them for each mention.
+    sets = both.select("a", "b", F.inline(F.array(F.struct(shingle_set(F.col("raw_a"), size).alias("sa"), shingle_set(F.col("raw_b"), size).alias("sb")))))
     return sets.where(_alike("sa", "sb", percent)).select("a", "b")
 
 

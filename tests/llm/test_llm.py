@@ -342,6 +342,30 @@ def test_line_dedup_writes_verified_pairs_only(spark, monkeypatch):
     assert max(written) < 2 * 6 * 120 and written[-1] == 0
 
 
+def test_line_dedup_makes_lines_and_sets_once(spark):
+    """A condition on a selected column must not make a line, or a pair's shingle sets, again for each mention."""
+    docs = spark.createDataFrame([(1, "Abcdefgh ij\n \t\r\n\u4e2d")], "doc_id long, text string")
+    lines = linededup._lines(docs, 1, linededup._place(docs))
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert sorted((r.pos, r.line) for r in lines.collect()) == [(0, "abcdefgh ij"), (2, "\u4e2d")]
+    texts = spark.createDataFrame([(1, b"abcdefghijkl"), (2, b"abcdefghijklm"), (3, b"abcdefghijxx")], "h long, raw binary")
+    found = linededup._verified(texts, spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), 8, 75)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(") == 2
+    assert found.collect() == [(1, 2)]
+
+
+def test_line_dedup_signatures_are_minima_of_all_shingles(spark):
+    rows = [(n, "".join(random.Random(n).choices("abcdefgh \u4e2d", k=n)).strip() or "x") for n in range(1, 40)]
+    lines = spark.createDataFrame(rows, "loc long, line string").select(F.col("loc").alias("h"), F.col("loc").alias("g"), "loc", "line")
+    got = {r.h: (r.loc, r.n, r.m) for r in linededup.signatures(lines, 8, 6, 3).collect()}
+    raw = [(h, line.encode()) for h, line in rows]
+    each = spark.createDataFrame([(h, b[i : i + 8]) for h, b in raw for i in range(max(1, len(b) - 7))], "h long, s binary").select("h", F.hash("s").alias("x"))
+    want: dict = {}
+    for r in each.collect():
+        want.setdefault(r.h, []).append(r.x)
+    assert got == {h: (h, 1, [min(x ^ c for x in xs) for c in linededup._constants(18)]) for h, xs in want.items()}
+
+
 def test_line_dedup_without_blanks(spark):
     """Near copies of lines without a blank that differ in their first characters."""
     rng = random.Random(8)
