@@ -102,12 +102,14 @@ def _within(near: DataFrame, texts: DataFrame, size: int, percent: int, bands: i
 
 
 def _buckets(sig: DataFrame, bands: int, rows: int) -> DataFrame:
-    """band, bands (all of the line), n (lines in the bucket), lo and hi (its ends), h and m: the lines that share
-    a band with another."""
+    """h, band, lo and hi (the ends of the bucket), n (lines in it), loc, m and bands (all of the line): the lines that
+    share a band with another."""
     hashes = F.array(*(F.xxhash64(*(F.get("m", F.lit(j * rows + i)) for i in range(rows)), F.lit(j)) for j in range(bands)))
-    banded = sig.select("h", F.explode(hashes).alias("band"))
+    # Dealt by band before they are counted, since few bands repeat, so that one shuffle serves the count and the join
+    # (which would else ask for ``h`` on its side alone).
+    banded = sig.where("h is not null").select("h", F.explode(hashes).alias("band")).repartition("band")
     buckets = banded.groupBy("band").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("n > 1 and lo < hi")
-    return materialize(banded.join(buckets, "band").join(sig.select("h", hashes.alias("bands"), "m"), "h"), "near")
+    return banded.join(buckets, "band").join(sig.select("h", "loc", "m"), "h").withColumn("bands", hashes)
 
 
 def _links(docs: DataFrame, sig: DataFrame, place: tuple[str, Column], size: int, percent: int, bands: int, rows: int, block: int) -> DataFrame:
@@ -115,10 +117,10 @@ def _links(docs: DataFrame, sig: DataFrame, place: tuple[str, Column], size: int
 
     Each line of a bucket meets its first and last. What that links is contracted, and then all lines of a bucket that
     are still apart are compared."""
-    near, agree = _buckets(sig, bands, rows), _agree(bands, rows)
+    near, agree = materialize(_buckets(sig, bands, rows), "near"), _agree(bands, rows)
     ends = near.where("h = lo or h = hi").select("band", F.col("h").alias("oh"), F.col("m").alias("om"))
     stars = near.join(ends, "band").where((F.col("h") != F.col("oh")) & agree).select(F.least("h", "oh").alias("a"), F.greatest("h", "oh").alias("b"))
-    pairs, texts = materialize(stars.distinct(), "pairs"), _texts(docs, sig, near, place)
+    pairs, texts = materialize(stars.distinct(), "pairs"), _texts(docs, near, place)
     edges = materialize(_verified(texts, pairs, size, percent), "edges")
     release(docs.sparkSession)
     large = near.where("n > 2")
@@ -143,11 +145,11 @@ def shingle_set(raw: Column, size: int) -> Column:
     return F.array_distinct(F.get(each, F.lit(0)))
 
 
-def _texts(docs: DataFrame, sig: DataFrame, near: DataFrame, place: tuple[str, Column]) -> DataFrame:
+def _texts(docs: DataFrame, near: DataFrame, place: tuple[str, Column]) -> DataFrame:
     """h and raw (UTF-8) of the lines that share a bucket, taken from where each occurs first."""
     kind, base = place
     whole = F.shiftright("loc", 31) + base if kind == "long" else F.floor(F.col("loc") / (1 << 31)).cast("long")
-    at = sig.join(near.select("h").distinct(), "h").select("h", whole.alias("doc_id"), F.pmod(F.col("loc"), F.lit(1 << 31)).cast("int").alias("pos"))
+    at = near.select("h", "loc").distinct().select("h", whole.alias("doc_id"), F.pmod(F.col("loc"), F.lit(1 << 31)).cast("int").alias("pos"))
     wanted = at.groupBy("doc_id").agg(F.collect_list(F.struct("h", "pos")).alias("w")).hint("shuffle_hash")
     # The lines are an array before the join, so that each of the wanted ones is taken from it at once.
     texts = docs.where("doc_id is not null").select("doc_id", F.split("text", "\n", -1).alias("lines")).join(wanted, "doc_id")

@@ -366,6 +366,17 @@ def test_line_dedup_signatures_are_minima_of_all_shingles(spark):
     assert got == {h: (h, 1, [min(x ^ c for x in xs) for c in linededup._constants(18)]) for h, xs in want.items()}
 
 
+def test_line_dedup_shuffles_bands_once(spark):
+    """The lines of a bucket are counted and joined from one shuffle, and bring their places."""
+    minima = [[1, 2, 3, 4], [1, 2, 5, 6], [7, 8, 5, 6], [9, 9, 9, 9]]
+    sig = spark.createDataFrame([(h, 10 * h, m) for h, m in enumerate(minima)], "h long, loc long, m array<int>")
+    near = linededup._buckets(sig, 2, 2)
+    got = near.collect()
+    assert sorted((r.h, r.loc, r.lo, r.hi, r.n) for r in got) == [(0, 0, 0, 1, 2), (1, 10, 0, 1, 2), (1, 10, 1, 2, 2), (2, 20, 1, 2, 2)]
+    assert all(r.m == minima[r.h] and r.band in r.bands and len(set(r.bands)) == 2 for r in got)
+    assert "ReusedExchange" in near._jdf.queryExecution().executedPlan().toString()
+
+
 def test_line_dedup_without_blanks(spark):
     """Near copies of lines without a blank that differ in their first characters."""
     rng = random.Random(8)
