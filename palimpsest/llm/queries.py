@@ -14,7 +14,7 @@ from . import chat, hamming, licenses, linededup, packing, quality, semantic, se
 from ._util import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-RULES = [urls.rule("block", "com/en/"), urls.rule("allow", "example.com/en/7"), urls.rule("block", "net/de/"), urls.rule("block", "example.net/de/8"), urls.rule("block", "org/es/")]
+RULES = [urls.rule("block", "com/en/"), urls.rule("allow", "example.com/en/7"), urls.rule("allow", "net/de/"), urls.rule("block", "example.net/de/8"), urls.rule("block", "org/es/")]
 EVERY = 20
 TOP = 10
 

@@ -429,6 +429,15 @@ def test_urls(spark):
         assert got.verdict == (max(fit)[2] if fit else got.verdict)
 
 
+def test_registered_url_filter_keeps_the_words_of_its_contract(spark, tmp_path):
+    contract = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+    assert sorted((r.text, r.verdict) for r in queries.RULES) == sorted(contract)
+    want = {"x.com/en/1": ("com/en/", "block"), "example.com/en/71": ("example.com/en/7", "allow"), "net/de/": ("net/de/", "allow"), "a.net/de/8": ("net/de/", "allow"), "example.net/de/7": ("net/de/", "allow"), "b.example.net/de/8/c": ("example.net/de/8", "block"), "org/es/q": ("org/es/", "block"), "c.net/fr/": (None, "allow")}
+    spark.createDataFrame([(i, f"https://{u}", None) for i, u in enumerate(want)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.host + r.path: (r.rule, r.verdict) for r in queries.op7_url_filter(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_pagerank_and_distrust(spark):
     links = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "f"), ("f", "e"), ("g", "h")]
     edges = spark.createDataFrame([(s, t, 1) for s, t in links], "src string, dst string, links long")
