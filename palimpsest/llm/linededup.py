@@ -109,7 +109,8 @@ def _buckets(sig: DataFrame, bands: int, rows: int) -> DataFrame:
     # (which would else ask for ``h`` on its side alone).
     banded = sig.where("h is not null").select("h", F.explode(hashes).alias("band")).repartition("band")
     buckets = banded.groupBy("band").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("n > 1 and lo < hi")
-    return banded.join(buckets, "band").join(sig.select("h", "loc", "m"), "h").withColumn("bands", hashes)
+    # Few buckets are left, so looking them up costs less than sorting the bands of all lines to merge them.
+    return banded.join(buckets.hint("shuffle_hash"), "band").join(sig.select("h", "loc", "m"), "h").withColumn("bands", hashes)
 
 
 def _links(docs: DataFrame, sig: DataFrame, place: tuple[str, Column], size: int, percent: int, bands: int, rows: int, block: int) -> DataFrame:

@@ -377,6 +377,21 @@ def test_line_dedup_shuffles_bands_once(spark):
     assert "ReusedExchange" in near._jdf.queryExecution().executedPlan().toString()
 
 
+def test_line_dedup_looks_buckets_up(spark, tmp_path):
+    """The bands of all lines are not sorted to find the few that have a bucket, and are still shuffled once."""
+    rows = [(h, 10 * h, [h // 3, h % 7, h // 2, 1]) for h in range(60)]
+    spark.createDataFrame(rows, "h long, loc long, m array<int>").write.parquet(f"{tmp_path}/sig")
+    near = linededup._buckets(spark.read.parquet(f"{tmp_path}/sig"), 2, 2)
+    sets: dict = {}
+    for h, _, m in rows:
+        for band in range(2):
+            sets.setdefault((band, *m[2 * band : 2 * band + 2]), []).append(h)
+    want = sorted((h, 10 * h, min(x), max(x), len(x)) for x in sets.values() if len(x) > 1 for h in x)
+    assert sorted((r.h, r.loc, r.lo, r.hi, r.n) for r in near.collect()) == want
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [band" in plan and "SortMergeJoin [band" not in plan and "ReusedExchange" in plan
+
+
 def test_line_dedup_without_blanks(spark):
     """Near copies of lines without a blank that differ in their first characters."""
     rng = random.Random(8)
