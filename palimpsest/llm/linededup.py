@@ -109,8 +109,10 @@ def _buckets(sig: DataFrame, bands: int, rows: int) -> DataFrame:
     # (which would else ask for ``h`` on its side alone).
     banded = sig.where("h is not null").select("h", F.explode(hashes).alias("band")).repartition("band")
     buckets = banded.groupBy("band").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("n > 1 and lo < hi")
-    # Few buckets are left, so looking them up costs less than sorting the bands of all lines to merge them.
-    return banded.join(buckets.hint("shuffle_hash"), "band").join(sig.select("h", "loc", "m"), "h").withColumn("bands", hashes)
+    # Few buckets and few lines of them are left, so looking them up costs less than sorting all bands, and all signatures,
+    # to merge them.
+    found = banded.join(buckets.hint("shuffle_hash"), "band")
+    return found.hint("shuffle_hash").join(sig.select("h", "loc", "m"), "h").withColumn("bands", hashes)
 
 
 def _links(docs: DataFrame, sig: DataFrame, place: tuple[str, Column], size: int, percent: int, bands: int, rows: int, block: int) -> DataFrame:
@@ -120,7 +122,7 @@ def _links(docs: DataFrame, sig: DataFrame, place: tuple[str, Column], size: int
     are still apart are compared."""
     near, agree = materialize(_buckets(sig, bands, rows), "near"), _agree(bands, rows)
     ends = near.where("h = lo or h = hi").select("band", F.col("h").alias("oh"), F.col("m").alias("om"))
-    stars = near.join(ends, "band").where((F.col("h") != F.col("oh")) & agree).select(F.least("h", "oh").alias("a"), F.greatest("h", "oh").alias("b"))
+    stars = near.join(ends.hint("shuffle_hash"), "band").where((F.col("h") != F.col("oh")) & agree).select(F.least("h", "oh").alias("a"), F.greatest("h", "oh").alias("b"))
     pairs, texts = materialize(stars.distinct(), "pairs"), _texts(docs, near, place)
     edges = materialize(_verified(texts, pairs, size, percent), "edges")
     release(docs.sparkSession)
@@ -129,9 +131,9 @@ def _links(docs: DataFrame, sig: DataFrame, place: tuple[str, Column], size: int
         discard(near, pairs, texts)
         return edges
     roots = components(edges, "hot")
-    placed = large.join(roots, large["h"] == roots["node"], "left").select("band", "bands", "n", "h", F.coalesce("root", "h").alias("root"), "m")
+    placed = large.join(roots.hint("shuffle_hash"), large["h"] == roots["node"], "left").select("band", "bands", "n", "h", F.coalesce("root", "h").alias("root"), "m")
     apart = placed.groupBy("band").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first < last").select("band")
-    more = materialize(_within(placed.join(apart, "band", "left_semi"), texts, size, percent, bands, rows, block), "edges")
+    more = materialize(_within(placed.join(apart.hint("shuffle_hash"), "band", "left_semi"), texts, size, percent, bands, rows, block), "edges")
     discard(near, pairs, texts, roots)
     release(docs.sparkSession)
     return edges.union(more)
@@ -180,10 +182,11 @@ def duplicate_lines(docs: DataFrame, size: int = 8, percent: int = 75, bands: in
     lines = _lines(docs, least, place)
     sig = materialize(signatures(lines, size, bands, rows), "sig")
     roots = components(_links(docs, sig, place, size, percent, bands, rows, small), "lines")
-    known = sig.join(roots, sig["h"] == roots["node"], "left").where("n > 1 or root is not null").select("h", "loc", F.coalesce("root", "h").alias("root"))
+    # What is joined here has few rows, of a key each, and is looked up: all lines would else be sorted by it.
+    known = sig.join(roots.hint("shuffle_hash"), sig["h"] == roots["node"], "left").where("n > 1 or root is not null").select("h", "loc", F.coalesce("root", "h").alias("root"))
     first = known.groupBy("root").agg(F.min("loc").alias("first"))
-    keep = materialize(known.join(first, "root").select("h", "first"), "keep")
-    gone = lines.select("doc_id", "pos", "h", "loc").join(keep, "h").where("loc <> first")
+    keep = materialize(known.join(first.hint("shuffle_hash"), "root").select("h", "first"), "keep")
+    gone = lines.select("doc_id", "pos", "h", "loc").join(keep.hint("shuffle_hash"), "h").where("loc <> first")
     out = materialize(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("drop")), "gone")
     discard(sig, roots, keep)
     return out

@@ -392,6 +392,22 @@ def test_line_dedup_looks_buckets_up(spark, tmp_path):
     assert "ShuffledHashJoin [band" in plan and "SortMergeJoin [band" not in plan and "ReusedExchange" in plan
 
 
+def test_line_dedup_looks_few_rows_up(spark, monkeypatch):
+    """Signatures, lines and the lines of buckets are not sorted to be merged with tables of few rows."""
+    real, plans = linededup.materialize, {}
+
+    def spy(df, tag):
+        plans.setdefault(tag, df._jdf.queryExecution().executedPlan().toString())
+        return real(df, tag)
+
+    monkeypatch.setattr(linededup, "materialize", spy)
+    line = "the quick brown fox jumps over the lazy dog and runs along the river bank"
+    docs = spark.createDataFrame([(1, line), (2, f"{line}!"), (3, line)], "doc_id long, text string")
+    assert {r.doc_id: r["drop"] for r in linededup.duplicate_lines(docs).collect()} == {2: [0], 3: [0]}
+    for tag in ("near", "pairs", "keep", "gone"):
+        assert "ShuffledHashJoin" in plans[tag] and "SortMergeJoin" not in plans[tag] and "BroadcastHashJoin" not in plans[tag], tag
+
+
 def test_line_dedup_without_blanks(spark):
     """Near copies of lines without a blank that differ in their first characters."""
     rng = random.Random(8)
