@@ -85,20 +85,21 @@ def _alike(sa: str, sb: str, percent: int) -> Column:
 def _within(near: DataFrame, texts: DataFrame, size: int, percent: int, bands: int, rows: int, block: int) -> DataFrame:
     """Verified pairs of unlike roots among all of each bucket of near(band, bands, n, h, root, m).
 
-    A bucket of more than ``block`` lines is dealt to blocks, and each of them meets every other. Texts travel with the
-    lines, and a line's shingles are made once where it is dealt to, so that a pair costs the intersection of two sets. A
-    pair of several buckets is compared in the first of them. Only what is verified leaves the join."""
+    A bucket of more than ``block`` lines is dealt to blocks, and each of them meets every other. Minima are compared
+    first, without texts, and only lines that have a partner there, on their side, go on. Texts travel with those, and a
+    line's shingles are made once where it is dealt to, so that a pair costs the intersection of two sets. A pair of
+    several buckets is compared in the first of them. Only what is verified leaves the join."""
     dealt = near.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(texts, "h")
-    left = dealt.select("band", "bands", "h", "root", "m", "raw", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"))
-    right = dealt.select("band", F.col("h").alias("oh"), F.col("root").alias("oroot"), F.col("m").alias("om"), F.col("bands").alias("obands"), F.col("raw").alias("oraw"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
-    # The shingles are many times the texts and are sorted with them, so there are parts enough for an executor's memory.
-    key, parts = ["band", "i", "j"], partitions_for(texts, 1 << 20)
-    left = left.repartition(parts, *key).withColumn("s", shingle_set(F.col("raw"), size)).drop("raw")
-    right = right.repartition(parts, *key).withColumn("os", shingle_set(F.col("oraw"), size)).drop("oraw")
+    left = dealt.select("band", "bands", "h", "root", "m", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"))
+    right = dealt.select(F.col("band").alias("oband"), F.col("h").alias("oh"), F.col("root").alias("oroot"), F.col("m").alias("om"), F.col("bands").alias("obands"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("oi"), F.col("own").alias("oj"))
+    met = (F.col("band") == F.col("oband")) & (F.col("i") == F.col("oi")) & (F.col("j") == F.col("oj"))
     apart = (F.col("root") != F.col("oroot")) & ((F.col("i") < F.col("j")) | (F.col("h") < F.col("oh")))
-    linked = apart & _agree(bands, rows) & (F.get(F.array_intersect("bands", "obands"), F.lit(0)) == F.col("band")) & _alike("s", "os", percent)
-    return left.join(right.hint("merge"), key).where(linked).select(F.least("h", "oh").alias("a"), F.greatest("h", "oh").alias("b"))
+    partners = met & apart & _agree(bands, rows) & (F.get(F.array_intersect("bands", "obands"), F.lit(0)) == F.col("band"))
+    # The shingles are many times the texts and are sorted with them, so there are parts enough for an executor's memory.
+    parts, other = partitions_for(texts, 1 << 20), texts.select(F.col("h").alias("oh"), F.col("raw").alias("oraw"))
+    some = left.join(right.hint("merge"), partners, "left_semi").join(texts, "h").repartition(parts, "band", "i", "j").withColumn("s", shingle_set(F.col("raw"), size)).drop("raw")
+    others = right.join(left.hint("merge"), partners, "left_semi").join(other, "oh").repartition(parts, "oband", "oi", "oj").withColumn("os", shingle_set(F.col("oraw"), size)).drop("oraw")
+    return some.join(others.hint("merge"), partners & _alike("s", "os", percent)).select(F.least("h", "oh").alias("a"), F.greatest("h", "oh").alias("b"))
 
 
 def _buckets(sig: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -122,7 +123,8 @@ def _links(docs: DataFrame, sig: DataFrame, place: tuple[str, Column], size: int
     are still apart are compared."""
     near, agree = materialize(_buckets(sig, bands, rows), "near"), _agree(bands, rows)
     ends = near.where("h = lo or h = hi").select("band", F.col("h").alias("oh"), F.col("m").alias("om"))
-    stars = near.join(ends.hint("shuffle_hash"), "band").where((F.col("h") != F.col("oh")) & agree).select(F.least("h", "oh").alias("a"), F.greatest("h", "oh").alias("b"))
+    once = (F.col("h") != F.col("oh")) & ((F.col("oh") == F.col("lo")) | (F.col("h") != F.col("lo")))  # not from both ends
+    stars = near.join(ends.hint("shuffle_hash"), "band").where(once & agree).select(F.least("h", "oh").alias("a"), F.greatest("h", "oh").alias("b"))
     pairs, texts = materialize(stars.distinct(), "pairs"), _texts(docs, near, place)
     edges = materialize(_verified(texts, pairs, size, percent), "edges")
     release(docs.sparkSession)
@@ -139,13 +141,18 @@ def _links(docs: DataFrame, sig: DataFrame, place: tuple[str, Column], size: int
     return edges.union(more)
 
 
-def shingle_set(raw: Column, size: int) -> Column:
-    """Distinct hashed character shingles of a line's UTF-8; the line itself if it is shorter. ``raw`` should be
+def shingles(raw: Column, size: int) -> Column:
+    """Hashed character shingles of a line's UTF-8, in their order; the line itself if it is shorter. ``raw`` should be
     a stored column: it is read for the number of shingles and once for all of them."""
     # Bound to a variable, the line is copied out of its row once and not for each shingle.
     starts = F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - size + 1, F.lit(1)))
     each = F.transform(F.array(raw), lambda r: F.transform(starts, lambda i: F.xxhash64(F.substring(r, i, F.lit(size)))))
-    return F.array_distinct(F.get(each, F.lit(0)))
+    return F.get(each, F.lit(0))
+
+
+def shingle_set(raw: Column, size: int) -> Column:
+    """Distinct shingles() of a line."""
+    return F.array_distinct(shingles(raw, size))
 
 
 def _texts(docs: DataFrame, near: DataFrame, place: tuple[str, Column]) -> DataFrame:
@@ -154,9 +161,10 @@ def _texts(docs: DataFrame, near: DataFrame, place: tuple[str, Column]) -> DataF
     whole = F.shiftright("loc", 31) + base if kind == "long" else F.floor(F.col("loc") / (1 << 31)).cast("long")
     at = near.select("h", "loc").distinct().select("h", whole.alias("doc_id"), F.pmod(F.col("loc"), F.lit(1 << 31)).cast("int").alias("pos"))
     wanted = at.groupBy("doc_id").agg(F.collect_list(F.struct("h", "pos")).alias("w")).hint("shuffle_hash")
-    # The lines are an array before the join, so that each of the wanted ones is taken from it at once.
-    texts = docs.where("doc_id is not null").select("doc_id", F.split("text", "\n", -1).alias("lines")).join(wanted, "doc_id")
-    taken = texts.select(F.inline(F.transform("w", lambda x: F.struct(x["h"].alias("h"), F.get("lines", x["pos"]).alias("line"))))).select("h", plain(F.col("line")).alias("line"))
+    # Only texts with a wanted line are split, after the join; bound to a variable, their lines are made once.
+    texts = docs.where("doc_id is not null").select("doc_id", "text").join(wanted, "doc_id")
+    each = F.transform(F.array(F.split("text", "\n", -1)), lambda lines: F.transform("w", lambda x: F.struct(x["h"].alias("h"), F.get(lines, x["pos"]).alias("line"))))
+    taken = texts.select(F.inline(F.get(each, F.lit(0)))).select("h", plain(F.col("line")).alias("line"))
     return materialize(taken.where("line is not null and h = xxhash64(line)").groupBy("h").agg(F.min(F.encode("line", "UTF-8")).alias("raw")), "found")
 
 
@@ -164,8 +172,10 @@ def _verified(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
     """Pairs whose exact similarity over all character shingles is at least ``percent`` / 100."""
     left, right = (texts.select(F.col("h").alias(c), F.col("raw").alias(f"raw_{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b")
-    # Generated, the sets are made once; a condition on selected columns would make them for each mention.
-    sets = both.select("a", "b", F.inline(F.array(F.struct(shingle_set(F.col("raw_a"), size).alias("sa"), shingle_set(F.col("raw_b"), size).alias("sb")))))
+    # Generated, the sets are made once; a condition on selected columns would make them for each mention. The hashes are
+    # selected before, since a generator that holds a lambda is not compiled, and its sets are then of boxed values.
+    hashed = both.select("a", "b", shingles(F.col("raw_a"), size).alias("xa"), shingles(F.col("raw_b"), size).alias("xb"))
+    sets = hashed.select("a", "b", F.inline(F.array(F.struct(F.array_distinct("xa").alias("sa"), F.array_distinct("xb").alias("sb")))))
     return sets.where(_alike("sa", "sb", percent)).select("a", "b")
 
 

@@ -354,6 +354,26 @@ def test_line_dedup_makes_lines_and_sets_once(spark):
     assert found.collect() == [(1, 2)]
 
 
+def test_line_dedup_sets_are_compiled(spark):
+    """Shingle sets of pairs are made by generated code: a generator with a lambda in it is not compiled."""
+    texts = spark.createDataFrame([(1, b"abcdefghijkl"), (2, b"abcdefghijklm")], "h long, raw binary")
+    found = linededup._verified(texts, spark.createDataFrame([(1, 2)], "a long, b long"), 8, 75)
+    (made,) = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate inline" in x]
+    assert "array_distinct(" in made and "lambda" not in made
+    assert found.collect() == [(1, 2)]
+
+
+def test_line_dedup_makes_sets_of_lines_with_partners(spark):
+    """Of a bucket's lines only those whose minima agree with another's get a shingle set."""
+    m, other = list(range(18)), list(range(100, 118))
+    line = b"the quick brown fox jumps over the lazy dog and runs along the river bank"
+    near = spark.createDataFrame([(7, [7], 3, h, h, x) for h, x in ((1, m), (2, m), (3, other))], "band long, bands array<long>, n long, h long, root long, m array<int>")
+    texts = spark.createDataFrame([(1, line), (2, line + b"!"), (3, line + b"?")], "h long, raw binary")
+    found = linededup._within(near, texts, 8, 75, 6, 3, 2)
+    assert found.collect() == [(1, 2)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 2
+
+
 def test_line_dedup_signatures_are_minima_of_all_shingles(spark):
     rows = [(n, "".join(random.Random(n).choices("abcdefgh \u4e2d", k=n)).strip() or "x") for n in range(1, 40)]
     lines = spark.createDataFrame(rows, "loc long, line string").select(F.col("loc").alias("h"), F.col("loc").alias("g"), "loc", "line")
